@@ -75,7 +75,8 @@ class ChunkTable:
 
     def add(self, new: list[str]) -> None:
         """Segment chunks that are not in the table."""
-        ids = self.sp.encode(new, num_threads=1)
+        # A marker alone cannot be asked for: the library gives an empty text no marker.
+        ids = [x if c else [self.sp.piece_to_id(MARK)] for c, x in zip(new, self.sp.encode(new, num_threads=1), strict=True)]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         self.row.update(zip(new, range(len(self.row), len(self.row) + len(new)), strict=True))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])

@@ -82,9 +82,8 @@ def measure(text: str | None) -> tuple:
     return len(words), sum(map(len, words)), len(_SYMBOLS.findall(text)), repeats, repeated_words(words), laid
 
 
-def figures(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs as one struct column `doc`, a row number `rid`, the figures and the lines; written."""
-    small_batches(docs.sparkSession)
+def _source(docs: DataFrame, text_col: str):
+    """docs as (doc, text, host), the function that measures them and its schema."""
     lines = pa.list_(pa.struct([("h", pa.int64()), ("w", pa.int32()), ("a", pa.int64())]))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -93,7 +92,7 @@ def figures(docs: DataFrame, text_col: str = "text") -> DataFrame:
             cols = list(zip(*map(measure, b.column(1).to_pylist()), strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], lines)], names=["doc", "host", *names, "lines"])
 
-    source = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col or docs.columns.count(c) > 1] or [F.lit(0).alias("_none")]).alias("doc"), F.col(text_col).alias("text"), _host(docs))
+    source = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col] or [F.lit(0).alias("_none")]).alias("doc"), F.col(text_col).alias("text"), _host(docs))
     schema = f"doc {source.schema['doc'].dataType.simpleString()}, host string, " + ", ".join(f"{n} bigint" for n in names) + ", lines array<struct<h:bigint,w:int,a:bigint>>"
     return source, run, schema
 
@@ -107,7 +106,8 @@ def judge(docs: DataFrame, max_docs: int = 50, min_left: float = 0.2, text_col:
 
     With keep_text also `text` as it was and `clean`, without the lines above the limit.
     """
-    source, run, schema = figures(docs, text_col)
+    small_batches(docs.sparkSession)
+    source, run, schema = _source(docs, text_col)
     if keep_text:
         source = source.select(F.struct("doc", "text").alias("doc"), "text", "host")
         schema = schema.replace(schema.split(", host string")[0], f"doc {source.schema['doc'].dataType.simpleString()}", 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, packing, pieces, quality, simhash
+from . import ann, licenses, linededup, packing, pieces, pii, quality, simhash, warc, wrappers
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,11 +33,38 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc.doc_id", "n_pieces", "n_removed", "removed_words", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences found in every document."""
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return wrappers.main_text(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and positions of personal data in every document."""
+    found = pii.find(_table(spark, sf_dir, "documents"))
+    return found.select("doc.doc_id", *map(pii.count_of, pii.PATTERNS), F.sha2(pii.span_list("base"), 256).alias("base_sha256"), pii.span_list("spans").alias("spans"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of every page, written to archives and read back."""
+    archives = warc.write_archives(warc.plan(_table(spark, sf_dir, "pages"), min_bytes=0))
+    return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Figures and verdict of every document."""
     return quality.judge(_table(spark, sf_dir, "documents")).select("doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every vector whose id is divisible by 20."""
+    return ann.search(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of the text decoded from them."""
     done = pieces.decode(pieces.encode(_table(spark, sf_dir, "documents")))
@@ -45,7 +72,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_simhash, op3_line_dedup, op8_quality_rules, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_packing, op2_simhash, op3_line_dedup, op4_license_scan, op5_html_extraction, op6_pii, op7_warc, op8_quality_rules, op9_nearest, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
