@@ -34,7 +34,6 @@ from .store import materialise, small_batches
 TREE_SIZE = 2048
 #: Fingerprints expected in a shard by chance, at most.
 SHARD_CHANCE = 4
-_SALTS = 8
 
 
 def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
@@ -173,9 +172,9 @@ def links(reps: DataFrame, radius: int = 4, tree_size: int = TREE_SIZE) -> DataF
     bands = next((b for b in range(radius + 2, 2 * radius + 1) if n / 2 ** (64 * (b - radius) / b) <= SHARD_CHANCE), 2 * radius) if radius else 1
     chosen = masks(bands, radius)
     keys = reps.where("rep is not null").select("fp", "rep", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in chosen])).alias("t", "key"))
-    keys = keys.withColumn("s", F.pmod(F.xxhash64("fp"), F.lit(_SALTS)).cast("int"))
-    sizes = keys.groupBy("t", "key").count().where("count > 1").withColumn("s", F.explode(F.array(*map(F.lit, range(_SALTS)))))
-    shards = keys.join(sizes, ["t", "key", "s"]).withColumn("g", F.ceil(F.col("count") / F.lit(tree_size)))
+    # Written, so that both sides of the join are dealt anew and a hot shard's rows can be split.
+    sizes = materialise(keys.groupBy("t", "key").count().where("count > 1"), "shards")
+    shards = keys.join(sizes, ["t", "key"]).withColumn("g", F.ceil(F.col("count") / F.lit(tree_size)))
     shards = shards.withColumn("own", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("g")))
     # One row for each block it takes part in: its own (0), as a tree (1) against later parts, as probes (2) against earlier trees.
     dealt = shards.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).select(
