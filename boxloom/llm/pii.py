@@ -85,10 +85,9 @@ def disclosing(rows: DataFrame, alpha: float = 0.8, support: int = 3) -> DataFra
     wanted = materialise(both.select("term").distinct(), "terms")
     corpus = rows.select(F.explode(F.split(F.lower("text"), "\n")).alias("line")).where("line <> ''")
     terms = corpus.select(F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(TERM), F.lit(0)))).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    total = corpus.agg(F.count("*").alias("n"))
-    scored = both.join(terms, "term").crossJoin(F.broadcast(total))  # one row
-    share = F.log2(F.col("n_et") * F.col("n") / (F.col("n_e") * F.col("n_t"))) / F.log2(F.col("n") / F.col("n_e"))
-    return materialise(scored.where(share >= alpha).select("entity", "term"), "disclosing")
+    n = F.lit(float(corpus.count()))
+    share = F.log2(F.col("n_et") * n / (F.col("n_e") * F.col("n_t"))) / F.log2(n / F.col("n_e"))
+    return materialise(both.join(terms, "term").where(share >= alpha).select("entity", "term"), "disclosing")
 
 
 def find(docs: DataFrame, alpha: float = 0.8, support: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
