@@ -18,6 +18,7 @@ columns are ignored.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,7 +60,7 @@ def telling_words(grams: list[str], threshold: float) -> set[str]:
         for g in left:
             for w in set(g.split(" ")):
                 counts[w] = counts.get(w, 0) + 1
-        best = max(counts, key=lambda w: (len(w) * counts[w], w))
+        best = max(counts, key=lambda w: (len(w) > 4, len(w) * counts[w], w))
         chosen.add(best)
         left = {g for g in left if best not in g.split(" ")}
     return chosen
@@ -85,12 +86,14 @@ def scan(docs: DataFrame, threshold: float = 0.8, templates: dict[str, str] | No
     """(doc_id, n_units, licence, score, licences) for every row: units with a licence, the best one, and all found."""
     templates = dict(sorted((templates or TEMPLATES).items()))
     telling = sorted(set().union(*(telling_words(template_bigrams(t), threshold) for t in templates.values())))
-    some = "(?i)(?<![\\p{L}\\p{N}])(?:" + "|".join(map(re.escape, telling)) + ")(?![\\p{L}\\p{N}])"
+    # Plain substring searches; a text that merely contains such a word inside another only goes on to the exact test.
+    some = lambda t: reduce(lambda a, b: a | b, [F.contains(t, F.lit(w)) for w in telling])
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.split(text, "\n", -1)
     sentences = F.split(F.regexp_replace(text, r"([.!?])[\x20\t]", "$1\n"), "\n", -1)
-    units = F.filter(F.array_distinct(F.concat(sentences, lines, F.array(text))), lambda u: u.rlike(some))
+    units = F.filter(F.array_distinct(F.concat(sentences, lines, F.array(text))), lambda u: some(F.lower(u)))
     found = F.filter(F.transform(units, lambda u: best_template(u, templates, threshold)), lambda s: s["score"] >= threshold)
-    top = F.array_sort(found, lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).when(a["licence"] < b["licence"], -1).when(a["licence"] > b["licence"], 1).otherwise(0))
-    out = docs.select(F.col(id_col).alias("doc_id"), F.when(text.rlike(some), found).alias("f"), F.when(text.rlike(some), F.get(top, F.lit(0))).alias("t"))
+    top = lambda f: F.array_sort(f, lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).when(a["licence"] < b["licence"], -1).when(a["licence"] > b["licence"], 1).otherwise(0))
+    pick = F.transform(F.array(found), lambda f: F.struct(f.alias("f"), F.get(top(f), F.lit(0)).alias("t")))[0]
+    out = docs.select(F.col(id_col).alias("doc_id"), F.when(some(F.lower(text)), pick).alias("x")).select("doc_id", "x.f", "x.t")
     return out.select("doc_id", F.coalesce(F.size("f"), F.lit(0)).cast("long").alias("n_units"), F.col("t.licence").alias("licence"), F.round("t.score", 6).alias("score"), F.coalesce(F.array_join(F.array_sort(F.array_distinct(F.col("f.licence"))), ","), F.lit("")).alias("licences"))
