@@ -93,13 +93,14 @@ def disclosing(rows: DataFrame, alpha: float = 0.8, support: int = 3) -> DataFra
 def find(docs: DataFrame, alpha: float = 0.8, support: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc (struct of all columns), base (spans of the patterns) and spans (with disclosing terms), both sorted."""
     named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    rows = materialise(named.select("doc", "text", base_spans("text").alias("spans")).withColumn("rid", F.monotonically_increasing_id()), "spans")
+    rows = materialise(named.select("doc", base_spans("text").alias("spans")).withColumn("rid", F.monotonically_increasing_id()), "spans")
+    rows = rows.withColumn("text", F.coalesce(F.col(f"doc.`{text_col}`"), F.lit("")))
     told = disclosing(rows, alpha, support)
     own = rows.where("size(spans) > 0").select("rid", F.explode(F.expr("array_distinct(transform(spans, s -> lower(s.x)))")).alias("entity"))
     marked = own.join(told, "entity").groupBy("rid").agg(F.collect_set("term").alias("terms"))
     words = spans_sql("text", TERM, "term", 5, "true")
     extra = F.expr(f"filter({words}, w -> array_contains(terms, lower(w.x)) AND NOT exists(base, b -> b.s < w.e AND w.s < b.e))")
-    out = rows.withColumnRenamed("spans", "base").join(marked, "rid", "left").withColumn("spans", F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", extra))))
+    out = rows.drop("text").withColumnRenamed("spans", "base").join(marked, "rid", "left").withColumn("text", F.coalesce(F.col(f"doc.`{text_col}`"), F.lit(""))).withColumn("spans", F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", extra))))
     return out.select("doc", "text", "base", "spans")
 
 
