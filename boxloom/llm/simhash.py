@@ -197,9 +197,10 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, id_col: st
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4) -> DataFrame:
-    """docs with one row of each class: the smallest doc_id; equal rows count once.
+    """docs with one row of each class: the smallest doc_id; rows of equal id and text count once.
 
-    Rows with a null id are kept only if their class has no other row.
+    Rows with a null id are kept only if their class has no other row. Different
+    texts under one id all stay if any of them stands for its class.
     """
     classes = near_duplicates(docs, radius, words).where("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(classes, docs["doc_id"].eqNullSafe(classes["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    return docs.join(classes, docs["doc_id"].eqNullSafe(classes["doc_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
