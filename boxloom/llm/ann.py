@@ -65,11 +65,16 @@ def encode(x: np.ndarray, centre: np.ndarray, rotation: np.ndarray) -> np.ndarra
     return np.packbits((x - centre) @ rotation >= 0, axis=1)
 
 
+def _as_words(codes: np.ndarray) -> np.ndarray:
+    """Codes as rows of 64-bit words, padded with zeros, to count differing bits of whole words."""
+    return np.ascontiguousarray(np.pad(codes, ((0, 0), (0, -codes.shape[1] % 8)))).view(np.uint64)
+
+
 class MultiIndex:
     """One index of 256 buckets for each substring of a shard's codes."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, codes: np.ndarray):
-        self.ids, self.x, self.codes = ids, x, codes
+        self.ids, self.x, self.codes, self.words = ids, x, codes, _as_words(codes)
         self.buckets = []
         for j in range(codes.shape[1]):
             order = np.argsort(codes[:, j], kind="stable")
@@ -85,9 +90,9 @@ class MultiIndex:
             for v, rows in buckets:
                 hit[np.ix_(np.flatnonzero(close[:, v]), rows)] = True
         a, b = np.nonzero(hit)
-        far = np.zeros(len(a), np.int16)
-        for j in range(self.codes.shape[1]):
-            far += _BITS[q_codes[a, j], self.codes[b, j]]
+        far = np.zeros(len(a), np.uint16)
+        for ours, theirs in zip(_as_words(q_codes).T, self.words.T, strict=True):
+            far += np.bitwise_count(ours[a] ^ theirs[b])
         keep = (far <= radius) & (q_ids[a] != self.ids[b])
         a, b = a[keep], b[keep]
         short = np.flatnonzero(np.bincount(a, minlength=len(q)) < k)
