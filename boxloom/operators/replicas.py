@@ -84,14 +84,19 @@ def novelty_of(boxes: np.ndarray, labels: np.ndarray, done: np.ndarray, done_lab
 def draw_votes(boxes: np.ndarray, labels: np.ndarray, detectors: np.ndarray, extra: np.ndarray, k: int, draws, c: SampleConfig) -> list[int]:
     """k picks of stage 4: other detectors' agreement on a label raises a box's weight."""
     votes = ious(boxes, boxes) * ((labels[:, None] == labels[None, :]) & (detectors[:, None] != detectors[None, :]))
-    left, chosen, used = list(range(len(boxes))), [], set()
-    while len(chosen) < k and left:
-        s = votes[np.ix_(left, left)].sum(axis=1)
-        new = np.array([0.0 if labels[i] in used else c.s4_new for i in left])
-        e = new + (extra[: len(left)] if c.misaligned_novelty else extra[left])
+    codes = np.unique(labels, return_inverse=True)[1]
+    used = np.zeros(codes.max(initial=-1) + 1, bool)
+    left, chosen = np.arange(len(boxes)), []
+    support = votes.sum(axis=1)
+    while len(chosen) < k and len(left):
+        s = np.maximum(support[left], 0)
+        e = np.where(used[codes[left]], 0.0, c.s4_new) + (extra[: len(left)] if c.misaligned_novelty else extra[left])
         at = pick(c.s4_base + c.s4_iou * s / (s + c.s4_den) + 2.0 * e, draws(len(chosen)))
-        chosen.append(left.pop(at))
-        used.add(labels[chosen[-1]])
+        p = int(left[at])
+        chosen.append(p)
+        left = np.delete(left, at)
+        used[codes[p]] = True
+        support -= votes[:, p]  # a pick's votes leave the sums instead of every sum being made anew
     return chosen
 
 
