@@ -75,5 +75,14 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_packing, op2_simhash, op3_line_dedup, op4_license_scan, op5_html_extraction, op6_pii, op7_warc, op8_quality_rules, op9_nearest, op10_sentencepiece)}
 
 
+# Base32 of a SHA-1: eight groups of 20 bits, each four letters of the alphabet.
+_BASE32 = "array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(('0x' || substr(h, CAST(i // 4 * 5 + 1 AS INT), 5))::BIGINT // (CASE i % 4 WHEN 0 THEN 32768 WHEN 1 THEN 1024 WHEN 2 THEN 32 ELSE 1 END) % 32 + 1 AS INT), 1)), '')"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Operators that need neither XXH64, a tokenizer, patience diff nor HTML parsing."""
+    return {
+        "op7_warc": f"""WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+            t AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM p)
+            SELECT page_id, payload_bytes::BIGINT AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM t""",
+    }
