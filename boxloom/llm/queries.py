@@ -79,9 +79,21 @@ def queries() -> dict:
 _BASE32 = "array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(('0x' || substr(h, CAST(i // 4 * 5 + 1 AS INT), 5))::BIGINT // (CASE i % 4 WHEN 0 THEN 32768 WHEN 1 THEN 1024 WHEN 2 THEN 32 ELSE 1 END) % 32 + 1 AS INT), 1)), '')"
 
 
+def _license_sql() -> str:
+    known = ", ".join(f"('{name}', [" + ", ".join(f"'{g}'" for g in licenses.template_bigrams(t)) + "])" for name, t in licenses.TEMPLATES.items())
+    return f"""WITH d AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS t FROM documents),
+        u AS (SELECT rid, unnest(list_distinct(list_concat(string_split(t, chr(10)), string_split(regexp_replace(t, '([.!?])[ \\t]', '\\1' || chr(10), 'g'), chr(10)), [t]))) AS u FROM d),
+        w AS (SELECT rid, u, regexp_extract_all(lower(u), '[\\p{{L}}\\p{{N}}]+(?:[.][\\p{{L}}\\p{{N}}]+)*') AS w FROM u),
+        g AS (SELECT rid, u, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w),
+        s AS (SELECT rid, u, name, 2.0::DOUBLE * len(list_intersect(g, b)) / (len(g) + len(b)) AS dice FROM g, (VALUES {known}) k(name, b)),
+        m AS (SELECT rid, name, dice FROM s WHERE dice >= 0.8 QUALIFY row_number() OVER (PARTITION BY rid, u ORDER BY dice DESC, name) = 1)
+        SELECT doc_id, count(name) AS n_units, list(name ORDER BY dice DESC, name)[1] AS licence, round(max(dice), 6) AS score, coalesce(string_agg(DISTINCT name, ',' ORDER BY name), '') AS licences FROM d LEFT JOIN m USING (rid) GROUP BY rid, doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Operators that need neither XXH64, a tokenizer, patience diff nor HTML parsing."""
     return {
+        "op4_license_scan": _license_sql(),
         "op7_warc": f"""WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
             t AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM p)
             SELECT page_id, payload_bytes::BIGINT AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM t""",
