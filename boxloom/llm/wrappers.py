@@ -51,22 +51,16 @@ ASIDE_WORDS = frozenset(
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 CLOSED_BY_TWIN = {"li": "ul ol", "dt": "dl", "dd": "dl", "tr": "table", "td": "tr table", "th": "tr table", "option": "select", "p": ""}
 
+_TAG = re.compile(r"<(?:[^>=]++|=\s*+(?:\"[^\"]{0,65536}+\"|'[^']{0,65536}+')?+)*+>")
 _NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 _LABEL = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
 def _tag_end(page: str, at: int) -> int:
-    """Where the tag that starts at `at` ends; quotes are respected if they are closed before the next tag's end."""
-    i = at
-    while True:
-        close = page.find(">", i)
-        if close < 0:
-            return -1
-        part = page[at:close]
-        if part.count('"') % 2 == 0 and part.count("'") % 2 == 0 or close - at > 4096:
-            return close
-        i = close + 1
+    """Where the tag that starts at `at` ends, or -1. A quote counts only as an attribute's value, and only if it is closed."""
+    found = _TAG.match(page, at)
+    return found.end() - 1 if found else -1
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
@@ -89,8 +83,6 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
             at = lt + 1
             continue
         end = _tag_end(page, lt)
-        if end < 0:
-            end = page.find(">", lt)
         if end < 0:
             return
         at = end + 1

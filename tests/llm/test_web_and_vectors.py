@@ -41,6 +41,12 @@ def test_pages_without_article(spark):
     assert not wrappers.main_text(pages.where("false")).collect()
 
 
+def test_quotes_in_tags():
+    page = """<div title="don't > stop" x=it's><p data-a='"' b="1">one</p><p don't>two's</p><p c="open>three</p><p>4 < 5 & six</p></div>"""
+    assert [t for _, _, t in wrappers.parse(page)] == ["one", "two's", "three", "4 < 5 & six"]
+    assert [t for _, _, t in wrappers.parse("a <b" + "<i x=\"" * 3000)] == ["a"]
+
+
 def test_wrappers_fold_lists_and_options():
     one = wrappers.infer(wrappers.parse("<ul><li>a</li><li>b</li></ul><p>x</p>"))
     two = wrappers.infer(wrappers.parse("<ul><li>a</li></ul><h2>new</h2><p>y</p>"))
