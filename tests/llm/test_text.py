@@ -112,6 +112,29 @@ def cut(text):
     return re.split(r"(?<=\n)|(?<=[.!?])(?=\x20)", text)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 5), max_size=14), st.lists(st.integers(0, 5), max_size=14), st.integers(1, 12))
+def test_common_blocks_are_all_long_runs(a, b, least):
+    """Moved and repeated blocks go too: every run of b that a holds with enough words, and nothing else."""
+    words = [x % 4 for x in b]
+    want = set()
+    for i in range(len(b)):
+        for k in range(i + 1, len(b) + 1):
+            if sum(words[i:k]) >= least and any(a[s : s + k - i] == b[i:k] for s in range(len(a))):
+                want |= set(range(i, k))
+    assert linededup.repeats(a, b, words, least) == want
+    assert set(linededup.common_blocks(a, b, words, least)) == want
+
+
+def test_repeated_passages_go(spark):
+    passage = [f"sentence {k} of a passage that many documents have." for k in range(6)]
+    moved = [f"another part {k} of the text that is found elsewhere too." for k in range(6)]
+    texts = [" ".join([body(1) + ".", *passage, body(2) + ".", *moved]), " ".join([*moved, body(3) + ".", *passage, *passage, *passage])]
+    got = {r["doc"]["doc_id"]: r for r in linededup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[0]["n_removed"] == 0
+    assert "passage" not in got[1]["text"] and "another part" not in got[1]["text"] and body(3) in got[1]["text"]
+
+
 def test_line_dedup_of_a_table(spark, small):
     """Every deletion is a block of an earlier document, and no long block of adjacent unique pieces stays."""
     texts = read(small)
