@@ -181,10 +181,10 @@ def oracle_sql() -> dict[str, str]:
         "crop_order": f"{_CROP} SELECT image_id, detector, pos, row_number() OVER (PARTITION BY image_id ORDER BY crop_w * crop_h DESC, detector, pos) AS crop_rank FROM c3",
         "tile_choice": f"WITH {_GRID} SELECT image_id, i, j FROM ch",
         "tile_boxes": f"WITH {_GRID} SELECT image_id, n, n % i * 448 AS x0, n // i * 448 AS y0, (n % i + 1) * 448 AS x1, (n // i + 1) * 448 AS y1 FROM (SELECT image_id, i, j, unnest(range(0, i * j)) AS n FROM ch) UNION ALL SELECT image_id, i * j, 0, 0, 0, 0 FROM ch WHERE i * j > 1",
-        "resume_anti_join": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 10 = 0)",
+        "resume_anti_join": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
         "contiguous_slices": "SELECT c_custkey, least((row_number() OVER (ORDER BY c_custkey) - 1) // greatest((SELECT count(*) FROM customer) // 7, 1), 6) AS slice_id FROM customer",
         "mode_label": f"{FULL}, ct AS (SELECT image_id, label, count(*) AS n FROM styled GROUP BY ALL) SELECT image_id, label AS mode_label, n FROM ct QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY n DESC, md5('0|' || image_id || '|' || label) DESC) = 1",
-        "final_annotations": f"{FULL} SELECT image_id::VARCHAR AS new_key, count(*) AS box_num, count(DISTINCT label) AS category_num, string_agg(label, ',' ORDER BY {_id()}) AS labels, string_agg(detector, ',' ORDER BY {_id()}) AS detectors FROM styled WHERE pos % 3 = 0 GROUP BY image_id",
+        "final_annotations": f"{FULL} SELECT image_id::VARCHAR AS new_key, count(*) AS box_num, count(DISTINCT label) AS category_num, string_agg(label, ',' ORDER BY {_id()}) AS labels, string_agg(detector, ',' ORDER BY {_id()}) AS detectors FROM styled GROUP BY image_id",
         "train_val_split": f"WITH {_IMAGES} SELECT CASE WHEN image_id < 8 THEN 'train' ELSE 'val' END AS split, count(*) AS n FROM im GROUP BY 1",
         "final_nms": f"{FULL}, {_nms('styled', 'image_id, label', '0.5', _id())} SELECT image_id, label, b.pos AS pos, round(b.score, 6) AS score, b.x0 AS x0, b.y0 AS y0, b.x1 AS x1, b.y1 AS y1 FROM nr",
         "resolution_filter": f"WITH {_IMAGES} SELECT * FROM im WHERE width >= 1024 AND height >= 1024 AND width <= 4096 AND height <= 6144 AND greatest(width, height) <= 1.5::DOUBLE * least(width, height)",

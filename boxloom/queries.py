@@ -246,8 +246,8 @@ def tile_boxes(spark, d):
 
 
 def resume_anti_join(spark, d):
-    orders = fx.table(spark, d, "orders").where("o_orderkey % 10 = 0")
-    return assemble.not_done(fx.table(spark, d, "customer").select("c_custkey"), orders.select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    orders = fx.table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return assemble.not_done(fx.table(spark, d, "customer").select("c_custkey"), orders, ["c_custkey"])
 
 
 def contiguous_slices(spark, d):
@@ -259,7 +259,7 @@ def mode_label(spark, d):
 
 
 def final_annotations(spark, d):
-    rows = _filtered(spark, d).where("pos % 3 = 0").select(F.col("image_id").cast("string").alias("new_key"), F.lit(0).alias("sub_sample"), F.concat_ws(":", "detector", F.format_string("%06d", "pos")).alias("box_idx"), "label", "score", "detector", "x0", "y0", "x1", "y1")
+    rows = _filtered(spark, d).select(F.col("image_id").cast("string").alias("new_key"), F.lit(0).alias("sub_sample"), F.concat_ws(":", "detector", F.format_string("%06d", "pos")).alias("box_idx"), "label", "score", "detector", "x0", "y0", "x1", "y1")
     got = assemble.annotations(rows)
     return plain(got.select("new_key", "box_num", "category_num", F.array_join("labels", ",").alias("labels"), F.array_join("ovd_belongings", ",").alias("detectors")))
 
