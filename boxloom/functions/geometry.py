@@ -110,3 +110,16 @@ def stage4_score(votes: Column, extra: Column) -> Column:
 def stage5_score(cover: Column, extra: Column) -> Column:
     """Weight that prefers boxes little covered by others."""
     return 0.01 + 99.0 / (0.8 + cover) + 1.5 * extra
+
+
+def place_text(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column, corner: str = "top_left") -> Column:
+    """Box of a text of size (w, h) with one corner at (x, y), moved into the image; a text larger than the image is cut at its end."""
+    left = x - w if corner.endswith("right") else x
+    top = y - h if corner.startswith("bottom") else y
+
+    def side(start: Column, size: Column, end: Column) -> tuple[Column, Column]:
+        start = F.greatest(start, F.lit(0))
+        return F.greatest(F.least(start, end - size), F.lit(0)), F.least(start + size, end)
+
+    (x0, x1), (y0, y1) = side(left, w, width), side(top, h, height)
+    return F.struct(x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))

@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from boxloom import schemas
-from boxloom.functions import dialog, images
+from boxloom.functions import dialog, geometry, images
+from boxloom.functions.timing import timed
 from boxloom.operators import assemble
 from boxloom.sources import readers, sinks
 from boxloom.streaming import ingest
@@ -113,3 +114,26 @@ def test_streams_take_new_files_once(spark, tmp_path):
     seen = []
     q = ingest.run_batches(ingest.parquet_stream(spark, src, schemas.DETECTIONS), assemble.vocabulary, lambda df, n: seen.append(df.count()), f"{tmp_path}/check2")
     assert q.awaitTermination(60) and sum(seen) == 2
+    source = ingest.parquet_stream(spark, src, schemas.DETECTIONS)
+    assert ingest.run_until(ingest.run_available(source, plan, f"{tmp_path}/out3", f"{tmp_path}/check3"), f"{tmp_path}/stop")
+    endless = plan(source).writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/check4").start()
+    (tmp_path / "stop").touch()
+    assert not ingest.run_until(endless, f"{tmp_path}/stop") and not endless.isActive
+
+
+def test_slow_steps_are_logged(caplog):
+    with timed("fast", 60):
+        pass
+    with timed("slow", -1):
+        pass
+    assert [r.getMessage().split()[0] for r in caplog.records] == ["slow"]
+
+
+def test_places_of_texts(spark):
+    want = {
+        (10, 10, 30, 8, "top_left"): (10, 10, 40, 18), (10, 10, 30, 8, "bottom_right"): (0, 2, 30, 10), (95, 45, 30, 8, "top_left"): (70, 42, 100, 50),
+        (50, 2, 30, 8, "bottom_left"): (50, 0, 80, 8), (50, 5, 30, 8, "top_right"): (20, 5, 50, 13), (5, 5, 130, 8, "top_left"): (0, 5, 100, 13),
+    }
+    for (x, y, w, h, corner), box in want.items():
+        at = geometry.place_text(*map(F.lit, (x, y, w, h, 100, 50)), corner)
+        assert tuple(spark.range(1).select(at.alias("b")).first()["b"]) == box
