@@ -33,9 +33,11 @@ from .store import materialise
 
 #: Vectors the rotation and the radius are learned on, at most.
 SAMPLE = 4096
-SHARD_ROWS = 4096
+#: Every probe goes to every shard, so larger shards mean less shuffled; a shard's rows and index are held by one task.
+SHARD_ROWS = 32768
 MIN_SHARDS = 5
-PROBE_BLOCK = 512
+#: Probes answered at once; with the shard's rows it bounds the candidates that are held.
+PROBE_BLOCK = 64
 _BITS = np.array([[(a ^ b).bit_count() for b in range(256)] for a in range(256)], np.uint8)
 
 
