@@ -4,8 +4,8 @@ Lines are normalised (trimmed, lower-cased, white space drawn together) and
 hashed. For each host the documents that have a line are counted, and lines in
 more than `max_docs` of them are removed; a document of which less than
 `min_left` of its words stay is rejected as depleted. Copies of one page are
-not boilerplate, they are left to the near-duplicate stage: documents that
-share a line count once for each different longest other line they have.
+not boilerplate, they are left to the near-duplicate stage: documents whose
+normalised lines are all the same, in the same order, count once.
 
 Defined cases: a null or empty text has no words and is rejected by the base
 rules; a null host is a host; repeated rows give one row each and, being
@@ -54,7 +54,7 @@ def repeated_words(words: list[str], size: int = 8) -> int:
 
 
 def measure(text: str | None) -> tuple:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, [(hash, words, anchor) of each line]."""
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, [(hash, words) of each line], hash of all normalised lines."""
     import xxhash
 
     text = text or ""
@@ -64,7 +64,7 @@ def measure(text: str | None) -> tuple:
     repeats = 0
     sizes = [0] * len(lines)
     keys = [0] * len(lines)
-    longest = second = (0, 0)
+    whole = xxhash.xxh64(seed=42)
     for i, line in enumerate(lines):
         if not line.strip(_BLANKS):
             continue
@@ -72,28 +72,26 @@ def measure(text: str | None) -> tuple:
         seen.add(line)
         parts = line.lower().split()
         sizes[i] = len(_WORDS.findall(line))
-        keys[i] = xxhash.xxh64_intdigest(" ".join(parts).encode("utf-8", "surrogatepass"), 42)
-        if (here := (len(line), keys[i])) > longest and keys[i] != longest[1]:
-            longest, second = here, longest
-        elif here > second and keys[i] != longest[1]:
-            second = here
+        norm = " ".join(parts).encode("utf-8", "surrogatepass")
+        keys[i] = xxhash.xxh64_intdigest(norm, 42)
+        whole.update(norm + b"\n")
     wrap = lambda h: h - (1 << 64) if h >> 63 else h
-    laid = [{"h": wrap(k), "w": s, "a": wrap(second[1] if k == longest[1] else longest[1])} if s else {"h": 0, "w": 0, "a": 0} for k, s in zip(keys, sizes, strict=True)]
-    return len(words), sum(map(len, words)), len(_SYMBOLS.findall(text)), repeats, repeated_words(words), laid
+    laid = [{"h": wrap(k), "w": s} if s else {"h": 0, "w": 0} for k, s in zip(keys, sizes, strict=True)]
+    return len(words), sum(map(len, words)), len(_SYMBOLS.findall(text)), repeats, repeated_words(words), laid, wrap(whole.intdigest())
 
 
 def _source(docs: DataFrame, text_col: str):
     """docs as (doc, text, host), the function that measures them and its schema."""
-    lines = pa.list_(pa.struct([("h", pa.int64()), ("w", pa.int32()), ("a", pa.int64())]))
+    lines = pa.list_(pa.struct([("h", pa.int64()), ("w", pa.int32())]))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols = list(zip(*map(measure, b.column(1).to_pylist()), strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], lines)], names=["doc", "host", *names, "lines"])
+            cols = list(zip(*map(measure, b.column(1).to_pylist()), strict=True)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], lines), pa.array(cols[6], pa.int64())], names=["doc", "host", *names, "lines", "whole"])
 
     source = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col] or [F.lit(0).alias("_none")]).alias("doc"), F.col(text_col).alias("text"), _host(docs))
-    schema = f"doc {source.schema['doc'].dataType.simpleString()}, host string, " + ", ".join(f"{n} bigint" for n in names) + ", lines array<struct<h:bigint,w:int,a:bigint>>"
+    schema = f"doc {source.schema['doc'].dataType.simpleString()}, host string, " + ", ".join(f"{n} bigint" for n in names) + ", lines array<struct<h:bigint,w:int>>, whole bigint"
     return source, run, schema
 
 
@@ -112,13 +110,13 @@ def judge(docs: DataFrame, max_docs: int = 50, min_left: float = 0.2, text_col:
         source = source.select(F.struct("doc", "text").alias("doc"), "text", "host")
         schema = schema.replace(schema.split(", host string")[0], f"doc {source.schema['doc'].dataType.simpleString()}", 1)
     rows = materialise(source.mapInArrow(run, schema).withColumn("rid", F.monotonically_increasing_id()), "figures")
-    lines = rows.select("rid", "host", F.posexplode("lines").alias("pos", "l")).where("l.w > 0").select("rid", "host", "pos", "l.h", "l.w", "l.a")
-    common = lines.groupBy("host", "h", "a").agg(F.lit(1).alias("one")).groupBy("host", "h").count().where(F.col("count") > max_docs)
+    lines = rows.select("rid", "host", "whole", F.posexplode("lines").alias("pos", "l")).where("l.w > 0").select("rid", "host", "whole", "pos", "l.h", "l.w")
+    common = lines.groupBy("host", "h", "whole").agg(F.lit(1).alias("one")).groupBy("host", "h").count().where(F.col("count") > max_docs)
     common = materialise(common.select("host", "h"), "common").withColumn("s", F.explode(F.array(*map(F.lit, range(_SALTS))))).alias("c")
-    salted = lines.withColumn("s", F.pmod(F.xxhash64("rid"), F.lit(_SALTS)).cast("int")).alias("x")
+    salted = lines.drop("whole").withColumn("s", F.pmod(F.xxhash64("rid"), F.lit(_SALTS)).cast("int")).alias("x")
     hit = salted.join(common, F.expr("x.h = c.h and x.s = c.s and x.host <=> c.host"), "left_semi")
     gone = hit.groupBy("rid").agg(F.sum("w").alias("removed_words"), F.collect_list("pos").alias("gone"))
-    out = rows.drop("lines", "host").join(gone, "rid", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
+    out = rows.drop("lines", "host", "whole").join(gone, "rid", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     out = out.withColumn("base_failed", failed).withColumn("kept", ~failed & ((F.col("n_words") - F.col("removed_words")) >= F.lit(min_left) * F.col("n_words")))
     if keep_text:

@@ -67,6 +67,19 @@ def test_frequent_lines_and_depletion(spark):
     assert not quality.judge(docs.where("false")).collect()
 
 
+def test_two_long_shared_lines(spark):
+    """Boilerplate longer than all content: pages that have both lines are different documents, copies of one are not."""
+    notice, footer = " ".join(f"notice{k}" for k in range(50)), " ".join(f"footer{k}" for k in range(35))
+    pages = [(i, "\n".join([notice, *(f"article {i} part {k} " + body(i, 8) for k in range(5)), footer]), "a") for i in range(8)]
+    copies = [(20 + i, "\n".join(["Copied  page", notice, body(99), footer + " again"]).upper() + "\n" * i, "b") for i in range(8)]
+    short = [(40 + i, "\n".join([notice, f"only line of page {i}", footer]), "a") for i in range(3)]
+    docs = spark.createDataFrame(pages + copies + short, "doc_id long, text string, source string")
+    got = {r["doc"]["doc_id"]: r for r in quality.judge(docs, max_docs=6, keep_text=True).collect()}
+    assert all(got[i]["removed_words"] == 85 and notice not in got[i]["clean"] and footer not in got[i]["clean"] for i in range(8))
+    assert not any(got[40 + i]["kept"] for i in range(3))
+    assert all(got[20 + i]["kept"] and got[20 + i]["removed_words"] == 0 for i in range(8))
+
+
 # line dedup
 
 
