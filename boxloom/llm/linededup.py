@@ -2,9 +2,12 @@
 
 A text is cut after each newline and each sentence end; the pieces, joined,
 are the text again. Pieces are normalised and hashed. Documents are paired
-through shared rare hashes: every document that has a hash is paired with the
-first one that has it, so that n holders give n - 1 pairs and no hash is too
-frequent to be looked at. The hash sequences of a pair are aligned by patience
+through runs of adjacent pieces: from each piece on, and up to each piece, the
+shortest run with at least `min_words` words is hashed, and every document that
+has a run is paired with the first one that has it, so that n holders give
+n - 1 pairs and no run is too frequent to be looked at. Each piece of a block
+that two documents share lies in such a run inside the block, so whatever any
+earlier document gives reason to delete goes. The hash sequences of a pair are aligned by patience
 diff (unique common hashes, longest increasing run, then the gaps), and blocks
 of adjacent aligned pieces with at least `min_words` words are deleted from
 the later document. An alignment keeps the order and uses a piece once; blocks
@@ -23,15 +26,17 @@ from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import materialise, small_batches
 
 #: Splits after newlines, and after sentence ends before a space; a Java expression.
 CUT = r"(?<=\n)|(?<=[.!?])(?=\x20)"
-_SALTS = 16
+#: An odd number, so that powers of it can be divided by modulo 2^64.
+_BASE = 0x9E3779B97F4A7C15
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -149,15 +154,41 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return materialise(laid.withColumn("rid", F.monotonically_increasing_id()), "units")
 
 
-def pairs(rows: DataFrame, min_piece: int = 4) -> DataFrame:
-    """Distinct (first, later) rids of documents that share a hash of a piece with at least min_piece words."""
-    at = F.struct("id", "rid").alias("at")
-    held = rows.select(at, F.explode(F.arrays_zip("hashes", "words")).alias("x")).where(F.col("x.words") >= min_piece).select("at", F.col("x.hashes").alias("h"))
-    first = held.groupBy("h").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first.rid <> last.rid").drop("last")
-    first = materialise(first, "first").withColumn("s", F.explode(F.array(*map(F.lit, range(_SALTS)))))
-    salted = held.withColumn("s", F.pmod(F.xxhash64("at.rid"), F.lit(_SALTS)).cast("int"))
-    met = salted.join(first, ["h", "s"]).where("at.rid <> first.rid")
-    return materialise(met.select(F.col("first.rid").alias("first"), F.col("at.rid").alias("later")).distinct(), "pairs")
+def run_keys(hashes: np.ndarray, words: np.ndarray, ends: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, key) of the shortest runs with at least min_words words that start, or end, at each piece; documents laid end to end."""
+    n, least = len(hashes), max(min_words, 1)
+    before = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    owner = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+    # From each piece to the first end that is far enough, and to each end from the last start that is.
+    stop = np.searchsorted(before, before[:-1] + least)
+    start = np.searchsorted(before, before[1:] - least, side="right") - 1
+    on = np.flatnonzero(stop <= ends[owner])
+    up = np.flatnonzero((start >= 0) & (owner[start] == owner))
+    up = up[stop[start[up]] != up + 1]
+    i, k = np.concatenate([on, start[up]]), np.concatenate([stop[on], up + 1])
+    # A run's hash is a polynomial in _BASE: a difference of prefix sums, divided by the power of its start.
+    power = lambda x: np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, x, np.uint64))])
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes.view(np.uint64) * power(_BASE)[:-1])])
+    keys = (sums[k] - sums[i]) * power(pow(_BASE, -1, 1 << 64))[i] + (k - i).astype(np.uint64)
+    return owner[i], keys.view(np.int64)
+
+
+def pairs(rows: DataFrame, min_words: int = 20) -> DataFrame:
+    """Distinct (first, later) rids of documents that share a run of pieces with at least min_words words."""
+    small_batches(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            # Null texts have null lists; flatten leaves them out as empty ones.
+            hashes, words = (x.column(i).flatten().to_numpy() for i in (2, 3))
+            ends = np.cumsum(np.array([n or 0 for n in x.column(2).value_lengths().to_pylist()], np.int64))
+            doc, keys = run_keys(hashes, words, ends, min_words) if len(hashes) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([x.column(0).take(pa.array(doc)), x.column(1).take(pa.array(doc)), pa.array(keys)], names=["id", "rid", "h"])
+
+    held = rows.select("id", "rid", "hashes", "words").mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, rid bigint, h bigint")
+    first = F.first("rid").over(Window.partitionBy("h").orderBy("id", "rid"))
+    met = held.select(first.alias("first"), F.col("rid").alias("later")).where("first <> later")
+    return materialise(met.distinct(), "pairs")
 
 
 def removals(rows: DataFrame, min_words: int = 20) -> DataFrame:
@@ -165,7 +196,7 @@ def removals(rows: DataFrame, min_words: int = 20) -> DataFrame:
     small_batches(rows.sparkSession)
     a = rows.select(F.col("rid").alias("first"), F.col("hashes").alias("a"))
     b = rows.select(F.col("rid").alias("later"), F.col("hashes").alias("b"), "words")
-    met = pairs(rows).join(b, "later").join(a, "first").select("later", "a", "b", "words")
+    met = pairs(rows, min_words).join(b, "later").join(a, "first").select("later", "a", "b", "words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:

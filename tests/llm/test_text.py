@@ -4,6 +4,7 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow.parquet as pq
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -169,6 +170,31 @@ def test_line_dedup_of_a_table(spark, small):
     assert sum(want[d] != texts[d] for d in want) > 20
 
 
+def removed(spark, texts):
+    return {r["doc"]["doc_id"]: r["n_removed"] for r in linededup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+
+
+def test_passages_of_short_pieces_go(spark):
+    """A list of one-word and two-word lines is a block like any other."""
+    terms = "\n".join(f"term{k}" if k % 3 else f"two words{k}" for k in range(45))
+    got = removed(spark, [f"{body(1)}\n{terms}\n{body(2)}", f"{body(3)}\n{terms}\n{body(4)}", "\n".join(terms.split("\n")[:8])])
+    assert got == {0: 0, 1: 45, 2: 0}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 4), max_size=10), max_size=6), st.integers(1, 9))
+def test_runs_meet_every_block(docs, least):
+    """Pairing with the first holder of each run deletes all that pairing with every earlier document does."""
+    flat = np.array([x for d in docs for x in d], np.int64)
+    owner, keys = linededup.run_keys(flat * 7919, flat % 4, np.cumsum([len(d) for d in docs], dtype=np.int64), least) if len(flat) else ([], [])
+    first, met = {}, [set() for _ in docs]
+    for d, k in sorted(zip(map(int, owner), map(int, keys), strict=True)):
+        met[d].add(first.setdefault(k, d))
+    for d, b in enumerate(docs):
+        gone = lambda some: {j for e in some for j in linededup.common_blocks(docs[e], b, [x % 4 for x in b], least)}  # noqa: E731, B023
+        assert gone(met[d] - {d}) == gone(range(d))
+
+
 # licences
 
 
