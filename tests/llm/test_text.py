@@ -181,6 +181,14 @@ def test_passages_of_short_pieces_go(spark):
     assert got == {0: 0, 1: 45, 2: 0}
 
 
+def test_first_holders_of_single_pieces_hide_no_passage(spark):
+    """Documents meet although each of their shared sentences has an earlier holder of its own."""
+    said = [" ".join(f"s{k}w{j}" for j in range(17)) + " end." for k in range(3)]
+    alone = [f"{body(i)}. {said[i]} {body(10 + i)}." for i in range(3)]
+    got = removed(spark, [*alone, f"{body(20)}. {' '.join(said)} {body(21)}.", f"{body(22)}. {' '.join(said)} {body(23)}."])
+    assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 3}
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 4), max_size=10), max_size=6), st.integers(1, 9))
 def test_runs_meet_every_block(docs, least):
@@ -195,6 +203,30 @@ def test_runs_meet_every_block(docs, least):
         assert gone(met[d] - {d}) == gone(range(d))
 
 
+def test_line_dedup_against_all_earlier_documents(spark, small):
+    """What goes from a document is all that any earlier one shares with it, not only the first holders of its pieces."""
+    texts = read(small)
+    norm = {d: [" ".join(p.split()).lower() for p in cut(t or "")] for d, t in texts.items()}
+    sizes = {d: [len(p.split(" ")) if p else 0 for p in norm[d]] for d in norm}
+    holders = {}
+    for d in sorted(norm):
+        gone, meets, own = set(), set(), []
+        for i in range(len(norm[d])):
+            k, n = i, 0
+            while k < len(norm[d]) and n < 20:
+                n, k = n + sizes[d][k], k + 1
+            if n >= 20:
+                own.append(tuple(norm[d][i:k]))
+                meets |= holders.get(own[-1], set())
+        for e in meets:
+            gone |= set(linededup.common_blocks(norm[e], norm[d], sizes[d], 20))
+        for x in own:
+            holders.setdefault(x, set()).add(d)
+        texts[d] = "".join(p for i, p in enumerate(cut(texts[d] or "")) if i not in gone)
+    got = {r["doc_id"]: r["text_sha256"] for r in queries.op3_line_dedup(spark, small).collect()}
+    assert got == {d: hashlib.sha256(t.encode()).hexdigest() for d, t in texts.items()}
+
+
 # licences
 
 
