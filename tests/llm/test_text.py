@@ -336,6 +336,15 @@ def test_disclosing_terms(spark):
     assert not pii.find(docs.where("false")).collect()
 
 
+def test_copies_hide_no_term(spark):
+    """Copies of a line with entity and term change nothing, and short names are terms."""
+    held = [f"Kim Quorra of q@secret.org about case{i}" for i in range(3)]
+    rows = [*held, *[held[0]] * 300, *[f"we talk of another case {body(50 + i, 5)}" for i in range(60)]]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc"]["doc_id"]: {s["x"] for s in r["spans"] if s["kind"] == "term"} for r in pii.find(docs).collect()}
+    assert all(got[i] >= {"Kim", "Quorra"} for i in range(303)) and not any(got[i] for i in range(303, 363))
+
+
 def test_overlapping_spans_become_one(spark):
     docs = spark.createDataFrame([(1, "call +378282246310005 or 10.0.0.1@x.org now")], "doc_id long, text string")
     text = pii.sanitise(docs).first()["text"]
