@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow.parquet as pq
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -345,6 +346,93 @@ def test_copies_hide_no_term(spark):
     assert all(got[i] >= {"Kim", "Quorra"} for i in range(303)) and not any(got[i] for i in range(303, 363))
 
 
+def slow_told(texts, alpha=0.8, support=3):
+    """(entity, term) pairs by a count over all distinct contexts, one by one."""
+    shape = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+|(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+|[0-9](?:[ -]?[0-9]){13,}|\+[0-9][ ().0-9-]+[0-9]"
+    contexts, told = set(), set()
+    for t in texts:
+        for line in t.split("\n"):
+            tokens = [(m[0].replace(" ", ""), m[1] is not None) for m in regex.finditer(rf"(?:{shape})|([\p{{L}}\p{{N}}]+)", line.lower())]
+            own = {tuple(tokens[i : i + 64]) for i in range(0, len(tokens), 64)}
+            contexts |= own
+            told |= own if slow_spans(line) else set()
+    n, of_term, of_entity, of_both = len(contexts), Counter(), Counter(), Counter()
+    for c in contexts:
+        terms = {x for x, is_term in c if is_term}
+        entities = {x for x, is_term in c if c in told and not is_term and any(e - s == len(x) for s, _, _, e in slow_spans(x))}
+        of_term.update(terms)
+        of_entity.update(entities)
+        of_both.update((e, t) for e in entities for t in terms)
+    bits = np.log2
+    return {(e, t) for (e, t), k in of_both.items() if k >= support and of_entity[e] >= support and bits(k * n / (of_entity[e] * of_term[t])) / bits(n / of_entity[e]) >= alpha}
+
+
+def corpus(seed, n=150):
+    """Lines in which some names stand beside some addresses, among common words; a third of the documents are copies."""
+    rng = np.random.default_rng(seed)
+    entities = ["q@secret.org", "A.Ray@x-y.net", "10.1.2.3", "4111 1111 1111 1111", "+1 234 567-8901", "999.1.1.1"]
+    names = ["Quorra", "Ray", "Kim7", "zoë", "12", "Ünal"]
+    texts = []
+    for _ in range(n):
+        lines = []
+        for _ in range(rng.integers(1, 5)):
+            words = list(rng.choice([f"w{k}" for k in range(60)], rng.integers(0, 90)))
+            if rng.random() < 0.4:
+                k = rng.integers(len(entities))
+                words.insert(rng.integers(len(words) + 1), entities[k])
+                if rng.random() < 0.8:
+                    words.insert(rng.integers(len(words) + 1), names[k])
+            if rng.random() < 0.05:
+                words.append(names[rng.integers(len(names))].upper())
+            lines.append(" ".join(words))
+        texts.append("\n".join(lines))
+    return texts + [texts[k] for k in rng.integers(0, n, n // 2)]
+
+
+def expect_spans(spark, texts):
+    told = slow_told(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.find(docs).select("doc.doc_id", pii.span_list("spans").alias("spans")).collect()}
+    shape = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+|(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+|[0-9](?:[ -]?[0-9]){13,}|\+[0-9][ ().0-9-]+[0-9]"
+    want, terms = {}, 0
+    for d, t in enumerate(texts):
+        base = slow_spans(t)
+        own = {t[s:e].lower().replace(" ", "") for s, _, _, e in base}
+        found = [(m.start(), 5, "term", m.end()) for m in regex.finditer(rf"(?:{shape})|([\p{{L}}\p{{N}}]+)", t) if m[1] and any((e, m[1].lower()) in told for e in own)]
+        terms += len(found)
+        want[d] = as_list(sorted(base + found))
+    assert got == want
+    return terms
+
+
+def test_spans_equal_brute_force(spark):
+    for seed in (1, 2):
+        assert expect_spans(spark, corpus(seed)) > 100
+
+
+def test_ten_copies_of_a_corpus_change_no_span(spark):
+    texts = corpus(3, 60)
+    rows = [(i, t) for i, t in enumerate(texts * 10)]
+    one, ten = (pii.find(spark.createDataFrame(r, "doc_id long, text string")).select("doc.doc_id", pii.span_list("spans").alias("s")).collect() for r in (rows[: len(texts)], rows))
+    once = {r["doc_id"]: r["s"] for r in one}
+    assert {r["doc_id"]: r["s"] for r in ten} == {i: once[i % len(texts)] for i, _ in rows} and any("term" in s for s in once.values())
+
+
+def test_texts_of_many_matches(spark):
+    """A text of 60,000 addresses in one line, and of 20,000 lines: linear, and sanitised whole."""
+    one = " ".join(f"user{i}@host{i}.org 10.0.{i % 256}.1 is" for i in range(30_000))
+    many = "\n".join(f"user{i}@host{i}.org is here" for i in range(20_000))
+    docs = spark.createDataFrame([(1, one), (2, many)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.sanitise(docs).collect()}
+    assert got[1]["text"] == " ".join(["[EMAIL] [IP] is"] * 30_000) and got[2]["text"] == "\n".join(["[EMAIL] is here"] * 20_000)
+
+
+def test_terms_are_generalised(spark):
+    rows = [f"Kim Quorra of unit 77 and x9 near q@secret.org about case{i}" for i in range(3)] + [f"we talk of another case {body(50 + i, 5)}" for i in range(60)]
+    got = {r["doc_id"]: r["text"] for r in pii.sanitise(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert got[0].startswith("[NAME] [NAME] of [TERM] [NUMBER] ") and "[EMAIL]" in got[0] and got[0].endswith("case0") and got[10] == rows[10]
+
+
 def test_overlapping_spans_become_one(spark):
     docs = spark.createDataFrame([(1, "call +378282246310005 or 10.0.0.1@x.org now")], "doc_id long, text string")
     text = pii.sanitise(docs).first()["text"]
