@@ -114,24 +114,58 @@ def brute(ids, x, asked, k):
     return out
 
 
-def test_recall_and_scores(spark):
-    for path in ("/root/testdata/sf0.01/embeddings.parquet", "/root/testdata/check_s/embeddings.parquet"):
-        table = pq.read_table(path)
-        ids, x = table.column("vec_id").to_numpy(), np.array(table.column("embedding").to_pylist(), dtype=np.float64)
-        want = brute(ids, x, ids % 20 == 0, 20)
-        by = {}
-        where = {int(d): i for i, d in enumerate(ids)}
-        for r in queries.op9_nearest(spark, path.rsplit("/", 1)[0]).collect():
-            by.setdefault(r["query_id"], []).append(r)
-            assert abs(r["score"] - x[where[r["query_id"]]] @ x[where[r["vec_id"]]]) < 1e-9
-        assert set(by) == set(want)
-        found = 0
-        for q, rows in by.items():
-            rows.sort(key=lambda r: r["rank"])
-            assert [r["rank"] for r in rows] == list(range(1, 21))
-            assert [(-r["score"], r["vec_id"]) for r in rows] == sorted((-r["score"], r["vec_id"]) for r in rows)
-            found += len({r["vec_id"] for r in rows} & set(want[q]))
-        assert found / (20 * len(want)) >= 0.95
+def clustered(n, seed):
+    """Unit vectors in tight groups of about 40."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(max(n // 40, 1), 64))[rng.integers(0, max(n // 40, 1), n)] + rng.normal(size=(n, 64)) * 0.05
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def expect_neighbours(spark, ids, x, least):
+    want = brute(ids, x, ids % 20 == 0, 20)
+    where = {int(d): i for i, d in enumerate(ids)}
+    by = {}
+    for r in ann.search(spark.createDataFrame(zip(ids.tolist(), x.tolist(), strict=True), "vec_id long, embedding array<double>"), queries.F.col("id") % 20 == 0, k=20).collect():
+        by.setdefault(r["query_id"], []).append(r)
+        assert abs(r["score"] - x[where[r["query_id"]]] @ x[where[r["vec_id"]]]) < 1e-9
+    assert set(by) == set(want)
+    found = 0
+    for q, rows in by.items():
+        rows.sort(key=lambda r: r["rank"])
+        assert [r["rank"] for r in rows] == list(range(1, 21))
+        assert [(-r["score"], r["vec_id"]) for r in rows] == sorted((-r["score"], r["vec_id"]) for r in rows)
+        found += len({r["vec_id"] for r in rows} & set(want[q]))
+    assert found / (20 * len(want)) >= least
+
+
+def test_recall_and_scores(spark, small):
+    table = pq.read_table(f"{small}/embeddings.parquet")
+    expect_neighbours(spark, table.column("vec_id").to_numpy(), np.array(table.column("embedding").to_pylist(), dtype=np.float64), 0.95)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(6000, 64))
+    expect_neighbours(spark, np.arange(6000), x / np.linalg.norm(x, axis=1, keepdims=True), 0.95)
+    expect_neighbours(spark, np.arange(4000), clustered(4000, 5), 0.95)
+
+
+def test_substring_index_holds_all_codes_within_the_radius():
+    """The pigeonhole probes find the codes that a comparison of all finds, and open few entries where codes are close."""
+    x = clustered(5000, 6)
+    model = ann.learn(x[:1000])
+    codes = ann.encode(x, *model)
+    index = ann.MultiIndex(np.arange(5000), x, codes)
+    far = ann.differing(codes[:100], codes)
+    for radius in (0, 5, 16, 20, 31):
+        a, b = index.candidates(codes[:100], radius)
+        assert set(zip(*np.nonzero(far <= radius), strict=True)) <= set(zip(a.tolist(), b.tolist(), strict=True))
+        assert len(a) < 100 * 5000 / 5
+    assert index.candidates(codes[:100], 120) is None
+    for radius in (5, 20, 120):
+        got = index.search(np.arange(100), x[:100], codes[:100], radius, 10)
+        for q in range(100):
+            limit = max(radius, np.partition(np.delete(far[q], q), 9)[9])
+            near = [j for j in np.flatnonzero(far[q] <= limit) if j != q]
+            scores = x[near] @ x[q]
+            assert got[1][got[0] == q].tolist() == [near[i] for i in np.lexsort((near, -scores))[:10]]
 
 
 def test_vectors_that_take_no_part(spark):
