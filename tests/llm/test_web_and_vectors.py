@@ -41,18 +41,74 @@ def test_pages_without_article(spark):
     assert not wrappers.main_text(pages.where("false")).collect()
 
 
+def texts(page):
+    return [t for _, t in wrappers.Page(page).texts]
+
+
 def test_quotes_in_tags():
     page = """<div title="don't > stop" x=it's><p data-a='"' b="1">one</p><p don't>two's</p><p c="open>three</p><p>4 < 5 & six</p></div>"""
-    assert [t for _, _, t in wrappers.parse(page)] == ["one", "two's", "three", "4 < 5 & six"]
-    assert [t for _, _, t in wrappers.parse("a <b" + "<i x=\"" * 3000)] == ["a"]
+    assert texts(page) == ["one", "two's", "three", "4 < 5 & six"]
+    assert texts("a <b" + "<i x=\"" * 3000) == ["a"]
+    for n in (60_000, 200_000):
+        assert texts(f"""<p>a</p><div data-x="{'x' * n} before</article> b leaked"><p>after</p></div>""") == ["a", "after"]
+    assert texts("<p a='" * 50_000 + "'>x</p>") == ["x"]
+
+
+def test_deep_pages():
+    deep = "<div>" * 20_000 + "<b>" * 20_000 + "deep" + "<li>x" * 5_000 + "<p>y" * 5_000
+    assert texts(deep) == ["deep", *["x"] * 5_000, *["y"] * 5_000]
+    assert " ".join(texts(deep)).endswith(wrappers.extract(deep, None)) and wrappers.extract(deep, None)
+    paths = "".join(f"<div class=c{i}>t{i}" for i in range(3000))
+    assert wrappers.extract(paths, None).endswith("t2998 t2999")
 
 
 def test_wrappers_fold_lists_and_options():
-    one = wrappers.infer(wrappers.parse("<ul><li>a</li><li>b</li></ul><p>x</p>"))
-    two = wrappers.infer(wrappers.parse("<ul><li>a</li></ul><h2>new</h2><p>y</p>"))
-    both = wrappers._same(one, two)
-    assert [(p[0], p[1]) for p in both[3]] == [("ul", ""), ("h2", "?"), ("p", "")]
-    assert both[3][0][3][0][:2] == ["li", "+"] and both[3][2][3][0][3] is None
+    one, two = (wrappers.infer(wrappers.Page(p)) for p in ("<ul><li>a</li><li>b</li></ul><p>x</p><i>z</i>", "<ul><li>a</li></ul><h2>new</h2><p>y</p>z"))
+    both = wrappers.align(one, two)
+    parts = {p[wrappers.KEY]: p for p in both["n"]}
+    assert list(parts) == ["", "ul", "li", "p", "h2"] and [p[wrappers.PAGES] for p in both["n"]] == [2, 2, 2, 2, 1]
+    assert parts["li"][wrappers.REPEATED] and not parts["p"][wrappers.REPEATED]
+    # A literal stays where all have it; what differs is a slot.
+    assert parts["li"][wrappers.LITERALS] == {wrappers._hash("a"): 1} and parts["p"][wrappers.LITERALS] == {} and parts[""][wrappers.LITERALS] == {wrappers._hash("z"): 1}
+    assert wrappers._unpacked(wrappers._packed(both)) == both
+
+
+def test_alignment_does_not_depend_on_the_order():
+    pages = [f"<div><p>same</p><p>text {i}</p>{'<ul><li>x</ul>' if i % 2 else ''}{'<h2>odd</h2>' if i == 5 else ''}</div>" for i in range(8)]
+
+    def said(order):
+        w = wrappers.infer(wrappers.Page(pages[order[0]]))
+        for i in order[1:]:
+            w = wrappers.align(w, wrappers.infer(wrappers.Page(pages[i])))
+        return {k: sorted(map(str, v)) for k, v in wrappers.rule(w).items()}
+
+    assert said(range(8)) == said([5, 3, 0, 7, 1, 2, 6, 4])
+
+
+def site(middle, cls="page"):
+    return f"""<body><div class="{cls}"><div class="top"><a>Home</a> <a>About</a></div>{middle}<div class="box"><p>All rights reserved by the same owner of this site since long ago</p></div></div></body>"""
+
+
+def host_texts(spark, pages):
+    df = spark.createDataFrame([(i, "https://s.example/a", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return [r["text"] for r in wrappers.main_text(df).orderBy("page_id").collect()]
+
+
+def test_literals_and_slots_decide(spark):
+    """Text that all pages of a host have goes, although no tag or class tells; frames named like asides stay."""
+    words = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(20)]
+    for cls in ("page", "content no-sidebar", "page with-header-image", "comments-open search-page layout"):
+        if "comments" in cls:
+            pages = [site(f"<article><h1>Title {i}</h1><p>{words[i]}</p><p>Follow us for more of this</p></article>", cls) for i in range(20)]
+        else:
+            pages = [site(f"<div class=x><h2>Title {i}</h2><p>{words[i]}</p><p>Follow us for more of this</p></div>", cls) for i in range(20)]
+        assert host_texts(spark, pages) == [f"Title {i} {words[i]}" for i in range(20)]
+    alone = wrappers.extract(pages[0], None)
+    assert "Follow us" in alone  # one page has no wrapper that could tell
+    # Copies of one page prove nothing: all its text would be literal.
+    assert set(host_texts(spark, pages[:1] * 20)) == {alone}
+    comments = [site(f"<div class=x><p>{words[i]}</p></div><div class='comments'><article class='comment'><p>{words[i + 1] * 5}</p></article></div>") for i in range(10)]
+    assert host_texts(spark, comments) == words[:10]
 
 
 def test_warc_of_a_table(spark, small):
