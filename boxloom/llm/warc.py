@@ -7,8 +7,12 @@ the shape of Spark's binaryFile source, so archives from anywhere read alike.
 Reading: each member is inflated and checked (gzip checksum, version line,
 Content-Length, block end, payload digest). After a failed check the reader
 searches for the next gzip magic that starts a valid member, or the next
-version line of an uncompressed record; what lies between is logged as a
-quarantined gap (archive, start, end, reason), and later records come through.
+version line, in the archive and in the inflated bytes of a member alike; what
+lies between is logged as a quarantined gap (archive, start, end, reason), and
+all other records come through. Of a damaged or cut member what inflates before
+the damage is searched as well. A gap inside a member has the member's bytes,
+and its place among the inflated ones in the reason. Numbers in headers that
+are none are read as missing.
 
 Defined cases: a null html is an empty payload; pages with a null id are
 written and read back with a null id, after all others when equal payloads
@@ -77,12 +81,11 @@ def _parse(raw: bytes, at: int = 0) -> tuple[dict, int] | str:
         if not colon:
             return "bad header line"
         head[k.strip().lower().decode("latin-1")] = v.strip().decode("utf-8", "replace")
-    try:
-        n = int(head["content-length"])
-    except (KeyError, ValueError):
+    said = head.get("content-length", "")
+    if not re.fullmatch("[0-9]{1,18}", said):
         return "no content length"
-    stop = end + 4 + n
-    if n < 0 or raw[stop : stop + 4] != b"\r\n\r\n":
+    stop = end + 4 + int(said)
+    if raw[stop : stop + 4] != b"\r\n\r\n":
         return "block not ended"
     payload = raw[end + 4 : stop]
     said = head.get("warc-payload-digest", "")
@@ -91,54 +94,87 @@ def _parse(raw: bytes, at: int = 0) -> tuple[dict, int] | str:
     return head | {"payload": payload}, stop + 4
 
 
-def _inflate(content: bytes, at: int, window: int = 65536) -> tuple[bytes, int] | str:
-    """The member at `at` and where it ends; fed in windows, so that what follows is not copied each time."""
-    z, out, view = zlib.decompressobj(31), [], memoryview(content)
-    try:
-        while not z.eof and at < len(content):
-            out.append(z.decompress(view[at : at + window]))
-            at = min(at + window, len(content))
-    except zlib.error:
-        return "bad member"
-    return (b"".join(out), at - len(z.unused_data)) if z.eof else "member cut off"
-
-
-def _member_at(content: bytes, at: int) -> tuple[list[dict], int] | str:
-    if content.startswith(MAGIC, at):
-        got = _inflate(content, at)
-        if isinstance(got, str):
-            return got
-        out, here = [], 0
-        while here < len(got[0]):
-            one = _parse(got[0], here)
-            if isinstance(one, str):
-                return one
-            out.append(one[0])
-            here = one[1]
-        return out, got[1]
-    one = _parse(content, at)
-    return one if isinstance(one, str) else ([one[0]], one[1])
+def _inflate(content: bytes, at: int, window: int = 65536) -> tuple[bytes, int, str]:
+    """What the member at `at` inflates to, where it ends (-1 if it is damaged or cut) and what is wrong with it."""
+    z, out, view = zlib.decompressobj(31), bytearray(), memoryview(content)
+    # Fed in windows, so that what follows is not copied each time; a window that fails is fed again byte by byte.
+    while not z.eof and at < len(content):
+        before = z.copy()
+        try:
+            out += z.decompress(view[at : at + window])
+        except zlib.error:
+            try:
+                for i in range(at, min(at + window, len(content))):
+                    out += before.decompress(view[i : i + 1])
+            except zlib.error:
+                pass
+            return bytes(out), -1, "bad member"
+        at = min(at + window, len(content))
+    return (bytes(out), at - len(z.unused_data), "") if z.eof else (bytes(out), -1, "member cut off")
+
+
+def _records(raw: bytes) -> tuple[list[dict], list[tuple[int, int, str]]]:
+    """The valid records of inflated bytes, and the gaps between them."""
+    found: list[dict] = []
+    gaps: list[tuple[int, int, str]] = []
+    at, bad, why = 0, -1, ""
+    while at < len(raw):
+        one = _parse(raw, at)
+        if isinstance(one, str):
+            bad, why = (at, one) if bad < 0 else (bad, why)
+            ahead = raw.find(b"WARC/1.", at + 1)
+            at = len(raw) if ahead < 0 else ahead
+            continue
+        if bad >= 0:
+            gaps.append((bad, at, why))
+            bad = -1
+        found.append(one[0])
+        at = one[1]
+    return found, gaps + ([(bad, len(raw), why)] if bad >= 0 else [])
 
 
 def salvage(content: bytes) -> tuple[list[dict], list[tuple[int, int, str]]]:
     """All valid records, and the gaps (start, end, reason) between them."""
     records: list[dict] = []
     gaps: list[tuple[int, int, str]] = []
-    at, bad, why = 0, None, ""
+    at, bad, why = 0, -1, ""
+
+    def fail(reason: str) -> None:
+        nonlocal at, bad, why
+        bad, why = (at, reason) if bad < 0 else (bad, why)
+        ahead = [x for x in (content.find(MAGIC, at + 1), content.find(b"WARC/1.", at + 1)) if x >= 0]
+        at = min(ahead, default=len(content))
+
+    def close() -> None:
+        nonlocal bad
+        if bad >= 0:
+            gaps.append((bad, at, why))
+            bad = -1
+
     while at < len(content):
-        got = _member_at(content, at)
-        if isinstance(got, str):
-            bad, why = (at, got) if bad is None else (bad, why)
-            ahead = [x for x in (content.find(MAGIC, at + 1), content.find(b"WARC/1.", at + 1)) if x >= 0]
-            at = min(ahead, default=len(content))
+        if not content.startswith(MAGIC, at):
+            one = _parse(content, at)
+            if isinstance(one, str):
+                fail(one)
+                continue
+            close()
+            records.append(one[0])
+            at = one[1]
             continue
-        if bad is not None:
-            gaps.append((bad, at, why))
-            bad = None
-        records += got[0]
-        at = got[1]
-    if bad is not None:
-        gaps.append((bad, len(content), why))
+        raw, end, reason = _inflate(content, at)
+        found, holes = _records(raw)
+        if end < 0:
+            records += found
+            fail(reason)
+            continue
+        if not found and raw:
+            fail(holes[0][2])
+            continue
+        close()
+        records += found
+        gaps += [(at, end, f"{what} at {s}-{e} of the inflated bytes") for s, e, what in holes]
+        at = end
+    close()
     return records, gaps
 
 
@@ -187,9 +223,13 @@ def read_archives(archives: DataFrame, gaps: bool = False) -> DataFrame:
     """The records of archives (path, content); with gaps=True the quarantined byte ranges instead."""
 
     def number(urn: str | None) -> int | None:
-        found = re.fullmatch(r"<urn:page:(-?\d+)>", urn or "")
+        found = re.fullmatch(r"<urn:page:(-?[0-9]{1,18})>", urn or "")
         return int(found[1]) if found else None
 
+    def length(r: dict) -> int:
+        said = r.get("x-payload-length", "")
+        return int(said) if re.fullmatch("[0-9]{1,18}", said) else len(r["payload"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -204,7 +244,7 @@ def read_archives(archives: DataFrame, gaps: bool = False) -> DataFrame:
                             "page_id": number(r.get("warc-record-id")),
                             "url": r.get("warc-target-uri"),
                             "payload": r["payload"],
-                            "payload_bytes": int(r.get("x-payload-length", len(r["payload"]))),
+                            "payload_bytes": length(r),
                             "payload_digest": r.get("warc-payload-digest", "").removeprefix("sha1:"),
                             "record_type": r.get("warc-type"),
                             "refers_to": number(r.get("warc-refers-to")),

@@ -153,6 +153,40 @@ def test_salvage_of_damage():
     assert [r["warc-target-uri"] for r in warc.salvage(plain)[0]] == ["u0", "u2"]
 
 
+def test_salvage_inside_a_member():
+    """Records before and after a bad one of the same member come through, and those before a cut."""
+    raw = [warc.record(i, f"u{i}", f"payload {i} ".encode() * 40, warc.digest(f"payload {i} ".encode() * 40)) for i in range(5)]
+    urls = lambda content: [r["warc-target-uri"] for r in warc.salvage(content)[0]]
+    bad = [*raw[:2], raw[2].replace(b"payload 2", b"payload X", 1), *raw[3:]]
+    one = warc.member(b"".join(bad))
+    records, gaps = warc.salvage(one)
+    assert [r["warc-target-uri"] for r in records] == ["u0", "u1", "u3", "u4"]
+    start = len(raw[0]) + len(raw[1])
+    assert gaps == [(0, len(one), f"digest differs at {start}-{start + len(raw[2])} of the inflated bytes")]
+    whole = warc.member(b"".join(raw))
+    assert urls(whole[:-12]) == ["u0", "u1", "u2", "u3"] or urls(whole[:-12]) == [f"u{i}" for i in range(5)]
+    assert len(warc.salvage(whole[:-12])[1]) == 1 and urls(whole[:-12] + warc.member(raw[4]))[-1] == "u4"
+    noise = np.random.default_rng(3).bytes(60_000)
+    big = [warc.record(i, f"u{i}", noise + bytes([i]), warc.digest(noise + bytes([i]))) for i in range(5)]
+    whole = warc.member(b"".join(big))
+    at = len(whole) // 2
+    broken = whole[:at] + bytes(64) + whole[at + 64 :]
+    assert urls(broken)[:2] == ["u0", "u1"] and urls(broken + warc.member(raw[3]))[-1] == "u3" and warc.salvage(broken)[1]
+    # Each damaged byte loses no record but its own, wherever it is.
+    members = [warc.member(r) for r in raw]
+    for at in range(0, len(members[2]), 7):
+        hurt = members[2][:at] + bytes([members[2][at] ^ 0x55]) + members[2][at + 1 :]
+        assert [u for u in urls(b"".join([*members[:2], hurt, *members[3:]])) if u != "u2"] == ["u0", "u1", "u3", "u4"]
+
+
+def test_foreign_headers(spark):
+    good = warc.record(7, "u", b"abc", warc.digest(b"abc"))
+    odd = [good.replace(b"X-Payload-Length: 3", b"X-Payload-Length: many"), good.replace(b"urn:page:7", b"urn:page:" + b"9" * 40), good.replace(b"Content-Length: 3", b"Content-Length: \xc2\xb2")]
+    archives = spark.createDataFrame([(str(i), bytearray(warc.member(o))) for i, o in enumerate(odd)], "path string, content binary")
+    got = sorted((str(r["page_id"]), r["payload_bytes"]) for r in warc.read_archives(archives).collect())
+    assert got == [("7", 3), ("None", 3)]
+
+
 def test_gaps_are_logged(spark):
     good = warc.member(warc.record(1, "u", b"abc", warc.digest(b"abc")))
     archives = spark.createDataFrame([("x", bytearray(b"bad!" + good)), ("y", bytearray(good)), ("z", None)], "path string, content binary")
