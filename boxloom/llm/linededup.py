@@ -4,13 +4,14 @@ A text is cut after each newline and each sentence end; the pieces, joined,
 are the text again. Pieces are normalised and hashed. Documents are paired
 through runs of adjacent pieces: from each piece on, and up to each piece, the
 shortest run with at least `min_words` words is hashed, and every document that
-has a run is paired with the first one that has it, so that n holders give
-n - 1 pairs and no run is too frequent to be looked at. Each piece of a block
-that two documents share lies in such a run inside the block, so whatever any
-earlier document gives reason to delete goes. The hash sequences of a pair are aligned by patience
-diff (unique common hashes, longest increasing run, then the gaps), and blocks
-of adjacent aligned pieces with at least `min_words` words are deleted from
-the later document. An alignment keeps the order and uses a piece once; blocks
+has a run is paired with an earlier one that has it (the first of its batch,
+and that with the first of all), so that n holders give n - 1 pairs and no run
+is too frequent to be looked at. Each piece of a block that two documents share
+lies in such a run inside the block, so whatever any earlier document gives
+reason to delete goes. The regions of a pair around shared runs are aligned by
+patience diff (unique common hashes, longest increasing run, then the gaps),
+and blocks of adjacent aligned pieces with at least `min_words` words are
+deleted from the later document. An alignment keeps the order and uses a piece once; blocks
 of the first document that stand elsewhere or again in the later one are found
 by an exact pass that follows. The first holder of a piece never loses it.
 
@@ -28,6 +29,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +37,9 @@ from .store import materialise, small_batches
 
 #: Splits after newlines, and after sentence ends before a space; a Java expression.
 CUT = r"(?<=\n)|(?<=[.!?])(?=\x20)"
+#: Pieces of a document that are aligned at once, runs at their ends aside.
+REGION = 512
+_SALTS = 64
 #: An odd number, so that powers of it can be divided by modulo 2^64.
 _BASE = 0x9E3779B97F4A7C15
 
@@ -154,8 +159,8 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return materialise(laid.withColumn("rid", F.monotonically_increasing_id()), "units")
 
 
-def run_keys(hashes: np.ndarray, words: np.ndarray, ends: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(document, key) of the shortest runs with at least min_words words that start, or end, at each piece; documents laid end to end."""
+def run_keys(hashes: np.ndarray, words: np.ndarray, ends: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, key, start, end) of the shortest runs with at least min_words words that start, or end, at each piece; documents laid end to end."""
     n, least = len(hashes), max(min_words, 1)
     before = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
     owner = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
@@ -170,25 +175,57 @@ def run_keys(hashes: np.ndarray, words: np.ndarray, ends: np.ndarray, min_words:
     power = lambda x: np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, x, np.uint64))])
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes.view(np.uint64) * power(_BASE)[:-1])])
     keys = (sums[k] - sums[i]) * power(pow(_BASE, -1, 1 << 64))[i] + (k - i).astype(np.uint64)
-    return owner[i], keys.view(np.int64)
+    from_ = np.concatenate([[0], ends])[owner[i]]
+    return owner[i], keys.view(np.int64), i - from_, k - from_
+
+
+def met_before(owner: np.ndarray, keys: np.ndarray, start: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """For each run the row of the first holder of its key, by the documents' rank, or -1 where the run's own document is the first."""
+    order = np.lexsort((start, rank[owner], keys))
+    new = np.concatenate([[True], keys[order][1:] != keys[order][:-1]])
+    first = np.empty(len(keys), np.int64)
+    first[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    return np.where(owner[first] == owner, -1, first)
 
 
 def pairs(rows: DataFrame, min_words: int = 20) -> DataFrame:
-    """Distinct (first, later) rids of documents that share a run of pieces with at least min_words words."""
+    """(first, later, a0, a1, b0, b1): regions of two documents that hold shared runs of at least min_words words; written.
+
+    The holders of a run in one batch meet its first one there; only that one
+    looks for its own first holder among those of all batches. A region is at
+    most REGION pieces and a run long on either side, so that neither a long
+    document nor one with a frequent passage is sent whole to all it meets.
+    """
     small_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             # Null texts have null lists; flatten leaves them out as empty ones.
             hashes, words = (x.column(i).flatten().to_numpy() for i in (2, 3))
+            if not len(hashes):
+                continue
             ends = np.cumsum(np.array([n or 0 for n in x.column(2).value_lengths().to_pylist()], np.int64))
-            doc, keys = run_keys(hashes, words, ends, min_words) if len(hashes) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([x.column(0).take(pa.array(doc)), x.column(1).take(pa.array(doc)), pa.array(keys)], names=["id", "rid", "h"])
+            doc, keys, start, end = run_keys(hashes, words, ends, min_words)
+            if not len(keys):
+                continue
+            rank = np.empty(x.num_rows, np.int64)
+            order = pc.sort_indices(x.select([0, 1]), sort_keys=[("id", "ascending"), ("rid", "ascending")], null_placement="at_start")
+            rank[order.to_numpy()] = np.arange(x.num_rows)
+            first = met_before(doc, keys, start, rank)
+            rid = x.column(1).to_numpy()[doc]
+            none = first < 0
+            of = lambda v, kind: pa.array(v[first], kind, mask=none)  # noqa: E731, B023
+            own = [x.column(0).take(pa.array(doc)), pa.array(rid), pa.array(keys), pa.array(start, pa.int32()), pa.array(end, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*own, of(rid, pa.int64()), of(start, pa.int32()), of(end, pa.int32())], names=["id", "rid", "h", "s", "e", "f", "fs", "fe"])
 
-    held = rows.select("id", "rid", "hashes", "words").mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, rid bigint, h bigint")
-    first = F.first("rid").over(Window.partitionBy("h").orderBy("id", "rid"))
-    met = held.select(first.alias("first"), F.col("rid").alias("later")).where("first <> later")
-    return materialise(met.distinct(), "pairs")
+    held = rows.select("id", "rid", "hashes", "words").mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, rid bigint, h bigint, s int, e int, f bigint, fs int, fe int")
+    # Runs that have met their first holder are spread, so that a frequent run is no large group.
+    salt = F.when(F.col("f").isNull(), 0).otherwise(1 + F.pmod(F.col("rid"), F.lit(_SALTS)))
+    first = F.first(F.struct("rid", "s", "e")).over(Window.partitionBy("h", salt).orderBy("id", "rid", "s"))
+    met = held.withColumn("w", F.when(F.col("f").isNull(), first).otherwise(F.struct(F.col("f").alias("rid"), F.col("fs").alias("s"), F.col("fe").alias("e")))).where("w.rid <> rid")
+    met = met.select(F.col("w.rid").alias("first"), F.col("rid").alias("later"), "s", "e", F.col("w.s").alias("fs"), F.col("w.e").alias("fe"))
+    regions = met.groupBy("first", "later", F.expr(f"fs div {REGION}").alias("i"), F.expr(f"s div {REGION}").alias("j"))
+    return materialise(regions.agg(F.min("fs").alias("a0"), F.max("fe").alias("a1"), F.min("s").alias("b0"), F.max("e").alias("b1")).drop("i", "j"), "pairs")
 
 
 def removals(rows: DataFrame, min_words: int = 20) -> DataFrame:
@@ -196,12 +233,14 @@ def removals(rows: DataFrame, min_words: int = 20) -> DataFrame:
     small_batches(rows.sparkSession)
     a = rows.select(F.col("rid").alias("first"), F.col("hashes").alias("a"))
     b = rows.select(F.col("rid").alias("later"), F.col("hashes").alias("b"), "words")
-    met = pairs(rows, min_words).join(b, "later").join(a, "first").select("later", "a", "b", "words")
+    cut = lambda c, s, e: F.slice(c, F.col(s) + 1, F.col(e) - F.col(s)).alias(c)
+    met = pairs(rows, min_words).join(b, "later").select("first", "later", "a0", "a1", "b0", cut("b", "b0", "b1"), cut("words", "b0", "b1"))
+    met = met.join(a, "first").select("later", "b0", cut("a", "a0", "a1"), "b", "words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            cut = [common_blocks(a, b, w, min_words) for a, b, w in zip(*(x.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
-            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(cut, pa.list_(pa.int32()))], names=["rid", "gone"])
+            gone = [[at + i for i in common_blocks(a, b, w, min_words)] for at, a, b, w in zip(*(x.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True)]
+            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(gone, pa.list_(pa.int32()))], names=["rid", "gone"])
 
     found = met.mapInArrow(run, "rid bigint, gone array<int>").where("size(gone) > 0")
     return found.groupBy("rid").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
@@ -212,7 +251,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 20, id_col: str = "doc_id", te
     rows = units(docs, id_col, text_col)
     out = rows.drop("hashes").withColumn("n_pieces", F.coalesce(F.size("words"), F.lit(0))).join(removals(rows, min_words), "rid", "left")
     words = F.expr("aggregate(gone, 0L, (s, i) -> s + words[i])")
-    stay = F.expr(f"array_join(filter(split(doc.`{text_col}`, '{CUT.replace(chr(92), chr(92) * 2)}', -1), (x, i) -> not array_contains(gone, i)), '')")
+    stay = F.expr(f"transform(array(split(doc.`{text_col}`, '{CUT.replace(chr(92), chr(92) * 2)}', -1)), p -> array_join(transform(array_except(sequence(0, size(p) - 1), gone), i -> p[i]), ''))[0]")
     keep = F.col("gone").isNull()
     return out.select(
         "doc",

@@ -1,40 +1,22 @@
 """The pipeline's stages, and run() against the brute-force versions of the operators."""
 
-from collections import Counter
-
 import public_tokenizers as public
 import pyarrow.parquet as pq
 import tokenizers
 from test_simhash import slow_classes, slow_fingerprint
-from test_text import cut, read, slow_figures, slow_spans
+from test_text import slow_dedup, slow_marks, slow_told, slow_verdicts
 from test_tokens import expect_pieces
 
 import corpus_pipeline
-from boxloom.llm import linededup, pii
+from boxloom.llm import pii
 
 
-def brute(texts):
-    """doc_id -> text after the first four stages; holds where no line is in over 50 documents of a host."""
-    lines = Counter(x for t in texts.values() for x in {" ".join(x.lower().split()) for x in t.split("\n")} if x)
-    assert max(lines.values()) <= 50
-    kept = {}
-    for d, t in texts.items():
-        n, _, _, _, rep = slow_figures(t)
-        if n >= 20 and 100 * rep <= 30 * n:
-            kept[d] = t
-    norm = {d: [" ".join(p.split()).lower() for p in cut(t)] for d, t in kept.items()}
-    first = {}
-    for d in sorted(norm):
-        for p in norm[d]:
-            if len(p.split(" ")) >= 4:
-                first.setdefault(p, d)
-    left = {}
-    for d in norm:
-        words = [len(p.split(" ")) if p else 0 for p in norm[d]]
-        gone = {i for e in {first[p] for p in norm[d] if p in first} - {d} for i in linededup.common_blocks(norm[e], norm[d], words, 20)}
-        text = "".join(p for i, p in enumerate(cut(kept[d])) if i not in gone)
-        if not gone or text.strip():
-            left[d] = text
+def brute(rows):
+    """doc_id -> text after the first four stages; rows is doc_id -> (text, source)."""
+    verdicts = dict(zip(rows, slow_verdicts(list(rows.values()), 50), strict=True))
+    kept = {d: text for d, (_, ok, text) in verdicts.items() if ok}
+    cut_down = slow_dedup(kept)
+    left = {d: t for d, t in cut_down.items() if t == kept[d] or t.strip()}
     fps = {}
     for d, t in left.items():
         fps.setdefault(slow_fingerprint(t), []).append(d)
@@ -42,17 +24,22 @@ def brute(texts):
     out = {}
     for d, t in left.items():
         if classes[d] == d:
-            at, parts = 0, []
-            for start, _, kind, end in slow_spans(t):
-                if start >= at:
-                    parts += [t[at:start], pii.TAGS[kind]]
-                at = max(at, end)
-            out[d] = "".join(parts) + t[at:]
+            out[d] = t
+    told = slow_told(out.values())
+    for d, t in out.items():
+        at, parts = 0, []
+        for start, _, kind, end in slow_marks(t, told):
+            if start >= at:
+                tag = pii.TAGS[kind] if kind != "term" else "[NUMBER]" if t[start:end].isdecimal() else "[NAME]" if t[start].isupper() else "[TERM]"
+                parts += [t[at:start], tag]
+            at = max(at, end)
+        out[d] = "".join(parts) + t[at:]
     return out
 
 
 def test_run_equals_brute_force(spark, tiny):
-    want = brute({d: t or "" for d, t in read(tiny).items()})
+    table = pq.read_table(f"{tiny}/documents.parquet").to_pylist()
+    want = brute({r["doc_id"]: (r["text"], r["source"]) for r in table})
     rows = corpus_pipeline.run(spark, tiny).collect()
     assert {r["doc_id"] for r in rows} == set(want) and len(want) < 200
     expect_pieces(rows, want, tokenizers.Tokenizer.from_file(public.path("byte_bpe_50k.json")))

@@ -82,6 +82,39 @@ def test_two_long_shared_lines(spark):
     assert all(got[20 + i]["kept"] and got[20 + i]["removed_words"] == 0 for i in range(8))
 
 
+def slow_verdicts(rows, max_docs, min_left=0.2):
+    """(removed words, kept, text that stays) of each (text, host), by a count of the different documents that hold each line of a host."""
+    norm = [[" ".join(x.lower().split()) if WORD.search(x) else "" for x in (t or "").split("\n")] for t, _ in rows]
+    holders = {}
+    for (_, host), lines in zip(rows, norm, strict=True):
+        whole = tuple(x for x in lines if x)
+        for x in whole:
+            holders.setdefault((host, x), set()).add(whole)
+    out = []
+    for (t, host), lines in zip(rows, norm, strict=True):
+        parts = (t or "").split("\n")
+        gone = {i for i, x in enumerate(lines) if x and len(holders[host, x]) > max_docs}
+        n, _, _, _, rep = slow_figures(t or "")
+        removed = sum(len(WORD.findall(parts[i])) for i in gone)
+        kept = n >= 20 and 100 * rep <= 30 * n and n - removed >= min_left * n
+        out.append((removed, kept, t if t is None else "\n".join(x for i, x in enumerate(parts) if i not in gone)))
+    return out
+
+
+def test_verdicts_equal_brute_force(spark, small):
+    """Lines above the limit, and depleted documents, of a whole table and of one made for it; at a low limit, so that many go."""
+    table = pq.read_table(f"{small}/documents.parquet")
+    rows = list(zip(table.column("text").to_pylist(), table.column("source").to_pylist(), strict=True))
+    rng = np.random.default_rng(5)
+    menu = [f"Menu  line {k} of the site" for k in range(12)]
+    made = [("\n".join([*rng.choice(menu, int(rng.integers(0, 9))), body(int(rng.integers(40)), int(rng.integers(2, 40))), "Menu line 1 OF the site "]), f"h{int(rng.integers(3))}" if rng.random() < 0.9 else None) for _ in range(200)]
+    for rows, limit, least in ((rows, 2, 1), (rows + made, 6, 50)):
+        docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, source string")
+        got = {r["doc"]["doc_id"]: (r["removed_words"], r["kept"], r["clean"]) for r in quality.judge(docs, max_docs=limit, keep_text=True).collect()}
+        want = slow_verdicts(rows, limit)
+        assert got == dict(enumerate(want)) and sum(w[0] > 0 for w in want) >= least
+
+
 # line dedup
 
 
@@ -150,27 +183,6 @@ def test_repeated_passages_go(spark):
     assert "passage" not in got[1]["text"] and "another part" not in got[1]["text"] and body(3) in got[1]["text"]
 
 
-def test_line_dedup_of_a_table(spark, small):
-    """Every deletion is a block of an earlier document, and no long block of adjacent unique pieces stays."""
-    texts = read(small)
-    norm = {d: [" ".join(p.split()).lower() for p in cut(t or "")] for d, t in texts.items()}
-    first = {}
-    for d in sorted(norm):
-        for p in norm[d]:
-            if len(p.split(" ")) >= 4:
-                first.setdefault(p, d)
-    want = {}
-    for d in norm:
-        gone = set()
-        words = [len(p.split(" ")) if p else 0 for p in norm[d]]
-        for e in {first[p] for p in norm[d] if p in first} - {d}:
-            gone |= set(linededup.common_blocks(norm[e], norm[d], words, 20))
-        want[d] = "".join(p for i, p in enumerate(cut(texts[d] or "")) if i not in gone)
-    got = {r["doc_id"]: r["text_sha256"] for r in queries.op3_line_dedup(spark, small).collect()}
-    assert got == {d: hashlib.sha256(t.encode()).hexdigest() for d, t in want.items()}
-    assert sum(want[d] != texts[d] for d in want) > 20
-
-
 def removed(spark, texts):
     return {r["doc"]["doc_id"]: r["n_removed"] for r in linededup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
 
@@ -190,42 +202,72 @@ def test_first_holders_of_single_pieces_hide_no_passage(spark):
     assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 3}
 
 
+def slow_dedup(texts, least=20):
+    """Texts without every piece in a run of at least `least` words that an earlier document holds; stated by all shortest runs from and to each piece."""
+    seen, out = set(), {}
+    for d in sorted(texts):
+        pieces = cut(texts[d] or "")
+        norm = [" ".join(p.split()).lower() for p in pieces]
+        size = [len(x.split()) for x in norm]
+        runs = set()
+        for i in range(len(norm)):
+            k, n = i, 0
+            while k < len(norm) and n < least:
+                n, k = n + size[k], k + 1
+            if n >= least:
+                runs.add((i, k))
+            k, n = i + 1, 0
+            while k > 0 and n < least:
+                k -= 1
+                n += size[k]
+            if n >= least:
+                runs.add((k, i + 1))
+        gone = {j for i, k in runs if tuple(norm[i:k]) in seen for j in range(i, k)}
+        seen |= {tuple(norm[i:k]) for i, k in runs}
+        out[d] = "".join(p for j, p in enumerate(pieces) if j not in gone)
+    return out
+
+
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.lists(st.integers(0, 4), max_size=10), max_size=6), st.integers(1, 9))
-def test_runs_meet_every_block(docs, least):
-    """Pairing with the first holder of each run deletes all that pairing with every earlier document does."""
-    flat = np.array([x for d in docs for x in d], np.int64)
-    owner, keys = linededup.run_keys(flat * 7919, flat % 4, np.cumsum([len(d) for d in docs], dtype=np.int64), least) if len(flat) else ([], [])
-    first, met = {}, [set() for _ in docs]
-    for d, k in sorted(zip(map(int, owner), map(int, keys), strict=True)):
-        met[d].add(first.setdefault(k, d))
-    for d, b in enumerate(docs):
-        gone = lambda some: {j for e in some for j in linededup.common_blocks(docs[e], b, [x % 4 for x in b], least)}  # noqa: E731, B023
-        assert gone(met[d] - {d}) == gone(range(d))
-
-
-def test_line_dedup_against_all_earlier_documents(spark, small):
-    """What goes from a document is all that any earlier one shares with it, not only the first holders of its pieces."""
+@given(st.lists(st.lists(st.integers(0, 4), max_size=9), max_size=6), st.integers(1, 9))
+def test_slow_dedup_is_all_runs_of_earlier_documents(docs, least):
+    """The brute force above against the plainest one: all runs of any length, all earlier documents."""
+    texts = {d: "".join(" ".join([f"w{x}"] * (1 + x % 3)) + "\n" for x in doc) for d, doc in enumerate(docs)}
+    got = slow_dedup(texts, least)
+    for d, doc in enumerate(docs):
+        gone = set()
+        for i in range(len(doc)):
+            for k in range(i + 1, len(doc) + 1):
+                if sum(1 + x % 3 for x in doc[i:k]) >= least and any(docs[e][s : s + k - i] == doc[i:k] for e in range(d) for s in range(len(docs[e]))):
+                    gone |= set(range(i, k))
+        assert got[d] == "".join(p for j, p in enumerate(cut(texts[d])) if j not in gone)
+
+
+def test_line_dedup_equals_brute_force(spark, small):
+    """What goes from a document is all that any earlier one shares with it."""
     texts = read(small)
-    norm = {d: [" ".join(p.split()).lower() for p in cut(t or "")] for d, t in texts.items()}
-    sizes = {d: [len(p.split(" ")) if p else 0 for p in norm[d]] for d in norm}
-    holders = {}
-    for d in sorted(norm):
-        gone, meets, own = set(), set(), []
-        for i in range(len(norm[d])):
-            k, n = i, 0
-            while k < len(norm[d]) and n < 20:
-                n, k = n + sizes[d][k], k + 1
-            if n >= 20:
-                own.append(tuple(norm[d][i:k]))
-                meets |= holders.get(own[-1], set())
-        for e in meets:
-            gone |= set(linededup.common_blocks(norm[e], norm[d], sizes[d], 20))
-        for x in own:
-            holders.setdefault(x, set()).add(d)
-        texts[d] = "".join(p for i, p in enumerate(cut(texts[d] or "")) if i not in gone)
+    want = slow_dedup(texts)
     got = {r["doc_id"]: r["text_sha256"] for r in queries.op3_line_dedup(spark, small).collect()}
-    assert got == {d: hashlib.sha256(t.encode()).hexdigest() for d, t in texts.items()}
+    assert got == {d: hashlib.sha256(t.encode()).hexdigest() for d, t in want.items()}
+    assert sum(want[d] != texts[d] for d in want) > 100
+
+
+def test_line_dedup_of_odd_tables(spark):
+    """Frequent passages, moved and repeated ones, a very long document of many regions, all in the same table."""
+    rng = np.random.default_rng(8)
+    lines = [" ".join(f"x{k}y{j}" for j in range(int(rng.integers(1, 9)))) for k in range(400)]
+    texts = {}
+    for d in range(300):
+        parts = [body(d, 12)]
+        for _ in range(int(rng.integers(0, 5))):
+            at = int(rng.integers(0, 390))
+            parts += lines[at : at + int(rng.integers(1, 30))] if d % 3 else lines[:12]
+        texts[d] = "\n".join(parts)
+    texts[150] = "\n".join(lines * 12 + [body(999, 3)] * 40)
+    for order in ({}, {d: 1000 - d for d in texts}):
+        table = {order.get(d, d): t for d, t in texts.items()}
+        got = {r["doc"]["doc_id"]: r["text"] for r in linededup.dedup_lines(spark.createDataFrame(list(table.items()), "doc_id long, text string").repartition(5)).collect()}
+        assert got == slow_dedup(table)
 
 
 # licences
@@ -389,20 +431,21 @@ def corpus(seed, n=150):
     return texts + [texts[k] for k in rng.integers(0, n, n // 2)]
 
 
+def slow_marks(t, told):
+    """All spans of a text: base ones, and terms that disclose one of its entities."""
+    shape = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+|(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+|[0-9](?:[ -]?[0-9]){13,}|\+[0-9][ ().0-9-]+[0-9]"
+    base = slow_spans(t)
+    own = {t[s:e].lower().replace(" ", "") for s, _, _, e in base}
+    return sorted(base + [(m.start(), 5, "term", m.end()) for m in regex.finditer(rf"(?:{shape})|([\p{{L}}\p{{N}}]+)", t) if m[1] and any((e, m[1].lower()) in told for e in own)])
+
+
 def expect_spans(spark, texts):
     told = slow_told(texts)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["spans"] for r in pii.find(docs).select("doc.doc_id", pii.span_list("spans").alias("spans")).collect()}
-    shape = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+|(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+|[0-9](?:[ -]?[0-9]){13,}|\+[0-9][ ().0-9-]+[0-9]"
-    want, terms = {}, 0
-    for d, t in enumerate(texts):
-        base = slow_spans(t)
-        own = {t[s:e].lower().replace(" ", "") for s, _, _, e in base}
-        found = [(m.start(), 5, "term", m.end()) for m in regex.finditer(rf"(?:{shape})|([\p{{L}}\p{{N}}]+)", t) if m[1] and any((e, m[1].lower()) in told for e in own)]
-        terms += len(found)
-        want[d] = as_list(sorted(base + found))
-    assert got == want
-    return terms
+    want = {d: slow_marks(t, told) for d, t in enumerate(texts)}
+    assert got == {d: as_list(w) for d, w in want.items()}
+    return sum(x[2] == "term" for w in want.values() for x in w)
 
 
 def test_spans_equal_brute_force(spark):
