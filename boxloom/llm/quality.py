@@ -120,7 +120,7 @@ def judge(docs: DataFrame, max_docs: int = 50, min_left: float = 0.2, text_col:
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     out = out.withColumn("base_failed", failed).withColumn("kept", ~failed & ((F.col("n_words") - F.col("removed_words")) >= F.lit(min_left) * F.col("n_words")))
     if keep_text:
-        clean = F.expr("array_join(filter(split(doc.text, '\\n', -1), (x, i) -> not array_contains(gone, i)), '\\n')")
+        clean = F.expr("transform(array(split(doc.text, '\\n', -1)), p -> array_join(transform(array_except(sequence(0, size(p) - 1), gone), i -> p[i]), '\\n'))[0]")
         out = out.select("*", F.col("doc.text").alias("text"), F.when(F.col("gone").isNull(), F.col("doc.text")).otherwise(clean).alias("clean")).withColumn("doc", F.col("doc.doc"))
     return out.drop("gone")
 
