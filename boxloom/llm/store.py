@@ -6,17 +6,20 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used, and set, only where the session names no spark.checkpoint.dir (tests, notebooks).
+#: Used where a local session names no spark.checkpoint.dir (tests, notebooks).
 LOCAL_DIR = "/tmp/checkpoints/boxloom"
-#: Rows of one Arrow batch handed to Python; bounds a worker's memory when texts are very long.
+#: Rows and bytes of one Arrow batch handed to Python, at most (a longer row is a batch of its own); they bound a worker's memory.
 ARROW_ROWS = 500
+ARROW_BYTES = 16 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of this application's intermediate tables."""
+    """The shared folder of this application's intermediate tables; only a local session may leave it unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        spark.conf.set("spark.checkpoint.dir", LOCAL_DIR)
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         root = LOCAL_DIR
     return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
 
@@ -34,8 +37,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of the Python operators."""
+    """Bound the Arrow batches of the Python operators, for the session: plans read these settings when they run, not when they are made."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def clear_scratch(spark: SparkSession) -> None:
