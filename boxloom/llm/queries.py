@@ -80,12 +80,15 @@ _BASE32 = "array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEF
 
 
 def _license_sql() -> str:
-    known = ", ".join(f"('{name}', [" + ", ".join(f"'{g}'" for g in licenses.template_bigrams(t)) + "])" for name, t in licenses.TEMPLATES.items())
+    known = ", ".join(f"('{name}', [" + ", ".join(f"'{g}'" for g in licenses.template_bigrams(t)) + "])" for name, t in licenses.TEMPLATES)
+    cut = lambda x: f"string_split(regexp_replace({x}, '([.!?:;])[ \\t]', '\\1' || chr(10), 'g'), chr(10))"
     return f"""WITH d AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS t FROM documents),
-        u AS (SELECT rid, unnest(list_distinct(list_concat(string_split(t, chr(10)), string_split(regexp_replace(t, '([.!?])[ \\t]', '\\1' || chr(10), 'g'), chr(10)), [t]))) AS u FROM d),
+        p AS (SELECT rid, t, list_transform(string_split_regex(t, '\\n[ \\t\\r]*\\n'), lambda x: replace(x, chr(10), ' ')) AS ps FROM d),
+        u AS (SELECT rid, unnest(list_distinct(list_concat(string_split(t, chr(10)), {cut('t')}, ps, flatten(list_transform(ps, lambda x: {cut('x')})), [t]))) AS u FROM p),
         w AS (SELECT rid, u, regexp_extract_all(lower(u), '[\\p{{L}}\\p{{N}}]+(?:[.][\\p{{L}}\\p{{N}}]+)*') AS w FROM u),
         g AS (SELECT rid, u, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w),
-        s AS (SELECT rid, u, name, 2.0::DOUBLE * len(list_intersect(g, b)) / (len(g) + len(b)) AS dice FROM g, (VALUES {known}) k(name, b)),
+        k AS (SELECT * FROM (VALUES {known}) k(name, b)),
+        s AS (SELECT rid, u, name, 2.0::DOUBLE * len(list_intersect(g, b)) / (len(g) + len(b)) AS dice FROM g JOIN k ON len(g) * 3 >= len(b) * 2 AND len(g) * 2 <= len(b) * 3),
         m AS (SELECT rid, name, dice FROM s WHERE dice >= 0.8 QUALIFY row_number() OVER (PARTITION BY rid, u ORDER BY dice DESC, name) = 1)
         SELECT doc_id, count(name) AS n_units, list(name ORDER BY dice DESC, name)[1] AS licence, round(max(dice), 6) AS score, coalesce(string_agg(DISTINCT name, ',' ORDER BY name), '') AS licences FROM d LEFT JOIN m USING (rid) GROUP BY rid, doc_id"""
 

@@ -273,13 +273,20 @@ def test_line_dedup_of_odd_tables(spark):
 # licences
 
 
+KNOWN = [(name, set(licenses.template_bigrams(t))) for name, t in licenses.TEMPLATES]
+
+
 def slow_licence(text):
-    units = set(text.split("\n")) | set(re.sub(r"([.!?])[ \t]", "\\1\n", text).split("\n")) | {text}
+    """Best (score, licence) of every unit: lines, paragraphs with their lines joined, sentences of either, and all."""
+    units = {text}
+    for part in [text.split("\n"), [" ".join(p.split("\n")) for p in re.split(r"\n[ \t\r]*\n", text)]]:
+        units |= set(part)
+        for u in part:
+            units |= set(re.sub(r"([.!?:;])[ \t]", "\\1\n", u).split("\n"))
     best = {}
     for u in units:
         a = set(licenses.template_bigrams(u))
-        for name, t in licenses.TEMPLATES.items():
-            b = set(licenses.template_bigrams(t))
+        for name, b in KNOWN:
             dice = 2 * len(a & b) / (len(a) + len(b))
             if dice >= 0.8:
                 best[u] = max(best.get(u, (0, "")), (dice, name), key=lambda x: (x[0], [-ord(c) for c in x[1]]))
@@ -301,11 +308,36 @@ def test_licences_equal_brute_force(spark, small):
     assert hits > 5
 
 
+def wrapped(text, width, mark=""):
+    import textwrap
+
+    return "\n".join(mark + x for x in textwrap.wrap(text, width))
+
+
+def test_real_licence_texts(spark):
+    """Licences wrapped, on one line and in comments, inside long documents and alone."""
+    rows, want = [], {}
+    for name, paragraphs in licenses.FULL.items():
+        for form in (lambda p: wrapped(p, 75), lambda p: p, lambda p: wrapped(p, 60, " * "), lambda p: wrapped(p, 72, "# ")):
+            for text in ("\n\n".join(map(form, paragraphs)), "\n\n".join([body(1, 80), form(paragraphs[0]), body(2, 300) + "."]), f"{body(3, 40)}.\n{form(paragraphs[0])}\n{body(4, 50)}"):
+                want[len(rows)] = name
+                rows.append((len(rows), text))
+    notice = "\n".join(wrapped(p, 70, "# ") for p in licenses.NOTICES["GPL-3.0"][1:])
+    rows += [(1000, f"#!/bin/sh\n#\n{notice}\n#\necho"), (1001, "\n\n".join(f"{i + 1}. {p}" for i, p in enumerate(licenses.FULL["BSD-3-Clause"]))), (1002, body(9, 500)), (1003, "the license of this software is provided as is without any other warranties " * 30)]
+    got = {r["doc_id"]: set(r["licences"].split(",")) - {""} for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # BSD's first paragraph is that of both, the one with fewer clauses comes first.
+    assert not [(i, name, got[i]) for i, name in want.items() if not got[i] & ({name} | ({"BSD-2-Clause"} if "BSD" in name else set()))]
+    assert got[1000] == {"GPL-3.0"} and got[1001] >= {"BSD-3-Clause"} and not got[1002] and not got[1003]
+    short = {i: t for i, t in rows}
+    for i in [*range(0, len(want), 5), 1000, 1001]:
+        assert got[i] == {x[1] for x in slow_licence(short[i]).values()}
+
+
 def test_licences_of_odd_rows(spark):
-    rows = [(1, None), (2, ""), (3, licenses.TEMPLATES["MIT-notice"]), (3, "x\n" + licenses.TEMPLATES["GPL-3.0"] + ".\ny"), (None, "the license of this word"), (4, "license " * 20000)]
+    rows = [(1, None), (2, ""), (3, licenses.FULL["MIT"][0]), (3, "x\n" + licenses.NOTICES["GPL-3.0"][0] + ".\ny"), (None, "the license of this word"), (4, "license " * 20000)]
     docs = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, licence string")
     got = licenses.scan(docs).collect()
-    assert sorted((str(r["doc_id"]), str(r["licence"])) for r in got) == [("1", "None"), ("2", "None"), ("3", "GPL-3.0"), ("3", "MIT-notice"), ("4", "None"), ("None", "None")]
+    assert sorted((str(r["doc_id"]), str(r["licence"])) for r in got) == [("1", "None"), ("2", "None"), ("3", "GPL-3.0"), ("3", "MIT"), ("4", "None"), ("None", "None")]
     assert not licenses.scan(docs.where("false")).collect()
 
 
