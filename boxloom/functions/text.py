@@ -40,10 +40,10 @@ def drop_final_stop(c: Column) -> Column:
 
 
 def clean_caption(c: Column, terms: list[str] = SENTENCE_TERMS) -> Column:
-    """Lower case, lead and final stop dropped, sentences without the terms joined again."""
+    """Lower case, lead and final stop dropped, sentences without the terms joined again; empty if none is left."""
     body = let(let(F.lower(c), drop_lead), drop_final_stop)
     kept = F.filter(F.transform(F.split(body, r"\. "), strip), lambda s: (s != "") & ~reduce(lambda a, b: a | b, [F.contains(s, F.lit(t)) for t in terms]))
-    return F.concat(F.array_join(kept, ". "), F.lit("."))
+    return let(kept, lambda k: F.when(F.size(k) == 0, "").otherwise(F.concat(F.array_join(k, ". "), F.lit("."))))
 
 
 def drop_parentheses(c: Column) -> Column:
@@ -67,15 +67,19 @@ def normalise_attribute(c: Column, drop_commas: bool) -> Column:
 
 
 def filter_attributes(attrs: Column, web: Column | None = None, vlm: Column | None = None) -> Column:
-    """Normalised attributes without fixed terms; with captions also without conditional terms that neither holds."""
+    """Normalised attributes without fixed terms; with captions also without conditional terms that neither holds.
+
+    Terms count inside parentheses too; with captions these go afterwards.
+    """
     one = web is not None
-    norm = F.transform(attrs, lambda a: normalise_attribute(drop_parentheses(a) if one else a, one))
+    norm = F.transform(attrs, lambda a: normalise_attribute(a, one))
     bad = lambda a: reduce(lambda x, y: x | y, [F.contains(a, F.lit(t)) for t in ATTRIBUTE_TERMS])
-    out = F.filter(norm, lambda a: (a != "") & ~bad(a))
+    out = F.filter(norm, lambda a: ~bad(a))
     if one:
         for t in CONDITIONAL_TERMS:
             out = _drop_unless_held(out, t, web, vlm)
-    return out
+        out = F.transform(out, drop_parentheses)
+    return F.filter(out, lambda a: a != "")
 
 
 def _drop_unless_held(items: Column, term: str, web: Column, vlm: Column) -> Column:
@@ -130,16 +134,16 @@ def word_in(word: str, phrase: Column) -> Column:
 
 
 def add_singulars(items: Column) -> Column:
-    """man, woman, child, person are added when only longer phrases hold them."""
-    for w in HUMAN_TERMS.values():
-        items = _add_if_inside(items, w)
+    """man, woman, child, person are added when only longer phrases hold them or their plural."""
+    for plural, singular in HUMAN_TERMS.items():
+        items = _add_if_inside(items, plural, singular)
     return items
 
 
-def _add_if_inside(items: Column, word: str) -> Column:
+def _add_if_inside(items: Column, plural: str, singular: str) -> Column:
     def add(known: Column) -> Column:
-        missing = ~F.array_contains(known, word) & F.exists(known, lambda p: word_in(word, p))
-        return F.when(missing, F.concat(known, F.array(F.lit(word)))).otherwise(known)
+        missing = ~F.array_contains(known, singular) & F.exists(known, lambda p: word_in(plural, p) | word_in(singular, p))
+        return F.when(missing, F.concat(known, F.array(F.lit(singular)))).otherwise(known)
 
     return let(items, add)
 
@@ -180,10 +184,17 @@ def folder(path: Column, up: int = 1) -> Column:
 
 
 def last_sentence_within(c: Column, limit: int = 77) -> Column:
-    """Code point after the last sentence that ends within `limit` words; 0 if none does."""
-    parts = F.split(c, r"(?<=[.!?])\s+")
-    step = lambda a, s: F.struct(
-        (a["w"] + F.size(F.split(s, r"\s+"))).alias("w"),
-        F.when(a["w"] + F.size(F.split(s, r"\s+")) <= limit, a["n"] + 1).otherwise(a["n"]).alias("n"),
-    )
-    return F.aggregate(parts, F.struct(F.lit(0).alias("w"), F.lit(0).alias("n")), step, lambda a: a["n"])
+    """Where, in code points, the last sentence ends that ends within `limit` words; 0 if none does.
+
+    A sentence ends with a word that ends in . ! or ?, and with the text.
+    """
+    def ends(pieces: Column) -> Column:
+        step = lambda a, w: F.struct(
+            (a["n"] + 1).alias("n"),
+            (a["at"] + F.length(w)).alias("at"),
+            F.when(w.rlike("[.!?]$") | (a["n"] + 1 == F.size(pieces)), a["at"] + F.length(w)).otherwise(a["best"]).alias("best"),
+        )
+        start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("at"), F.lit(0).alias("best"))
+        return F.aggregate(F.slice(pieces, 1, limit), start, step, lambda a: a["best"])
+
+    return let(F.regexp_extract_all(c, F.lit(r"\s*\S+"), F.lit(0)), ends)

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 
 def softmax(logits: Column) -> Column:
-    """Probabilities of an array of logits, safe for large ones."""
-    top = F.array_max(logits)
-    raised = F.transform(logits, lambda x: F.exp(x.cast("double") - top.cast("double")))
-    total = F.aggregate(raised, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(raised, lambda x: x / total)
+    """Probabilities of an array of logits, safe for large ones; each step is computed once, so the cost is linear."""
+    raised = lambda top: F.transform(logits, lambda x: F.exp(x.cast("double") - top.cast("double")))
+    total = lambda r: F.aggregate(r, F.lit(0.0), lambda a, x: a + x)
+    return let(let(F.array_max(logits), raised), lambda r: let(total(r), lambda t: F.transform(r, lambda x: x / t)))
 
 
 def argmax(values: Column) -> Column:

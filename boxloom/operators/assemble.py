@@ -124,16 +124,25 @@ def not_done(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return work.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
-def contiguous_slices(rows: DataFrame, key: str, k: int, buckets: int = 512) -> DataFrame:
-    """Adds slice_id: k equal runs in the order of an integer key, the last takes the rest.
+def contiguous_slices(rows: DataFrame, key: str, k: int, buckets: int = 64) -> DataFrame:
+    """Adds slice_id: k equal runs in the order of a numeric key, null keys first; the last takes the rest.
 
-    A row's rank is its rank inside a bucket of keys plus the rows of earlier
-    buckets, so no task sorts everything; only bucket counts meet in one place.
+    A row's rank is its rank inside a bucket plus the rows of earlier buckets.
+    Buckets are cut at quantiles of the keys, so crowded ranges of keys are
+    spread; no task sorts everything and only bucket counts meet in one place.
     """
-    lo, hi, n = rows.agg(F.min(key), F.max(key), F.count("*")).first()
+    n, cuts = rows.agg(F.count("*"), F.percentile_approx(key, [i / buckets for i in range(1, buckets)], 1000)).first()
     if not n:
         return rows.withColumn("slice_id", F.lit(0).cast("long"))
-    cut = rows.withColumn("_b", F.floor((F.col(key) - lo) * buckets / (hi - lo + 1)))
+    cuts = sorted(set(cuts or []))
+    above = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(key))) if cuts else F.lit(0)
+    cut = rows.withColumn("_b", F.when(F.col(key).isNull(), -1).otherwise(above))
     before = cut.groupBy("_b").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    rn = F.col("_before") + F.row_number().over(Window.partitionBy("_b").orderBy(key)) - 1
-    return cut.join(F.broadcast(before), "_b").withColumn("slice_id", F.least(F.floor(rn / max(n // k, 1)), F.lit(k - 1)).cast("long")).select(*rows.columns, "slice_id")  # at most `buckets` rows are broadcast
+    rn = F.col("_before") + F.row_number().over(Window.partitionBy("_b").orderBy(F.col(key).asc_nulls_first())) - 1
+    return cut.join(F.broadcast(before), "_b").withColumn("slice_id", F.least(F.floor(rn / max(n // k, 1)), F.lit(k - 1)).cast("long")).select(*rows.columns, "slice_id")  # at most `buckets` + 1 rows are broadcast
+
+
+def with_display(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Adds display_idx, from 1 in each image and replica in the given order, and display, "index | label"."""
+    idx = F.row_number().over(Window.partitionBy("image_id", "sub_sample").orderBy(*order))
+    return rows.withColumn("display_idx", idx).withColumn("display", F.concat_ws(" | ", F.col("display_idx").cast("string"), "label"))

@@ -15,8 +15,8 @@ def with_field(df: DataFrame, name: str, value: Column, replace: bool = True) ->
     return df.withColumn(name, value)
 
 
-def take(df: DataFrame, positions: Sequence[int], key: str = "image_id", pos: str = "pos") -> DataFrame:
-    """Rows at the positions, renumbered in the order given; the positions are literals in one expression."""
+def take(df: DataFrame, positions: Sequence[int], pos: str = "pos") -> DataFrame:
+    """Rows of each image at the positions, renumbered in the order given; the positions are literals in one expression."""
     order = F.array(*[F.lit(int(p)) for p in positions]) if positions else F.array().cast("array<int>")
     at = F.posexplode(F.transform(order, lambda p: p))
     wanted = df.sparkSession.range(1).select(at.alias("_new", pos))

@@ -91,7 +91,7 @@ def draw_votes(boxes: np.ndarray, labels: np.ndarray, detectors: np.ndarray, ext
     while len(chosen) < k and len(left):
         s = np.maximum(support[left], 0)
         e = np.where(used[codes[left]], 0.0, c.s4_new) + (extra[: len(left)] if c.misaligned_novelty else extra[left])
-        at = pick(c.s4_base + c.s4_iou * s / (s + c.s4_den) + 2.0 * e, draws(len(chosen)))
+        at = pick(c.s4_base + c.s4_iou * s / (s + c.s4_den) + c.s4_new * e, draws(len(chosen)))
         p = int(left[at])
         chosen.append(p)
         left = np.delete(left, at)
@@ -112,7 +112,7 @@ def draw_uncovered(boxes: np.ndarray, labels: np.ndarray, extra: np.ndarray, k:
         s = cover[np.ix_(left, rest)].sum(axis=1)
         new = np.array([0.0 if labels[i] in used else c.s5_new for i in left])
         e = new + c.s5_area / c.s5_new * size[left] + (extra[: len(left)] if c.misaligned_novelty else extra[left])
-        p = left[pick(c.s5_base + c.s5_num / (c.s5_den + s) + 1.5 * e, draws(len(chosen)))]
+        p = left[pick(c.s5_base + c.s5_num / (c.s5_den + s) + c.s5_new * e, draws(len(chosen)))]
         chosen.append(p)
         used.add(labels[p])
         if c.mode == "stage_5":

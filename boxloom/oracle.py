@@ -107,7 +107,7 @@ def _similar(a: str, b: str) -> str:
 
 def _merge() -> str:
     human = "CASE image_id % 5 WHEN 0 THEN ['men'] WHEN 1 THEN ['woman'] WHEN 2 THEN ['old people'] WHEN 3 THEN ['a man walking'] ELSE ['children', 'young child'] END"
-    out = f"""WITH {DET}, nm AS (SELECT image_id, list_sort(list(DISTINCT label))[1:12] AS l FROM det WHERE trim(label) <> '' GROUP BY image_id),
+    out = f"""WITH {DET}, nm AS (SELECT image_id, list_sort(list(DISTINCT label)) AS l FROM det WHERE trim(label) <> '' GROUP BY image_id),
   att AS (SELECT image_id, list_concat(l, list_transform(l, lambda x: 'small ' || x), list_transform(l, lambda x: replace(x, ' ', '-')), list_transform(l, lambda x: 'a very old big ' || x), {human}) AS p1,
     list_transform(l, lambda x, i: split_part(x, ' ', -1) || CASE WHEN (i - 1) % 3 = 0 THEN 's' ELSE '' END) AS p2 FROM nm),
   e1 AS (SELECT DISTINCT image_id, unnest(p1) AS a FROM att),
@@ -117,9 +117,10 @@ def _merge() -> str:
   b1 AS (SELECT image_id, list(a ORDER BY k) AS b FROM un GROUP BY image_id),
   pl AS (SELECT image_id, list_filter(list_reduce(list_concat([b], list_transform(range(1, len(b) + 1), lambda i: [i::VARCHAR])), lambda acc, i: CASE WHEN ends_with(acc[i[1]::INT], 's') AND list_contains(acc, substr(acc[i[1]::INT], 1, length(acc[i[1]::INT]) - 1)) THEN list_transform(acc, lambda x, k: CASE WHEN k = i[1]::INT THEN '' ELSE x END) ELSE acc END), lambda x: x <> '') AS b FROM b1),
   h0 AS (SELECT image_id, list_distinct(list_transform(b, lambda x: CASE x {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in HUMAN_TERMS.items())} ELSE x END)) AS b FROM pl)"""
-    for i, w in enumerate(HUMAN_TERMS.values()):
+    inside = lambda w: f"starts_with(p, '{w} ') OR ends_with(p, ' {w}') OR contains(p, ' {w} ')"
+    for i, (many, w) in enumerate(HUMAN_TERMS.items()):
         out += f""",
-  h{i + 1} AS (SELECT image_id, CASE WHEN NOT list_contains(b, '{w}') AND len(list_filter(b, lambda p: starts_with(p, '{w} ') OR ends_with(p, ' {w}') OR contains(p, ' {w} '))) > 0 THEN list_append(b, '{w}') ELSE b END AS b FROM h{i})"""
+  h{i + 1} AS (SELECT image_id, CASE WHEN NOT list_contains(b, '{w}') AND len(list_filter(b, lambda p: {inside(many)} OR {inside(w)})) > 0 THEN list_append(b, '{w}') ELSE b END AS b FROM h{i})"""
     return out + " SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY length(item), item) - 1 AS pos, item FROM (SELECT image_id, unnest(b) AS item FROM h4)"
 
 
@@ -166,11 +167,12 @@ def oracle_sql() -> dict[str, str]:
         "detector_contribution": f"{FULL} {COUNTS}, count(*) AS n_boxes, count(DISTINCT label) AS n_labels FROM styled GROUP BY image_id",
         "detector_label_rollup": f"{FULL} SELECT coalesce(detector, '(all)') AS detector, coalesce(label, '(all)') AS label, count(*) AS n_boxes, sum(round(score * 10000)::BIGINT)::BIGINT AS score_sum, grouping(detector, label) AS level FROM styled GROUP BY ROLLUP (detector, label)",
         "caption_preprocess": f"""WITH {CAP}, c1 AS (SELECT image_id, lower(vlm) AS c FROM cap), c2 AS (SELECT image_id, {_DROP.format(c='c')} AS c FROM c1), c3 AS (SELECT image_id, CASE WHEN ends_with(c, '.') THEN substr(c, 1, length(c) - 1) ELSE c END AS c FROM c2)
-            SELECT image_id, coalesce(list_aggregate(list_filter(list_transform(string_split(c, '. '), lambda s: {_STRIP('s')}), lambda s: s <> '' AND NOT {_has('s', CORPUS_TERMS)}), 'string_agg', '. '), '') || '.' AS caption FROM c3""",
+            SELECT image_id, coalesce(list_aggregate(list_filter(list_transform(string_split(c, '. '), lambda s: {_STRIP('s')}), lambda s: s <> '' AND NOT {_has('s', CORPUS_TERMS)}), 'string_agg', '. ') || '.', '') AS caption FROM c3""",
         "attribute_parse": f"WITH {PARSED} SELECT conv_id, turn::BIGINT AS turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY k) - 1 AS pos, item FROM ord",
-        "attribute_postprocess": f"""WITH {PARSED}, nr AS (SELECT conv_id, turn, answer, k, replace(replace(lower({_STRIP(_STRIP("regexp_replace(item, '\\([^()]*\\)', '', 'g')"))}), '_', ' '), ',', '') AS item FROM ord)
-            SELECT conv_id, turn::BIGINT AS turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY k) - 1 AS pos, item FROM nr WHERE item <> '' AND NOT {_has('item', ATTRIBUTE_TERMS)} """
-        + " ".join(f"AND NOT (NOT contains(answer, '{t}') AND contains(item, '{t}'))" for t in CONDITIONAL_TERMS),
+        "attribute_postprocess": f"""WITH {PARSED}, nr AS (SELECT conv_id, turn, answer, k, replace(replace(lower({_STRIP('item')}), '_', ' '), ',', '') AS item FROM ord),
+            al AS (SELECT conv_id, turn, k, {_STRIP("regexp_replace(item, '\\([^()]*\\)', '', 'g')")} AS item FROM nr WHERE NOT {_has('item', ATTRIBUTE_TERMS)} """
+        + " ".join(f"AND NOT (NOT contains(answer, '{t}') AND contains(item, '{t}'))" for t in CONDITIONAL_TERMS)
+        + ") SELECT conv_id, turn::BIGINT AS turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY k) - 1 AS pos, item FROM al WHERE item <> ''",
         "attribute_merge": _merge(),
         "dialog_build": f"WITH {CAP} SELECT image_id, 0::BIGINT AS turn, 'system' AS role, $p${dialog.PHASE1_SYSTEM}$p$ AS content FROM cap UNION ALL SELECT image_id, 1, 'user', 'Noisy caption: ' || lower(web) || chr(10) || 'Detailed caption: ' || lower(vlm) || chr(10) || 'List every object with its attributes.' FROM cap",
         "yes_no_question": f"{FULL} SELECT DISTINCT image_id, label, 'Does this picture show ' || label || '? Answer yes or no.' AS question FROM styled",
@@ -181,7 +183,7 @@ def oracle_sql() -> dict[str, str]:
         "crop_order": f"{_CROP} SELECT image_id, detector, pos, row_number() OVER (PARTITION BY image_id ORDER BY crop_w * crop_h DESC, detector, pos) AS crop_rank FROM c3",
         "tile_choice": f"WITH {_GRID} SELECT image_id, i, j FROM ch",
         "tile_boxes": f"WITH {_GRID} SELECT image_id, n, n % i * 448 AS x0, n // i * 448 AS y0, (n % i + 1) * 448 AS x1, (n // i + 1) * 448 AS y1 FROM (SELECT image_id, i, j, unnest(range(0, i * j)) AS n FROM ch) UNION ALL SELECT image_id, i * j, 0, 0, 0, 0 FROM ch WHERE i * j > 1",
-        "resume_anti_join": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+        "resume_anti_join": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')",
         "contiguous_slices": "SELECT c_custkey, least((row_number() OVER (ORDER BY c_custkey) - 1) // greatest((SELECT count(*) FROM customer) // 7, 1), 6) AS slice_id FROM customer",
         "mode_label": f"{FULL}, ct AS (SELECT image_id, label, count(*) AS n FROM styled GROUP BY ALL) SELECT image_id, label AS mode_label, n FROM ct QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY n DESC, md5('0|' || image_id || '|' || label) DESC) = 1",
         "final_annotations": f"{FULL} SELECT image_id::VARCHAR AS new_key, count(*) AS box_num, count(DISTINCT label) AS category_num, string_agg(label, ',' ORDER BY {_id()}) AS labels, string_agg(detector, ',' ORDER BY {_id()}) AS detectors FROM styled GROUP BY image_id",
@@ -190,5 +192,18 @@ def oracle_sql() -> dict[str, str]:
         "resolution_filter": f"WITH {_IMAGES} SELECT * FROM im WHERE width >= 1024 AND height >= 1024 AND width <= 4096 AND height <= 6144 AND greatest(width, height) <= 1.5::DOUBLE * least(width, height)",
         "aesthetic_class": "SELECT p_partkey, CASE WHEN (p_partkey % 13) / 2.0 >= 6 THEN 'main' WHEN (p_partkey % 13) / 2.0 >= 5.75 THEN 'add_on' ELSE 'reject' END AS class FROM part",
         "phash_dedup": f"WITH {_IMAGES} SELECT *, md5((image_id % 7)::VARCHAR) AS phash FROM im QUALIFY row_number() OVER (PARTITION BY image_id % 7 ORDER BY image_id) = 1",
+        "last_sentence": f"""WITH {CAP}, ps AS (SELECT image_id, regexp_extract_all(vlm, '\\s*\\S+') AS w FROM cap), un AS (SELECT image_id, len(w) AS n, unnest(w) AS x, generate_subscripts(w, 1) AS k FROM ps),
+            pl AS (SELECT *, sum(length(x)) OVER (PARTITION BY image_id ORDER BY k) AS e FROM un)
+            SELECT image_id, coalesce(max(e) FILTER (k <= 77 AND (k = n OR right(x, 1) IN ('.', '!', '?'))), 0)::BIGINT AS n FROM cap LEFT JOIN pl USING (image_id) GROUP BY image_id""",
+        "display_strings": f"{FULL}, ix AS (SELECT image_id, detector, pos, label, row_number() OVER (PARTITION BY image_id ORDER BY detector, pos) AS display_idx FROM styled) SELECT image_id, detector, pos, display_idx, display_idx::VARCHAR || ' | ' || label AS display FROM ix",
+        "detector_records": f"WITH {DET} SELECT image_id::VARCHAR AS new_key, detector, pos - 1 AS pos, label, round(score, 6) AS score, x0::DOUBLE AS x0, y0::DOUBLE AS y0, x1::DOUBLE AS x1, y1::DOUBLE AS y1 FROM det WHERE detector = 'gd'",
+        "json_resume": f"WITH {_IMAGES} SELECT * FROM im WHERE width < 1500",
+        "line_files": f"WITH {_IMAGES} SELECT width AS value FROM im",
+        "key_ranges": f"WITH {_IMAGES} SELECT *, 'range' AS part FROM im WHERE image_id >= 3 AND image_id < 8 UNION ALL SELECT *, 'up to' FROM im WHERE image_id <= 4",
+        "key_parts": "SELECT p_partkey, replace(p_name, ' ', '_') || '.tar' AS stem, '/data/' || (p_partkey % 5) AS folder, '/data' AS top, replace(p_name, ' ', '_') || '.tar' AS key, p_partkey % 12 AS replica FROM part",
+        "box_transform": f"{FULL} SELECT image_id, detector, pos, width / 2.0::DOUBLE - (x1 * 0.5::DOUBLE - 8) AS x0, y0 * 0.5::DOUBLE - 4 AS y0, width / 2.0::DOUBLE - (x0 * 0.5::DOUBLE - 8) AS x1, y1 * 0.5::DOUBLE - 4 AS y1 FROM styled",
+        "text_places": f"{FULL} SELECT image_id, detector, pos, greatest(least(greatest(x0 - 300, 0), width - 300), 0) AS x0, greatest(least(greatest(y0 - 20, 0), height - 20), 0) AS y0, least(greatest(x0 - 300, 0) + 300, width) AS x1, least(greatest(y0 - 20, 0) + 20, height) AS y1 FROM styled",
+        "instance_take": f"WITH {DET} SELECT image_id, (CASE pos WHEN 3 THEN 0 ELSE 1 END)::BIGINT AS pos, label FROM det WHERE detector = 'od' AND pos IN (1, 3)",
+        "instance_arrays": f"WITH {DET} SELECT image_id, detector, pos - 1 AS pos, label, round(score, 6) AS score FROM det",
         "hashed_uniform": f"SELECT c_custkey, {_u(chr(39) + '3' + chr(39), chr(39) + 'x' + chr(39), 'c_custkey::VARCHAR')} AS u FROM customer",
     }

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from boxloom import fixtures as fx
+from boxloom import schemas
 from boxloom.functions import dialog, geometry as g, text, tiling, verdict
 from boxloom.functions.rng import random_order, uniform
-from boxloom.operators import assemble, detections as dt, merging, replicas, sampling, suppress
+from boxloom.operators import assemble, detections as dt, instances, merging, replicas, sampling, suppress
 from boxloom.plans import stages
+from boxloom.sources import readers, sinks
 
 ROW = ["image_id", "detector", "pos", "label", "score", "x0", "y0", "x1", "y1"]
 CORPUS_TERMS = [" the the", " and and", " of of", "tion and"]
@@ -246,7 +248,8 @@ def tile_boxes(spark, d):
 
 
 def resume_anti_join(spark, d):
-    orders = fx.table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    """Customers without an order in progress."""
+    orders = fx.table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
     return assemble.not_done(fx.table(spark, d, "customer").select("c_custkey"), orders, ["c_custkey"])
 
 
@@ -294,6 +297,82 @@ def hashed_uniform(spark, d):
     return fx.table(spark, d, "customer").select("c_custkey", uniform(3, F.lit("x"), "c_custkey").alias("u"))
 
 
+def display_strings(spark, d):
+    """Index, from 1 in an image, and label of each box as drawn."""
+    rows = assemble.with_display(_filtered(spark, d).withColumn("sub_sample", F.lit(0)), ["detector", "pos"])
+    return plain(rows.select("image_id", "detector", "pos", "display_idx", "display"))
+
+
+def detector_records(spark, d):
+    """Boxes as one record of parallel arrays an image, written as JSON, read back and laid out again."""
+    boxes = fx.detections(spark, d).where("detector = 'gd'")
+    each = F.struct("pos", "label", "score", F.array(*[F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1")]).alias("box"))
+    records = boxes.groupBy(F.col("image_id").cast("string").alias("new_key")).agg(F.array_sort(F.collect_list(each)).alias("a"), F.array_sort(F.collect_set("label")).alias("OV_to_detect"))
+    records = records.select("new_key", "OV_to_detect", F.col("a.box").alias("bboxes"), F.col("a.score").alias("scores"), F.transform("a.label", lambda x: (F.array_position("OV_to_detect", x) - 1).cast("int")).alias("labels"))
+    path = sinks.scratch(spark, "detector_records")
+    sinks.overwrite_json(records, path)
+    return plain(readers.detector_rows(spark.read.schema(schemas.DETECTOR).json(path), "gd"))
+
+
+def json_resume(spark, d):
+    """Images left to do after those of 1500 pixels or more in width have been written."""
+    work, path = fx.images(spark, d), sinks.scratch(spark, "json_resume")
+    sinks.append_json(sinks.pending(work, path, ["image_id"]).where("width >= 1500"), path)
+    return plain(sinks.pending(work, path, ["image_id"]))
+
+
+def line_files(spark, d):
+    """Numbers written one a line and read again."""
+    path = sinks.scratch(spark, "line_files")
+    sinks.write_lines(fx.images(spark, d).select(F.col("width").cast("string").alias("value")), path)
+    return readers.numbers(spark, path, "long")
+
+
+def key_ranges(spark, d):
+    """Images of a key range, and up to a key."""
+    rows = fx.images(spark, d)
+    return plain(readers.key_range(rows, "image_id", 3, 8).withColumn("part", F.lit("range")).union(readers.up_to(rows, "image_id", 4).withColumn("part", F.lit("up to"))))
+
+
+def key_parts(spark, d):
+    """Keys joined with a replica and split again, stems and folders of paths."""
+    rows = fx.table(spark, d, "part").select("p_partkey", F.concat(F.lit("/data/"), (F.col("p_partkey") % 5).cast("string"), F.lit("/"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(".tar.json")).alias("path"))
+    rows = rows.withColumn("stem", text.stem(F.col("path"))).withColumn("key", text.make_key(F.col("stem"), F.col("p_partkey") % 12))
+    key, replica = text.split_key(F.col("key"))
+    return plain(rows.select("p_partkey", "stem", text.folder(F.col("path")).alias("folder"), text.folder(F.col("path"), 2).alias("top"), key.alias("key"), replica.alias("replica")))
+
+
+def box_transform(spark, d):
+    """Boxes scaled by half, moved by a crop's offset and mirrored."""
+    b = g.transform_box(g.box(), F.col("width") / 2, 0.5, 8, 4, flip=True)
+    return plain(_filtered(spark, d).select("image_id", "detector", "pos", b.alias("b")).select("image_id", "detector", "pos", "b.x0", "b.y0", "b.x1", "b.y1"))
+
+
+def text_places(spark, d):
+    """Where a text of 300 by 20 goes whose lower right corner is a box's upper left one."""
+    rows = _filtered(spark, d)
+    at = g.place_text(F.col("x0"), F.col("y0"), F.lit(300), F.lit(20), F.col("width"), F.col("height"), "bottom_right")
+    return plain(rows.select("image_id", "detector", "pos", at.alias("b")).select("image_id", "detector", "pos", "b.x0", "b.y0", "b.x1", "b.y1"))
+
+
+def instance_take(spark, d):
+    """The third and first box of each image and detector, renumbered."""
+    return plain(instances.take(fx.detections(spark, d).where("detector = 'od'").select("image_id", "pos", "label"), [3, 1]))
+
+
+def instance_arrays(spark, d):
+    """Parallel arrays of an image as rows with positions."""
+    rows = fx.detections(spark, d).groupBy("image_id", "detector").agg(F.array_sort(F.collect_list(F.struct("pos", "label", "score"))).alias("a"))
+    return plain(instances.from_arrays(rows.select("image_id", "detector", F.col("a.label").alias("label"), F.col("a.score").alias("score")), ["label", "score"]))
+
+
+def replica_boxes(spark, d):
+    """Whole records of all replicas: image size, labels, boxes, scores and detectors, also of images whose replicas are empty."""
+    kept = _survivors(spark, d)
+    got = assemble.with_empty(replicas.replica_sampling(kept), fx.images(spark, d), kept)
+    return got.select(*[F.to_json(F.col(c)).alias(c) if kind.startswith(("array", "struct")) else F.col(c).cast("long").alias(c) if kind == "int" else F.col(c) for c, kind in got.dtypes])
+
+
 def caption_stage(spark, d):
     """Phase 1 and 2 with the offline model."""
     rows = fx.captions(spark, d).select(F.col("image_id").cast("string").alias("new_key"), "web_caption", "vlm_caption")
@@ -312,7 +391,7 @@ _RUN = (
     equal_contribution_sample, contribution_caps, detector_contribution, detector_label_rollup, overlap_aware_sample, replica_sampling, replica_records, slice_merge, iou_label_merge, merged_detections,
     caption_preprocess, attribute_parse, attribute_postprocess, attribute_merge, dialog_build, yes_no_question, softmax_yes_no, verdict_correction, verdict_group, crop_plan, crop_order,
     tile_choice, tile_boxes, resume_anti_join, contiguous_slices, mode_label, final_annotations, train_val_split, final_nms, resolution_filter, aesthetic_class, phash_dedup, last_sentence,
-    hashed_uniform, caption_stage, curate,
+    hashed_uniform, caption_stage, curate, display_strings, detector_records, json_resume, line_files, key_ranges, key_parts, box_transform, text_places, instance_take, instance_arrays, replica_boxes,
 )
 
 

@@ -84,12 +84,23 @@ def detector_rows(records: DataFrame, detector: str) -> DataFrame:
     return rows.select("new_key", F.lit(detector).alias("detector"), "pos", F.get("OV_to_detect", F.col("z.labels")).alias("label"), F.col("z.scores").alias("score"), *[F.col("z.bboxes")[i].alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))])
 
 
-def merged_inputs(images: DataFrame, captions: DataFrame, detections: Sequence[DataFrame], key: str = "new_key") -> DataFrame:
-    """Detections of all detectors, tagged, with their image and caption; missing sides are dropped here and found by `missing`."""
+def merged_inputs(images: DataFrame, captions: DataFrame, detections: Sequence[DataFrame], key: str = "new_key", complete: bool = True) -> DataFrame:
+    """Detections of all detectors, tagged, with their image and caption.
+
+    A detection without image or caption is an error when it is reached; with
+    complete=False it is dropped, and found by `missing`.
+    """
     boxes = detections[0]
     for d in detections[1:]:
         boxes = boxes.unionByName(d)
-    return boxes.join(images, key).join(captions, key)
+    if not complete:
+        return boxes.join(images, key).join(captions, key)
+    sides = [(images.withColumn("_image", F.lit(True)), "_image"), (captions.withColumn("_caption", F.lit(True)), "_caption")]
+    for side, mark in sides:
+        boxes = boxes.join(side, key, "left")
+        found = F.when(F.col(mark), F.col(key)).otherwise(F.raise_error(F.concat(F.lit(f"no {mark[1:]} for "), F.col(key).cast("string"))))
+        boxes = boxes.withColumn(key, found).drop(mark)
+    return boxes
 
 
 def missing(left: DataFrame, right: DataFrame, key: str = "new_key") -> DataFrame:

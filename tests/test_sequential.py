@@ -6,7 +6,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from boxloom.functions import text, tiling, verdict
-from boxloom.operators import instances, merging, replicas, suppress
+from boxloom.functions.rng import uniform_py
+from boxloom.operators import assemble, instances, merging, replicas, suppress
 from pyspark.sql import functions as F
 
 COLS = "image_id long, detector string, pos int, label string, score double, x0 double, y0 double, x1 double, y1 double"
@@ -101,6 +102,166 @@ def test_replicas(n, seed):
         replicas.sample_image(seed, boxes, labels, dets, replicas.SampleConfig(seed=seed, mode=mode, misaligned_novelty=True))
 
 
+def overlap(a, b):
+    w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+    return w * h if w > 0 and h > 0 else 0.0
+
+
+def size(a):
+    return (a[2] - a[0]) * (a[3] - a[1])
+
+
+def plain_iou(a, b):
+    return overlap(a, b) / (size(a) + size(b) - overlap(a, b))
+
+
+def drawn(weights, u):
+    """Walk along the weights until the draw is used up."""
+    left = u * sum(weights)
+    for i, w in enumerate(weights):
+        left -= w
+        if left < 0:
+            return i
+    return len(weights) - 1
+
+
+def literal_image(image, boxes, labels, dets, c):
+    """Stages 4 and 5 step by step over lists; every weight is made anew for every pick."""
+    out, taken, pool = [], [], list(range(len(boxes)))
+    for r in range(c.replicas):
+        if len(pool) < c.least_share * len(boxes) or len(pool) < min(0.5 * len(boxes), c.s5_low):
+            break
+
+        def u(what, i=0, r=r):
+            return uniform_py(c.seed, image, r, what, i)
+
+        def novelty(i, weight, r=r):
+            seen = sum(plain_iou(boxes[i], boxes[d]) * (2 if labels[i] == labels[d] else 1) for d in taken)
+            return r * weight * 2 / (seen + 0.5) if taken else 0.0
+
+        want = min(max(int((c.s4_low + (c.s4_high - c.s4_low) * u("share")) * len(pool)), c.s4_min), len(pool))
+        own = list(pool)
+        if len(pool) > want:
+            left, own = list(pool), []
+            while len(own) < want:
+                extra = [(c.s4_new if all(labels[i] != labels[o] for o in own) else 0.0) + novelty(n if c.misaligned_novelty else i, c.s4_novelty) for n, i in zip(pool, left)]
+                agree = [sum(plain_iou(boxes[i], boxes[j]) for j in left if labels[i] == labels[j] and dets[i] != dets[j]) for i in left]
+                at = drawn([c.s4_base + c.s4_iou * a / (a + c.s4_den) + c.s4_new * e for a, e in zip(agree, extra, strict=True)], u("s4", len(own)))
+                own.append(left.pop(at))
+        low = min(int(c.s5_low_share * len(own)), c.s5_low)
+        want = min(low + int(u("k") * (c.s5_high - low + 1)), len(own), c.s5_most)
+        if len(own) >= 2:
+            want = max(want, 2)
+        left, picks = list(own), []
+        while left and len(picks) < want:
+            extra = [(c.s5_new if all(labels[i] != labels[p] for p in picks) else 0.0) + c.s5_area / c.s5_new * size(boxes[i]) + novelty(n if c.misaligned_novelty else i, c.s5_novelty) for n, i in zip(own, left)]
+            covered = [sum(overlap(boxes[i], boxes[j]) / size(boxes[i]) * (2 if labels[i] == labels[j] else 1) for j in left if j != i) for i in left]
+            p = left[drawn([c.s5_base + c.s5_num / (c.s5_den + a) + c.s5_new * e for a, e in zip(covered, extra, strict=True)], u("s5", len(picks)))]
+            picks.append(p)
+            left = [i for i in left if i != p and overlap(boxes[i], boxes[p]) / size(boxes[i]) * (2 if labels[i] == labels[p] else 1) <= c.s5_overlap]
+        out.append(picks)
+        taken += picks
+        pool = [i for i in pool if i not in picks]
+    return out
+
+
+@pytest.mark.parametrize("misaligned", [False, True])
+def test_replicas_equal_the_literal_version(misaligned):
+    for seed in range(25):
+        rng = np.random.default_rng(seed)
+        n = int(rng.integers(0, 90))
+        corner = rng.random((n, 2)) * 0.8
+        boxes = np.concatenate([corner, corner + 0.05 + rng.random((n, 2)) * 0.15], axis=1)
+        labels, dets = rng.choice(list("abcdefgh"), n), rng.choice(["gd", "yw", "ow", "od"], n)
+        c = replicas.SampleConfig(seed=seed, misaligned_novelty=misaligned)
+        assert replicas.sample_image(seed, boxes, labels, dets, c) == literal_image(seed, boxes.tolist(), list(labels), list(dets), c)
+
+
+def hull(a, b):
+    return [min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3])]
+
+
+def literal_slices(boxes, scores, threshold):
+    boxes, scores = [list(b) for b in boxes], list(scores)
+    while True:
+        found = None
+        for i in range(len(boxes)):
+            for j in range(i + 1, len(boxes)):
+                if overlap(boxes[i], boxes[j]) / min(size(boxes[i]), size(boxes[j])) > threshold:
+                    found = i, j
+        if found is None:
+            return boxes, scores
+        i, j = found
+        boxes.append(hull(boxes[i], boxes[j]))
+        scores.append(max(scores[i], scores[j]))
+        for k in (j, i):
+            del boxes[k], scores[k]
+
+
+def literal_places(boxes, threshold):
+    boxes, members = [list(b) for b in boxes], [[i] for i in range(len(boxes))]
+    while True:
+        best, found = 0.0, None
+        for i in range(len(boxes)):
+            for j in range(i + 1, len(boxes)):
+                if plain_iou(boxes[i], boxes[j]) > best:
+                    best, found = plain_iou(boxes[i], boxes[j]), (i, j)
+        if found is None or best < threshold:
+            return boxes, members
+        i, j = found
+        boxes.append(hull(boxes[i], boxes[j]))
+        members.append(members[i] + members[j])
+        for k in (j, i):
+            del boxes[k], members[k]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 6), st.integers(0, 6), st.integers(1, 6), st.integers(1, 6)), min_size=1, max_size=14))
+def test_merges_equal_the_literal_versions(corners):
+    boxes = np.array([(x, y, x + w, y + h) for x, y, w, h in corners], float)
+    scores = [((7 * i) % 10) / 10 for i in range(len(boxes))]
+    got = merging.merge_slices(boxes, scores, 0.3)
+    want = literal_slices(boxes.tolist(), scores, 0.3)
+    assert got[0].tolist() == want[0] and got[1] == want[1]
+    for threshold in (0.5, 0.9):
+        got = merging.merge_same_places(boxes, [[i] for i in range(len(boxes))], threshold)
+        want = literal_places(boxes.tolist(), threshold)
+        assert got[0].tolist() == want[0] and got[1] == want[1]
+
+
+def test_chain_equals_the_literal_versions(spark):
+    """The alternate chain over a few images: top-k, score, slices, containment, NMS, limit and places, one after the other."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for image in range(4):
+        for d in ("gd", "ow"):
+            for p in range(25):
+                x, y = rng.integers(0, 40, 2)
+                w, h = rng.integers(4, 20, 2)
+                rows.append((image, d, p, "ab"[int(rng.integers(2))], float(rng.integers(1, 1000)) / 1000, float(x), float(y), float(x + w), float(y + h)))
+    config = merging.ChainConfig(top_k=40, score=0.15, max_dets=12)
+    got = {}
+    for r in merging.merged_detections(spark.createDataFrame(rows, COLS), config).collect():
+        got.setdefault(r["image_id"], set()).add((r["x0"], r["y0"], r["x1"], r["y1"]))
+    for image in range(4):
+        mine = sorted((r for r in rows if r[0] == image), key=lambda r: (-r[4], r[1], r[2]))[:40]
+        mine = [r for r in mine if r[4] > 0.15]
+        merged = []
+        for d, label in sorted({(r[1], r[3]) for r in mine}):
+            group = sorted((r for r in mine if (r[1], r[3]) == (d, label)), key=lambda r: r[2])
+            boxes, scores, pos = [list(r[5:]) for r in group], [r[4] for r in group], [r[2] for r in group]
+            if d == "ow":
+                boxes, scores = literal_slices(boxes, scores, 0.3)
+                pos = list(range(len(boxes)))
+            alive = scan([(s, *b) for s, b in zip(scores, boxes, strict=True)])
+            kept = [(pos[k - 1], scores[k - 1], boxes[k - 1]) for k in sorted(alive)]
+            good = greedy([(s, *b) for _, s, b in kept])
+            merged += [(-kept[k - 1][1], d, kept[k - 1][0], kept[k - 1][2]) for k in good]
+        merged = sorted(merged, key=lambda m: m[:3])[:12]
+        order = sorted(merged, key=lambda m: (uniform_py(0, "shuffle", image, m[1], m[2]), m[1], m[2]))
+        assert got[image] == {tuple(b) for b in literal_places([m[3] for m in order], 0.9)[0]}
+
+
 def test_replicas_do_not_depend_on_partitions(spark, tiny):
     from boxloom import queries
 
@@ -132,6 +293,69 @@ def test_text_rules(spark):
     assert one(spark, text.display_caption(lit("This is a dog"))) == "A dog"
 
 
+def test_rules_of_captions_and_attributes(spark):
+    lit = F.lit
+    assert one(spark, text.clean_caption(lit("There is no dog. There is not much light."))) == ""
+    assert one(spark, text.clean_caption(lit(""))) == ""
+    attrs = F.array(*map(lit, ["car (background)", "red car (parked)", "noisy crowd", "fine-grained sand", "(gone)", "A_b, c", "lighting"]))
+    assert one(spark, text.filter_attributes(attrs, lit("a noisy street"), lit("sand"))) == ["red car", "noisy crowd", "a b c"]
+    assert one(spark, text.filter_attributes(attrs)) == ["red car (parked)", "noisy crowd", "fine-grained sand", "(gone)", "a b, c"]
+    for inside, added in (("old people", "person"), ("young men at work", "man"), ("a child", "child"), ("two women", "woman")):
+        assert one(spark, text.add_singulars(F.array(lit(inside)))) == [inside, added]
+    assert one(spark, text.add_singulars(F.array(lit("person"), lit("old people")))) == ["person", "old people"]
+    assert one(spark, text.add_singulars(F.array(lit("peoples here")))) == ["peoples here"]
+
+
+def literal_last_sentence(caption, limit):
+    import re
+
+    ends = [m.end() for m in re.finditer(r"\S+", caption)]
+    good = [e for n, e in enumerate(ends, 1) if n <= limit and (caption[e - 1] in ".!?" or n == len(ends))]
+    return max(good, default=0)
+
+
+def test_last_sentence(spark):
+    captions = ["One two. Three four five. Six", "No end in here at all", "", "A.  B!\nC? dots... e.g. x", "word " * 200, "é é. ☃ 𝒳. z"]
+    for limit in (1, 2, 3, 5, 77):
+        df = spark.createDataFrame([(c,) for c in captions], "c string")
+        assert [r["n"] for r in df.select(text.last_sentence_within(F.col("c"), limit).alias("n")).collect()] == [literal_last_sentence(c, limit) for c in captions]
+
+
+def test_softmax_of_a_vocabulary(spark):
+    """100,000 logits a row: linear."""
+    df = spark.range(4).select(F.transform(F.sequence(F.lit(1), F.lit(100_000)), lambda i: (i % 97).cast("double")).alias("l"))
+    got = [r["p"] for r in df.select(F.slice(verdict.softmax(F.col("l")), 1, 97).alias("p")).collect()]
+    want = np.exp(np.arange(1, 100_001) % 97 - 96.0)
+    assert np.allclose(got[3], (want / want.sum())[:97])
+
+
+def test_slices_keep_every_row(spark):
+    rows = [(None, 1), (None, 2), *[(5, k) for k in range(300)], *[(k * k, k) for k in range(200)]]
+    got = assemble.contiguous_slices(spark.createDataFrame(rows, "k long, v int"), "k", 7).collect()
+    assert sorted((r["k"] is not None, r["k"] or 0, r["v"]) for r in got) == sorted((k is not None, k or 0, v) for k, v in rows)
+    sizes = [sum(r["slice_id"] == i for r in got) for i in range(7)]
+    assert sizes[:6] == [len(rows) // 7] * 6 and sum(sizes) == len(rows)
+    keys = [(r["slice_id"], r["k"] if r["k"] is not None else -1) for r in got]
+    assert [k for _, k in sorted(keys)] == sorted(k for _, k in keys)
+    nulls = spark.createDataFrame([(None,)] * 5, "k long")
+    assert assemble.contiguous_slices(nulls, "k", 2).count() == 5 and assemble.contiguous_slices(nulls.where("false"), "k", 2).count() == 0
+
+
+def test_merged_inputs_need_every_side(spark):
+    from boxloom.sources import readers
+
+    frames = [spark.createDataFrame([(k, 1) for k in keys], f"new_key string, {c} int") for keys, c in (("ab", "w"), ("abc", "t"), ("abc", "x"))]
+    assert readers.merged_inputs(*frames[:2], [frames[2]], complete=False).count() == 2
+    with pytest.raises(Exception, match="no image for c"):
+        readers.merged_inputs(*frames[:2], [frames[2]]).collect()
+    assert readers.merged_inputs(*frames[:2], [frames[2].where("new_key < 'c'")]).count() == 2
+
+
+def test_display(spark):
+    rows = spark.createDataFrame([(1, 0, 1, "cat"), (1, 0, 0, "dog"), (1, 1, 0, "cat")], "image_id long, sub_sample int, pick_rank int, label string")
+    assert sorted(r["display"] for r in assemble.with_display(rows, ["pick_rank"]).collect()) == ["1 | cat", "1 | dog", "2 | cat"]
+
+
 def test_verdict_grid(spark):
     grid = [("err", 0.29, 0.0, "no"), ("err", 0.31, 0.1, "yes"), ("err", 0.5, 0.4, "no"), ("yes", 0.5, 0.3, "yes"), ("yes", 0.4, 0.3, "no"), ("no", 0.99, 0.0, "no")]
     df = spark.createDataFrame(grid, "a string, y double, n double, w string")
