@@ -32,8 +32,8 @@ from .store import materialise, small_batches
 
 #: Largest BK-tree.
 TREE_SIZE = 2048
-#: Fingerprints expected in a shard by chance, at most.
-SHARD_CHANCE = 4
+#: Fingerprints expected in a shard by chance, at most; fewer bands give fewer and larger shards, and the trees more to do.
+SHARD_CHANCE = 64
 
 
 def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
@@ -109,8 +109,6 @@ class BKTree:
 
 def _spanning(tree: list[int], probes: list[int], radius: int, same: bool) -> list[tuple[int, int]]:
     """Links (i, j) of a spanning forest; positions run over tree, then probes."""
-    if same and len(tree) == 2:
-        return [(1, 0)] if (tree[0] ^ tree[1]).bit_count() <= radius else []
     if not tree or not probes:
         return []
     label, shift = np.arange(len(tree) + (0 if same else len(probes))), 0 if same else len(tree)
@@ -169,7 +167,7 @@ def masks(bands: int, radius: int) -> list[int]:
 def links(reps: DataFrame, radius: int = 4, tree_size: int = TREE_SIZE) -> DataFrame:
     """Distinct links (u, v) between the ids of reps (fp, rep) that keep every connection within the radius."""
     n = reps.count()
-    bands = next((b for b in range(radius + 2, 2 * radius + 1) if n / 2 ** (64 * (b - radius) / b) <= SHARD_CHANCE), 2 * radius) if radius else 1
+    bands = next((b for b in range(radius + 1, 2 * radius + 1) if n / 2 ** (64 * (b - radius) / b) <= SHARD_CHANCE), 2 * radius) if radius else 1
     chosen = masks(bands, radius)
     keys = reps.where("rep is not null").select("fp", "rep", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in chosen])).alias("t", "key"))
     # Written, so that both sides of the join are dealt anew and a hot shard's rows can be split.
