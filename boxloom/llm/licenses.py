@@ -22,7 +22,6 @@ columns are ignored.
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -145,12 +144,14 @@ def scan(docs: DataFrame, threshold: float = 0.8, templates: list[tuple[str, str
     """(doc_id, n_units, licence, score, licences) for every row: units with a licence, the best one, and all found."""
     templates = sorted(templates or TEMPLATES)
     telling = sorted(set().union(*(telling_words(template_bigrams(t), threshold) for _, t in templates)))
-    # Plain substring searches; a text that merely contains such a word inside another only goes on to the exact test.
-    some = lambda t: reduce(lambda a, b: a | b, [F.contains(t, F.lit(w)) for w in telling])
+    # Plain substring searches, of the text for all such words and of its units for those that it has; a word inside another only goes on to the exact test.
     text = F.coalesce(F.col(text_col), F.lit(""))
-    units = F.filter(units_of(text), lambda u: some(F.lower(u)))
+    held = lambda t: F.filter(F.array(*map(F.lit, telling)), lambda w: F.contains(t, w))
+    has = lambda u, words: F.exists(words, lambda w: F.contains(u, w))
+    let = lambda value, body: F.transform(F.array(value), body)[0]
+    units = let(let(F.lower(text), held), lambda words: F.when(F.size(words) > 0, F.filter(units_of(text), lambda u: let(F.lower(u), lambda low: has(low, words)))))
     found = F.filter(F.transform(units, lambda u: best_template(u, templates, threshold)), lambda s: s["score"] >= threshold)
     top = lambda f: F.array_sort(f, lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).when(a["licence"] < b["licence"], -1).when(a["licence"] > b["licence"], 1).otherwise(0))
     pick = F.transform(F.array(found), lambda f: F.struct(f.alias("f"), F.get(top(f), F.lit(0)).alias("t")))[0]
-    out = docs.select(F.col(id_col).alias("doc_id"), F.when(some(F.lower(text)), pick).alias("x")).select("doc_id", "x.f", "x.t")
+    out = docs.select(F.col(id_col).alias("doc_id"), pick.alias("x")).select("doc_id", "x.f", "x.t")
     return out.select("doc_id", F.coalesce(F.size("f"), F.lit(0)).cast("long").alias("n_units"), F.col("t.licence").alias("licence"), F.round("t.score", 6).alias("score"), F.coalesce(F.array_join(F.array_sort(F.array_distinct(F.col("f.licence"))), ","), F.lit("")).alias("licences"))
