@@ -101,17 +101,27 @@ def words(c: Column) -> Column:
 
 
 def similar(a: Column, b: Column) -> Column:
-    """Word sets that share three words, or .65 of both sides."""
-    n = F.size(F.array_intersect(a, b))
-    return (n >= 3) | ((n >= 0.65 * F.size(a)) & (n >= 0.65 * F.size(b)))
+    """Sets of words that share three words, or .65 of both sides; a pair without a shared word is told by its marks."""
+    def told(n: Column) -> Column:
+        return (n >= 3) | ((n >= 0.65 * F.size(a["w"])) & (n >= 0.65 * F.size(b["w"])))
+
+    shared = let(F.size(F.filter(a["w"], lambda x: F.array_contains(b["w"], x))), told)
+    return F.when(a["m"].bitwiseAND(b["m"]) == 0, False).otherwise(shared)
+
+
+def marked(c: Column) -> Column:
+    """struct(w, m): the distinct words of an item, and a bit for each."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.hash(x), F.lit(64)))
+    return let(words(c), lambda w: F.struct(w.alias("w"), F.aggregate(w, F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(bit(x))).alias("m")))
 
 
 def drop_similar(ordered: Column) -> Column:
     """Items without a similar item behind them."""
     def unlike(sets: Column) -> Column:
-        return F.filter(ordered, lambda a, i: ~F.exists(F.slice(sets, i + 2, F.size(sets)), lambda b: similar(F.get(sets, i), b)))
+        rest = lambda i: F.slice(sets, i + 2, F.size(sets))
+        return F.filter(ordered, lambda a, i: ~let(F.get(sets, i), lambda own: F.exists(rest(i), lambda b: similar(own, b))))
 
-    return let(F.transform(ordered, words), unlike)
+    return let(F.transform(ordered, marked), unlike)
 
 
 def strip_plurals(items: Column) -> Column:

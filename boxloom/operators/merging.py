@@ -57,15 +57,23 @@ def merge_same_places(boxes: np.ndarray, members: list[list[int]], threshold: fl
 
 
 def slice_merge(boxes: DataFrame, threshold: float = 0.3, choose: str = "last") -> DataFrame:
-    """merge_slices in each (image, detector, label); pos numbers the results."""
+    """merge_slices in each (image, detector, label); pos numbers the results. An image is one group, not each of its labels."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        merged, scores = merge_slices(pdf[CORNERS].to_numpy(float), pdf["score"].tolist(), threshold, choose)
-        out = pd.DataFrame(merged, columns=CORNERS).assign(image_id=key[0], detector=key[1], label=key[2], score=scores, pos=range(len(merged)))
+        pdf = pdf.sort_values(["detector", "label", "pos"], ignore_index=True)
+        corners, scores = pdf[CORNERS].to_numpy(float), pdf["score"].to_numpy(float)
+        names = list(zip(pdf["detector"], pdf["label"], strict=True))
+        starts = [i for i, name in enumerate(names) if not i or name != names[i - 1]]
+        parts = []
+        for i, k in zip(starts, [*starts[1:], len(names)], strict=True):
+            merged, best = merge_slices(corners[i:k], scores[i:k].tolist(), threshold, choose)
+            parts.append((i, merged, best))
+        at = np.repeat([i for i, _, _ in parts], [len(m) for _, m, _ in parts]).astype(int)
+        out = pd.DataFrame(np.concatenate([m for _, m, _ in parts]), columns=CORNERS)
+        out = out.assign(image_id=key[0], detector=pdf["detector"].to_numpy()[at], label=pdf["label"].to_numpy()[at], score=[s for _, _, b in parts for s in b], pos=[n for _, m, _ in parts for n in range(len(m))])
         return out[[f.split()[0] for f in FIELDS.split(", ")]]
 
-    return boxes.select("image_id", "detector", "label", "score", *CORNERS, "pos").groupBy("image_id", "detector", "label").applyInPandas(run, FIELDS)
+    return boxes.select("image_id", "detector", "label", "score", *CORNERS, "pos").groupBy("image_id").applyInPandas(run, FIELDS)
 
 
 def iou_label_merge(boxes: DataFrame, threshold: float = 0.9, seed: int = 0) -> DataFrame:

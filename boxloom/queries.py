@@ -163,11 +163,11 @@ def replica_records(spark, d):
 
 
 def slice_merge(spark, d):
-    return plain(merging.slice_merge(_filtered(spark, d).where("detector = 'ow'")))
+    return plain(merging.slice_merge(_filtered(spark, d)))
 
 
 def iou_label_merge(spark, d):
-    return plain(merging.iou_label_merge(suppress.top_k(_filtered(spark, d), 60)))
+    return plain(merging.iou_label_merge(_filtered(spark, d)))
 
 
 def merged_detections(spark, d):
