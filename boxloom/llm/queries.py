@@ -93,9 +93,44 @@ def _license_sql() -> str:
         SELECT doc_id, count(name) AS n_units, list(name ORDER BY dice DESC, name)[1] AS licence, round(max(dice), 6) AS score, coalesce(string_agg(DISTINCT name, ',' ORDER BY name), '') AS licences FROM d LEFT JOIN m USING (rid) GROUP BY rid, doc_id"""
 
 
+# Shortest runs of pieces with 20 words or more from each piece, and up to each piece; what an earlier document has goes.
+_DEDUP_SQL = """WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS rid, doc_id, text FROM documents),
+    ps AS (SELECT rid, string_split(regexp_replace(replace(text, chr(10), chr(10) || chr(1)), '([.!?]) ', '\\1' || chr(1) || ' ', 'g'), chr(1)) AS ps FROM d WHERE text IS NOT NULL),
+    ns AS (SELECT rid, ps, list_transform(ps, lambda p: lower(trim(regexp_replace(p, '\\s+', ' ', 'g')))) AS ns FROM ps),
+    pc AS (SELECT rid, unnest(ps) AS p, unnest(ns) AS n, generate_subscripts(ps, 1) AS k FROM ns),
+    sz AS (SELECT *, CASE WHEN n = '' THEN 0 ELSE len(string_split(n, ' ')) END AS words FROM pc),
+    cu AS (SELECT *, sum(words) OVER (PARTITION BY rid ORDER BY k) AS hi FROM sz),
+    lo AS (SELECT *, hi - words AS lo FROM cu),
+    ru AS (SELECT a.rid, a.k AS i, b.k AS j FROM lo a ASOF JOIN (SELECT * FROM lo WHERE words > 0) b ON a.rid = b.rid AND a.lo + 20 <= b.hi
+        UNION SELECT b.rid, a.k, b.k FROM lo b ASOF JOIN (SELECT * FROM lo WHERE words > 0) a ON a.rid = b.rid AND b.hi - 20 >= a.lo),
+    ke AS (SELECT rid, i, j, min(rid) OVER (PARTITION BY array_to_string(ns[i:j], chr(2))) AS first FROM ru JOIN ns USING (rid)),
+    gone AS (SELECT DISTINCT rid, unnest(range(i, j + 1)) AS k FROM ke WHERE first < rid),
+    left_ AS (SELECT rid, count(*) AS n_pieces, count(g.k) AS n_removed, coalesce(sum(words) FILTER (g.k IS NOT NULL), 0) AS removed_words, string_agg(p, '' ORDER BY k) FILTER (g.k IS NULL) AS stay FROM sz LEFT JOIN gone g USING (rid, k) GROUP BY rid)
+    SELECT doc_id, coalesce(n_pieces, 0)::BIGINT AS n_pieces, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(removed_words, 0)::BIGINT AS removed_words, sha256(coalesce(stay, '')) AS text_sha256 FROM d LEFT JOIN left_ USING (rid)"""
+
+# White space that separates words in normalised lines.
+_BLANK = "[\\s\\x0B\\x1C-\\x1F\\x{85}\\p{Z}]+"
+_QUALITY_SQL = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
+    w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws FROM d),
+    win AS (SELECT rid, k, array_to_string(ws[k:k + 7], ' ') AS g FROM (SELECT rid, ws, unnest(range(1, len(ws) - 6)) AS k FROM w)),
+    twice AS (SELECT rid, k FROM win QUALIFY count(*) OVER (PARTITION BY rid, g) > 1),
+    rep AS (SELECT rid, count(*) AS n_repeat_words FROM (SELECT DISTINCT rid, unnest(range(k, k + 8)) AS k FROM twice) GROUP BY rid),
+    li AS (SELECT rid, source, unnest(string_split(t, chr(10))) AS l, generate_subscripts(string_split(t, chr(10)), 1) AS k FROM d),
+    nl AS (SELECT rid, source, l, k, trim(regexp_replace(lower(l), '{_BLANK}', ' ', 'g')) AS n, len(regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+')) AS words FROM li WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]')),
+    wh AS (SELECT rid, string_agg(n, chr(10) ORDER BY k) AS whole, count(*) - count(DISTINCT l) AS n_dup_lines FROM nl GROUP BY rid),
+    often AS (SELECT source, n FROM nl JOIN wh USING (rid) GROUP BY source, n HAVING count(DISTINCT whole) > 50),
+    gone AS (SELECT rid, sum(words) AS removed FROM nl JOIN often o ON o.n = nl.n AND o.source IS NOT DISTINCT FROM nl.source GROUP BY rid),
+    f AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+        coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(removed, 0)::BIGINT AS removed_words FROM w LEFT JOIN wh USING (rid) LEFT JOIN rep USING (rid) LEFT JOIN gone USING (rid)),
+    b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f)
+    SELECT *, NOT base_failed AND n_words - removed_words >= 0.2::DOUBLE * n_words AS kept FROM b"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """Operators that need neither XXH64, a tokenizer, patience diff nor HTML parsing."""
+    """Operators that need neither XXH64, a tokenizer nor HTML parsing."""
     return {
+        "op3_line_dedup": _DEDUP_SQL,
+        "op8_quality_rules": _QUALITY_SQL,
         "op4_license_scan": _license_sql(),
         "op7_warc": f"""WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
             t AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM p)
