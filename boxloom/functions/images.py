@@ -34,14 +34,35 @@ def to_chw(rgb: np.ndarray, symmetric: bool = True) -> np.ndarray:
     return (x - np.array(MEAN, np.float32)[:, None, None]) / np.array(STD, np.float32)[:, None, None]
 
 
+def _lanczos(n: int, m: int, a: int = 3) -> np.ndarray:
+    """(m, n) weights that resample n pixels to m: windowed sinc of a lobes, widened where pixels get fewer."""
+    scale = n / m
+    wide = max(scale, 1.0)
+    at = (np.arange(m)[:, None] + 0.5) * scale - (np.arange(n)[None, :] + 0.5)
+    x = at / wide
+    w = np.where(np.abs(x) < a, np.sinc(x) * np.sinc(x / a), 0.0)
+    return w / w.sum(axis=1, keepdims=True)
+
+
+def resize(rgb: np.ndarray, w: int, h: int) -> np.ndarray:
+    """A picture of (h, w), first along rows and then along columns, rounded to bytes after each."""
+    def along(x: np.ndarray, m: int) -> np.ndarray:
+        if x.shape[1] == m:
+            return x
+        return np.clip(np.rint(np.einsum("mn,hnc->hmc", _lanczos(x.shape[1], m), x.astype(np.float64))), 0, 255).astype(np.uint8)
+
+    return along(along(rgb, w).transpose(1, 0, 2), h).transpose(1, 0, 2)
+
+
 def crop(rgb: np.ndarray, x0: int, y0: int, x1: int, y1: int, w: int, h: int) -> np.ndarray:
-    """A box of a picture resized to (h, w) by nearest pixels."""
-    part = rgb[y0:y1, x0:x1]
+    """A box of a picture resized to (h, w); what of the box lies outside is black."""
+    top, left = max(y0, 0), max(x0, 0)
+    part = np.zeros((max(y1 - y0, 0), max(x1 - x0, 0), 3), np.uint8)
     if not part.size:
         raise ValueError("empty crop")
-    rows = np.minimum((np.arange(h) + 0.5) * part.shape[0] / h, part.shape[0] - 1).astype(int)
-    cols = np.minimum((np.arange(w) + 0.5) * part.shape[1] / w, part.shape[1] - 1).astype(int)
-    return part[rows][:, cols]
+    inside = rgb[top : max(y1, 0), left : max(x1, 0)]
+    part[top - y0 : top - y0 + inside.shape[0], left - x0 : left - x0 + inside.shape[1]] = inside
+    return resize(part, w, h)
 
 
 def decode(data: bytes | None) -> np.ndarray | None:

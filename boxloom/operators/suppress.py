@@ -33,19 +33,19 @@ def containment_removal(boxes: DataFrame, group: tuple[str, ...] = GROUP) -> Dat
     a, n = F.col("a"), F.size("a")
     at = lambda i: F.element_at(a, i)
 
-    def step(gone: Column, i: Column) -> Column:
-        alive = lambda j: ~F.array_contains(gone, j)
-        first = F.coalesce(F.array_min(F.filter(F.sequence(F.lit(1), n), lambda j: (j > i) & alive(j) & g.guarded_inside(at(i), at(j)))), F.lit(_FAR))
+    def step(dead: Column, i: Column) -> Column:
+        first = F.coalesce(F.array_min(F.filter(F.sequence(F.lit(1), n), lambda j: (j > i) & ~F.element_at(dead, j) & g.guarded_inside(at(i), at(j)))), F.lit(_FAR))
 
         def with_first(p: Column) -> Column:
-            held = F.filter(F.sequence(F.lit(1), n), lambda j: (j > i) & (j < p) & alive(j) & g.guarded_inside(at(j), at(i)))
-            return F.concat(gone, held, F.when(p < _FAR, F.array(i)).otherwise(F.array().cast("array<int>")))
+            held = lambda j: (j > i) & (j < p) & g.guarded_inside(at(j), at(i))
+            return F.transform(dead, lambda x, k: x | held(k + 1) | ((k + 1 == i) & (p < _FAR)))
 
-        return F.when(F.array_contains(gone, i), gone).otherwise(F.element_at(F.transform(F.array(first), with_first), 1))
+        return F.when(F.element_at(dead, i), dead).otherwise(F.element_at(F.transform(F.array(first), with_first), 1))
 
-    gone = F.aggregate(F.sequence(F.lit(1), n), F.array().cast("array<int>"), step)
-    marked = grouped.withColumn("gone", gone)
-    return _spread(marked, F.filter("a", lambda b, i: ~F.array_contains(F.col("gone"), i + 1)), boxes, group)
+    # One flag a box, so that a step costs what the group has and all steps its square.
+    dead = F.aggregate(F.sequence(F.lit(1), n), F.array_repeat(F.lit(False), n), step)
+    marked = grouped.withColumn("dead", dead)
+    return _spread(marked, F.filter("a", lambda b, i: ~F.element_at(F.col("dead"), i + 1)), boxes, group)
 
 
 def nms(boxes: DataFrame, threshold: float = 0.4, group: tuple[str, ...] = GROUP) -> DataFrame:

@@ -104,6 +104,23 @@ def test_pixels(spark):
     assert tuple(sizes[0]["s"]) == (640, 480) and sizes[1]["s"] is None
 
 
+def test_resized_crops():
+    rng = np.random.default_rng(2)
+    rgb = rng.integers(0, 256, (40, 30, 3), dtype=np.uint8)
+    assert (images.resize(rgb, 30, 40) == rgb).all() and (images.resize(np.full((9, 7, 3), 77, np.uint8), 20, 3) == 77).all()
+    ramp = np.repeat(np.arange(0, 240, 4, dtype=np.uint8)[None, :, None], 8, axis=0).repeat(3, axis=2)
+    half = images.resize(ramp, 30, 4)[0, :, 0].astype(int)
+    assert half.shape == (30,) and np.abs(half[4:-4] - np.arange(2, 240, 8)[4:-4]).max() <= 1
+    # One output pixel, by hand: weights of the windowed sinc around its centre.
+    at = np.arange(30) + 0.5
+    x = (7.5 * 3 - at) / 3
+    w = np.where(np.abs(x) < 3, np.sinc(x) * np.sinc(x / 3), 0)
+    assert abs(int(images.resize(rgb[:1], 10, 1)[0, 7, 1]) - np.clip(w @ rgb[0, :, 1] / w.sum(), 0, 255)) <= 0.5
+    assert images.crop(rgb, -5, -5, 5, 5, 10, 10)[:4, :4].max() == 0 and (images.crop(rgb, 3, 4, 13, 24, 10, 20) == rgb[4:24, 3:13]).all()
+    with pytest.raises(ValueError, match="empty"):
+        images.crop(rgb, 5, 5, 5, 9, 4, 4)
+
+
 def test_streams_take_new_files_once(spark, tmp_path):
     src, out, check = f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/check"
     plan = lambda df: df.where("score > 0.5")
