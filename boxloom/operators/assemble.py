@@ -28,28 +28,36 @@ def with_empty(samples: DataFrame, images: DataFrame, survivors: DataFrame, repl
     return samples.select("image_id", "sub_sample").distinct().union(empty)
 
 
-def records(samples: DataFrame, images: DataFrame) -> DataFrame:
-    """One nested record for each (image, replica), arrays in the order picked."""
+#: Detectors in the order of their records' sources.
+DETECTORS = ("gd", "yw", "ow", "od")
+
+
+def records(samples: DataFrame, images: DataFrame, survivors: DataFrame | None = None) -> DataFrame:
+    """One nested record for each (image, replica), arrays in the order picked; with survivors also the empty replicas of images without any."""
     row = F.struct("pick_rank", "label", "score", "detector", F.array("x0", "y0", "x1", "y1").alias("box"))
     nested = samples.groupBy("image_id", "sub_sample").agg(F.array_sort(F.collect_list(row)).alias("r"))
+    if survivors is not None:
+        none = with_empty(nested.where("false"), images, survivors)
+        nested = nested.unionByName(none.select("image_id", "sub_sample", F.lit(None).cast(nested.schema["r"].dataType).alias("r")))
+    of = lambda c, kind: F.coalesce(F.col(f"r.{c}"), F.array().cast(f"array<{kind}>"))
     return nested.join(images, "image_id").select(
         F.col("image_id").cast("string").alias("new_key"),
         "sub_sample",
-        F.array("height", "width").alias("image_size"),
+        F.array("width", "height").alias("image_size"),
         F.lit("merged").alias("model_type"),
-        F.lit("ovd").alias("annotation_type"),
-        F.array_sort(F.array_distinct("r.label")).alias("OV_merged"),
-        F.col("r.box").alias("bboxes"),
-        F.col("r.score").alias("scores"),
-        F.col("r.label").alias("ovd_belonging"),
-        F.col("r.detector").alias("ovd_source"),
+        F.lit("all_boxes").alias("annotation_type"),
+        of("label", "string").alias("OV_merged"),
+        of("box", "array<double>").alias("bboxes"),
+        of("score", "double").alias("scores"),
+        of("detector", "string").alias("ovd_belonging"),
+        F.array(*map(F.lit, DETECTORS)).alias("ovd_source"),
     )
 
 
 def work_items(recs: DataFrame) -> DataFrame:
     """One row a box of nested records: new_key, sub_sample, box_idx, label, score, x0..y1."""
-    z = recs.select("new_key", "sub_sample", "image_size", F.posexplode(F.arrays_zip("bboxes", "scores", "ovd_belonging", "ovd_source")).alias("box_idx", "z"))
-    return z.select("new_key", "sub_sample", "image_size", "box_idx", F.col("z.ovd_belonging").alias("label"), F.col("z.ovd_source").alias("detector"), F.col("z.scores").alias("score"), *[F.col("z.bboxes")[i].alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))])
+    z = recs.select("new_key", "sub_sample", "image_size", F.posexplode(F.arrays_zip("bboxes", "scores", "OV_merged", "ovd_belonging")).alias("box_idx", "z"))
+    return z.select("new_key", "sub_sample", "image_size", "box_idx", F.col("z.OV_merged").alias("label"), F.col("z.ovd_belonging").alias("detector"), F.col("z.scores").alias("score"), *[F.col("z.bboxes")[i].alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))])
 
 
 def crop_plan(items: DataFrame, w: Column, h: Column) -> DataFrame:

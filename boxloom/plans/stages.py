@@ -51,7 +51,7 @@ def resample(boxes: DataFrame, config: detections.FilterConfig = detections.Filt
 def cross_check(records: DataFrame, model: Callable = dialog.offline_judge) -> DataFrame:
     """Stage 5: a question and a corrected verdict for every box of nested records."""
     items = assemble.work_items(records)
-    planned = assemble.crop_plan(items, (F.col("x1") - F.col("x0")) * F.col("image_size")[1], (F.col("y1") - F.col("y0")) * F.col("image_size")[0])
+    planned = assemble.crop_plan(items, (F.col("x1") - F.col("x0")) * F.col("image_size")[0], (F.col("y1") - F.col("y0")) * F.col("image_size")[1])
     asked = assemble.order_for_batches(planned.withColumn("question", dialog.yes_no_question(F.col("label"))))
     answered = dialog.with_model(asked, "question", "error", model, "answer string, yes_prob double, no_prob double")
     return assemble.judge(answered, F.col("answer"), F.col("yes_prob"), F.col("no_prob"))

@@ -367,10 +367,10 @@ def instance_arrays(spark, d):
 
 
 def replica_boxes(spark, d):
-    """Whole records of all replicas: image size, labels, boxes, scores and detectors, also of images whose replicas are empty."""
+    """Whole records of all replicas, also of images whose replicas are empty; arrays as JSON."""
     kept = _survivors(spark, d)
-    got = assemble.with_empty(replicas.replica_sampling(kept), fx.images(spark, d), kept)
-    return got.select(*[F.to_json(F.col(c)).alias(c) if kind.startswith(("array", "struct")) else F.col(c).cast("long").alias(c) if kind == "int" else F.col(c) for c, kind in got.dtypes])
+    got = assemble.records(replicas.replica_sampling(kept), fx.images(spark, d), kept)
+    return plain(got.select(*[F.to_json(c).alias(c) if kind.startswith("array") else F.col(c) for c, kind in got.dtypes]))
 
 
 def caption_stage(spark, d):

@@ -351,6 +351,19 @@ def test_merged_inputs_need_every_side(spark):
     assert readers.merged_inputs(*frames[:2], [frames[2].where("new_key < 'c'")]).count() == 2
 
 
+def test_records_of_replicas(spark):
+    """Every field of a record, parallel arrays in the order picked, and empty replicas of an image without survivors."""
+    samples = spark.createDataFrame([(1, 0, 1, "ow", 4, "cat", 0.5, 0.1, 0.2, 0.3, 0.4), (1, 0, 0, "gd", 2, "dog", 0.25, 0.0, 0.0, 1.0, 0.5), (1, 1, 0, "gd", 3, "cat", 0.75, 0.5, 0.5, 1.0, 1.0)], replicas.OUT)
+    images = spark.createDataFrame([(1, 640, 480), (2, 100, 200)], "image_id long, width int, height int")
+    got = {(r["new_key"], r["sub_sample"]): r.asDict() for r in assemble.records(samples, images, samples).collect()}
+    same = {"model_type": "merged", "annotation_type": "all_boxes", "ovd_source": ["gd", "yw", "ow", "od"]}
+    assert got["1", 0] == same | {"new_key": "1", "sub_sample": 0, "image_size": [640, 480], "OV_merged": ["dog", "cat"], "bboxes": [[0.0, 0.0, 1.0, 0.5], [0.1, 0.2, 0.3, 0.4]], "scores": [0.25, 0.5], "ovd_belonging": ["gd", "ow"]}
+    assert sorted(got) == [("1", 0), ("1", 1), *[("2", i) for i in range(5)]]
+    assert got["2", 3] == same | {"new_key": "2", "sub_sample": 3, "image_size": [100, 200], "OV_merged": [], "bboxes": [], "scores": [], "ovd_belonging": []}
+    items = assemble.work_items(assemble.records(samples, images)).orderBy("new_key", "sub_sample", "box_idx").collect()
+    assert [(r["label"], r["detector"], r["score"], r["x1"]) for r in items] == [("dog", "gd", 0.25, 1.0), ("cat", "ow", 0.5, 0.3), ("cat", "gd", 0.75, 1.0)]
+
+
 def test_display(spark):
     rows = spark.createDataFrame([(1, 0, 1, "cat"), (1, 0, 0, "dog"), (1, 1, 0, "cat")], "image_id long, sub_sample int, pick_rank int, label string")
     assert sorted(r["display"] for r in assemble.with_display(rows, ["pick_rank"]).collect()) == ["1 | cat", "1 | dog", "2 | cat"]
