@@ -152,7 +152,8 @@ def disclosing(rows: DataFrame, alpha: float = 0.8, support: int = 3) -> DataFra
     wanted = both.select("term").union(both.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
     counts = materialise(counts.join(wanted, "term", "left_semi"), "terms")
     n = F.lit(float(counts.where("term = ''").first()["n_t"]))
-    share = F.log2(F.col("n_et") * n / (F.col("n_e") * F.col("n_t"))) / F.log2(n / F.col("n_e"))
+    # An entity in all contexts carries no information, so nothing discloses it.
+    share = F.try_divide(F.log2(F.col("n_et") * n / (F.col("n_e") * F.col("n_t"))), F.log2(n / F.col("n_e")))
     return materialise(both.join(counts, "term").where(share >= alpha).select("entity", "term"), "disclosing")
 
 

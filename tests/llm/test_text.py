@@ -508,6 +508,11 @@ def test_terms_are_generalised(spark):
     assert got[0].startswith("[NAME] [NAME] of [TERM] [NUMBER] ") and "[EMAIL]" in got[0] and got[0].endswith("case0") and got[10] == rows[10]
 
 
+def test_an_entity_of_all_contexts(spark):
+    docs = spark.createDataFrame([(i, f"Quorra of q@secret.org about case{i}") for i in range(5)], "doc_id long, text string")
+    assert all(len(r["spans"]) == 1 for r in pii.find(docs).collect())
+
+
 def test_overlapping_spans_become_one(spark):
     docs = spark.createDataFrame([(1, "call +378282246310005 or 10.0.0.1@x.org now")], "doc_id long, text string")
     text = pii.sanitise(docs).first()["text"]
