@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 LOCAL_DIR = "/tmp/checkpoints/boxloom"
 #: Rows and bytes of one Arrow batch handed to Python, at most (a longer row is a batch of its own); they bound a worker's memory.
 ARROW_ROWS = 500
-ARROW_BYTES = 16 << 20
+ARROW_BYTES = 4 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
