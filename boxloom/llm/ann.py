@@ -50,7 +50,7 @@ MIN_SHARDS = 12
 PROBE_BLOCK = 64
 
 
-def learn(x: np.ndarray, rounds: int = 30, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+def learn(x: np.ndarray, rounds: int = 10, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """(centre, rotations side by side) from sample rows x."""
     rng = np.random.default_rng(seed)
     centre = x.mean(axis=0)
