@@ -12,7 +12,8 @@ lies between is logged as a quarantined gap (archive, start, end, reason), and
 all other records come through. Of a damaged or cut member what inflates before
 the damage is searched as well. A gap inside a member has the member's bytes,
 and its place among the inflated ones in the reason. Numbers in headers that
-are none are read as missing.
+are none are read as missing. An archive, and what a member of it inflates to,
+is held by one task.
 
 Defined cases: a null html is an empty payload; pages with a null id are
 written and read back with a null id, after all others when equal payloads
