@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, licenses, linededup, packing, pieces, pii, quality, simhash, warc, wrappers
+from . import ann, decontaminate, licenses, linededup, packing, pieces, pii, quality, runs, simhash, warc, wrappers
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,8 +71,24 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document with planted repeats: how many, the longest, digests of all and of the collapsed text."""
+    done = runs.periodic_runs(runs.planted(_table(spark, sf_dir, "documents")))
+    top = runs.longest(F.col("runs"))
+    figures = done.select("doc_id", F.size("runs").cast("long").alias("n_runs"), top.alias("top"), F.sha2(runs.run_list(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    length = -F.col("top.less")
+    return figures.select("doc_id", "n_runs", F.col("top.start").alias("start"), length.alias("length"), F.col("top.period").alias("period"), F.floor(1000 * length / F.col("top.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside windows of benchmark items, and which items these are."""
+    found = decontaminate.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_simhash, op3_line_dedup, op4_license_scan, op5_html_extraction, op6_pii, op7_warc, op8_quality_rules, op9_nearest, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_packing, op2_simhash, op3_line_dedup, op4_license_scan, op5_html_extraction, op6_pii, op7_warc, op8_quality_rules, op9_nearest, op10_sentencepiece, op11_periodic_runs, op12_decontamination)}
 
 
 # Base32 of a SHA-1: eight groups of 20 bits, each four letters of the alphabet.
@@ -126,11 +142,40 @@ _QUALITY_SQL = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source
     SELECT *, NOT base_failed AND n_words - removed_words >= 0.2::DOUBLE * n_words AS kept FROM b"""
 
 
+# CRC-32 of the id's digits, bit by bit; then all equal pairs a lag apart, their islands, and what islands leave.
+_RUNS_SQL = """WITH h AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws,
+        xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda c, b: list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END)))) AS h FROM documents),
+    g AS (SELECT rid, doc_id, ws, len(ws) AS n, h % 10 = 0 AND len(ws) > 0 AS planted, h // 10 % greatest(len(ws), 1) AS a, 3 + h // 10 % 8 AS k FROM h),
+    p AS (SELECT *, 1 + (n - a) // k AS p FROM g),
+    d AS (SELECT rid, doc_id, n, CASE WHEN planted THEN list_transform(range(0, n), lambda i: ws[(CASE WHEN i < a THEN i ELSE a + (i - a) % p END) + 1]) ELSE ws END AS ws FROM p),
+    w AS (SELECT rid, n, unnest(ws) AS w, unnest(range(0, n)) AS i FROM d),
+    m AS (SELECT x.rid, y.i - x.i AS q, x.i AS i FROM w x JOIN w y ON x.rid = y.rid AND x.w = y.w AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+    c AS (SELECT rid, q FROM m GROUP BY rid, q HAVING count(*) >= greatest(6 - q, 3 * q)),
+    s AS (SELECT rid, q, i, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS island FROM m SEMI JOIN c USING (rid, q)),
+    l AS (SELECT rid, q, min(i) AS start, count(*) + q AS length FROM s GROUP BY rid, q, island HAVING count(*) >= greatest(6 - q, 3 * q)),
+    r AS (SELECT rid, start, length, min(q) AS period FROM l GROUP BY rid, start, length),
+    f AS (SELECT rid, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs, first({'s': start, 'l': length, 'p': period} ORDER BY length DESC, start, period) AS t FROM r GROUP BY rid),
+    gone AS (SELECT DISTINCT rid, unnest(range(start + period, start + length)) AS i FROM r),
+    left_ AS (SELECT rid, string_agg(w, ' ' ORDER BY i) AS kept FROM w ANTI JOIN gone USING (rid, i) GROUP BY rid)
+    SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, t.s::BIGINT AS start, t.l::BIGINT AS length, t.p::BIGINT AS period, (1000 * t.l // t.p)::BIGINT AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256 FROM d LEFT JOIN f USING (rid) LEFT JOIN left_ USING (rid)"""
+
+_LEAKS_SQL = """WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(lower_az(coalesce(text, '')), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+    b AS (SELECT item_id, regexp_extract_all(lower_az(coalesce(text, '')), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM benchmark),
+    s AS (SELECT DISTINCT item_id, least(len(ws), 10) AS n, array_to_string(ws[k:k + least(len(ws), 10) - 1], ' ') AS s FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS k FROM b WHERE len(ws) > 0)),
+    w AS (SELECT rid, n, k, array_to_string(ws[k:k + n - 1], ' ') AS s FROM (SELECT rid, ws, n, unnest(range(1, len(ws) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM s))),
+    o AS (SELECT rid, k, n, item_id FROM w JOIN s USING (n, s)),
+    hit AS (SELECT rid, count(*) AS n_hit FROM (SELECT DISTINCT rid, unnest(range(k, k + n)) AS k FROM o) GROUP BY rid),
+    its AS (SELECT rid, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items FROM (SELECT DISTINCT rid, item_id::VARCHAR AS i FROM o) GROUP BY rid)
+    SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN hit USING (rid) LEFT JOIN its USING (rid)""".replace("lower_az(coalesce(text, ''))", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+
+
 def oracle_sql() -> dict[str, str]:
     """Operators that need neither XXH64, a tokenizer nor HTML parsing."""
     return {
         "op3_line_dedup": _DEDUP_SQL,
         "op8_quality_rules": _QUALITY_SQL,
+        "op11_periodic_runs": _RUNS_SQL,
+        "op12_decontamination": _LEAKS_SQL,
         "op4_license_scan": _license_sql(),
         "op7_warc": f"""WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
             t AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM p)

@@ -9,7 +9,7 @@ from boxloom.llm import queries
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_equals_sql(spark, small, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
     found = con.sql(queries.oracle_sql()[name])
     got = queries.queries()[name](spark, small).select(*found.columns)
