@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, licenses, linededup, packing, pieces, pii, quality, runs, simhash, warc, wrappers
+from . import align, ann, decontaminate, licenses, linededup, packing, pieces, pii, quality, runs, simhash, warc, wrappers
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,8 +87,18 @@ def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers' tokens in every document."""
+    done = align.aligned(_table(spark, sf_dir, "documents"))
+    size = lambda c: F.coalesce(F.aggregate("groups", F.lit(0).cast("long"), lambda n, g: n + F.size(g[c])), F.lit(0))
+    text = F.when(F.col("groups").isNull(), "").otherwise(F.sha2(align.group_text(F.col("groups")), 256))
+    figures = done.select("rid", "doc_id", size("a").alias("n_a"), size("b").alias("n_b"), F.coalesce(F.size("groups"), F.lit(0)).cast("long").alias("n_groups"), text.alias("groups_sha256"))
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return figures.join(align.scored(done), "rid", "left").select("doc_id", "n_a", "n_b", "n_groups", count("n_links"), count("n_best"), count("count_sum"), "groups_sha256")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_simhash, op3_line_dedup, op4_license_scan, op5_html_extraction, op6_pii, op7_warc, op8_quality_rules, op9_nearest, op10_sentencepiece, op11_periodic_runs, op12_decontamination)}
+    return {f.__name__: f for f in (op1_packing, op2_simhash, op3_line_dedup, op4_license_scan, op5_html_extraction, op6_pii, op7_warc, op8_quality_rules, op9_nearest, op10_sentencepiece, op11_periodic_runs, op12_decontamination, op13_alignment)}
 
 
 # Base32 of a SHA-1: eight groups of 20 bits, each four letters of the alphabet.

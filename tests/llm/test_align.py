@@ -1,0 +1,98 @@
+"""Alignment of tokenizers against plain overlap of byte ranges."""
+
+import hashlib
+from collections import Counter
+
+import public_tokenizers as public
+import pyarrow.parquet as pq
+import pytest
+import sentencepiece
+import tokenizers
+
+from boxloom.llm import align, queries
+
+ODD = [None, "", " ", "   ", "a", "  a   b\n\n c \n  d", "x▁y", "naïve ☃ 𝒳 don't", "</s> <unk> <|endoftext|>", "\u0000a\tb   c　 d", "é" * 300, " \n\n  \t z", "ab " * 500 + " "]
+
+
+@pytest.fixture(scope="module")
+def libraries():
+    t = tokenizers.Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    return t, sentencepiece.SentencePieceProcessor(model_file=public.path("piece_bpe_32k.model"))
+
+
+def spelled(libraries, text):
+    """Ids and bytes by the libraries, each side."""
+    t, sp = libraries
+    plain = [c for c in range(256) if 33 <= c <= 126 or 161 <= c <= 172 or c >= 174]
+    code = {chr(c): c for c in plain} | {chr(256 + i): c for i, c in enumerate(c for c in range(256) if c not in plain)}
+    e = t.encode(" " + text, add_special_tokens=False)
+    a = [(i, bytes(code[c] for c in x)) for i, x in zip(e.ids, e.tokens, strict=True)]
+    b = []
+    for i in sp.encode(text):
+        p = sp.id_to_piece(i)
+        b.append((i, bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace("▁", " ").encode()))
+    whole = f" {text}".encode()
+    return (a, b) if text and all(b"".join(x for _, x in s) == whole for s in (a, b)) else ([], [])
+
+
+def spans(side):
+    at, out = 0, []
+    for i, x in side:
+        out.append((at, at + len(x), i))
+        at += len(x)
+    return out
+
+
+def slow_alignment(libraries, texts):
+    linked, rest = [], []
+    for text in texts:
+        a, b = map(spans, spelled(libraries, text or ""))
+        cuts = sorted({e for _, e, _ in a} & {e for _, e, _ in b})
+        pairs = []
+        for s, e, i in a:
+            pairs += [(i, j) for f, g, j in b if s < g and f < e]
+        groups = ";".join("|".join(",".join(str(i) for s, e, i in side if low < e <= high) for side in (a, b)) for low, high in zip([0, *cuts], cuts, strict=False))
+        linked.append(pairs)
+        rest.append((len(a), len(b), len(cuts), hashlib.sha256(groups.encode()).hexdigest() if a else ""))
+    counts = Counter(p for pairs in linked for p in set(pairs))
+    top = {}
+    for (i, _), n in counts.items():
+        top[i] = max(top.get(i, 0), n)
+    return [(na, nb, ng, len(p), sum(counts[x] == top[x[0]] for x in p), sum(counts[x] for x in p), sha) for p, (na, nb, ng, sha) in zip(linked, rest, strict=True)]
+
+
+def query_over(spark, docs, tmp_path):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    return queries.op13_alignment(spark, str(tmp_path))
+
+
+def test_alignment_of_odd_rows(spark, libraries, tmp_path):
+    texts = [*ODD, ODD[5], ODD[7]]
+    docs = spark.createDataFrame([(min(i, 12), t, "clash", "x") for i, t in enumerate(texts)], "doc_id long, text string, tokens string, rid string").repartition(3)
+    got = sorted((tuple(r) for r in query_over(spark, docs, tmp_path).collect()))
+    assert got == sorted((min(i, 12), *x) for i, x in enumerate(slow_alignment(libraries, texts)))
+    assert not query_over(spark, docs.where("false"), tmp_path / "none").collect()
+
+
+def test_alignment_of_a_table(spark, tiny, libraries, tmp_path):
+    table = pq.read_table(f"{tiny}/documents.parquet")
+    texts = dict(zip(*(table.column(c).to_pylist() for c in ("doc_id", "text")), strict=True))
+    short = {d: t for d, t in texts.items() if len(t or "") < 3000}
+    docs = spark.createDataFrame(list(short.items()), "doc_id long, text string")
+    got = {r["doc_id"]: tuple(r)[1:] for r in query_over(spark, docs, tmp_path).collect()}
+    assert got == dict(zip(short, slow_alignment(libraries, short.values()), strict=True))
+
+
+def test_counts_beyond_a_broadcast(spark, libraries, tmp_path, monkeypatch):
+    monkeypatch.setattr(align, "MAX_BROADCAST_PAIRS", 0)
+    docs = spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string")
+    assert sorted(tuple(r) for r in query_over(spark, docs, tmp_path).collect()) == [(i, *x) for i, x in enumerate(slow_alignment(libraries, ODD))]
+
+
+def test_pieces_are_segmented_alike(libraries):
+    (t, sp), cases = libraries, [x for x in ODD if x] + ["a \u0085 b", "q  r", "1 2  3   4", "it's  'll 're", "\x1c \x1d  y"]
+    for side, whole in ((align.byte_side(), lambda x: t.encode(" " + x, add_special_tokens=False).ids), (align.piece_side(), sp.encode)):
+        for x in cases:
+            if "▁" not in x:
+                assert [i for ids in side[0](align.pieces_of(x)) for i in ids] == whole(x)
