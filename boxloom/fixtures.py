@@ -65,3 +65,11 @@ def attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") * 20).alias("logits"))
+
+
+def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pic_id, values): each vector as a picture of 8 x 8 values, as it is, brighter with more contrast, and with two strengths of noise."""
+    noise = lambda i: ((F.col("vec_id") * 31 + i * 17) % 101 - 50) / 2500
+    kinds = [lambda x, i: x, lambda x, i: x * 1.5 + 0.25, lambda x, i: x + noise(i), lambda x, i: x + 3 * noise(i)]
+    made = [F.transform(F.transform("embedding", lambda x: x.cast("double")), f) for f in kinds]
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.array(*made)).alias("k", "values")).select((F.col("vec_id") * 4 + F.col("k")).alias("pic_id"), "values")

@@ -137,6 +137,17 @@ _GRID = f"""{_IMAGES}, gr AS (SELECT i, j, row_number() OVER (ORDER BY i * j, i,
   mn AS (SELECT *, min(dist) OVER (PARTITION BY image_id) AS m FROM ds), cd AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY k) AS r FROM mn WHERE dist = m),
   ch AS (SELECT image_id, arg_max(i, k) AS i, arg_max(j, k) AS j FROM cd WHERE r = 1 OR width * height > 0.5::DOUBLE * 448 * 448 * i * j GROUP BY image_id)"""
 
+_PICTURES = """cosines AS (SELECT list(cos(pi() * (2 * (n % 8) + 1) * (n // 8) / 16) ORDER BY n) AS c FROM range(0, 64) t(n)),
+  pv AS (SELECT vec_id * 4 + k AS pic_id, list_transform(embedding, lambda x, i: CASE k WHEN 0 THEN x::DOUBLE WHEN 1 THEN x::DOUBLE * 1.5::DOUBLE + 0.25::DOUBLE ELSE x::DOUBLE + (2 * k - 3) * (((vec_id * 31 + (i - 1) * 17) % 101 - 50) / 2500::DOUBLE) END) AS v FROM embeddings, range(0, 4) t(k)),
+  pr AS (SELECT pic_id, c, list_transform(range(0, 64), lambda n: list_sum(list_transform(range(0, 8), lambda i: v[n // 8 * 8 + i + 1] * c[n % 8 * 8 + i + 1]))) AS r FROM pv, cosines),
+  pc AS (SELECT pic_id, list_transform(range(0, 64), lambda n: round(list_sum(list_transform(range(0, 8), lambda i: r[n % 8 + i * 8 + 1] * c[n // 8 * 8 + i + 1])), 6)) AS x FROM pr),
+  pb AS (SELECT pic_id, list_transform(x, lambda y: CASE WHEN y > list_sort(x[2:])[32] THEN 1 ELSE 0 END) AS b FROM pc),
+  ph AS (SELECT pic_id, array_to_string(b, '') AS bits, array_to_string(list_transform(range(0, 16), lambda i: substr('0123456789abcdef', (1 + 8 * b[4 * i + 1] + 4 * b[4 * i + 2] + 2 * b[4 * i + 3] + b[4 * i + 4])::INT, 1)), '') AS phash FROM pb)"""
+# All pairs of pictures, and what steps within a radius reach.
+_NEAR = f"""WITH RECURSIVE {_PICTURES}, near AS (SELECT radius, a.pic_id AS a, b.pic_id AS b FROM ph a, ph b, (VALUES (0), (4), (8)) t(radius) WHERE a.pic_id <> b.pic_id AND hamming(a.bits, b.bits) <= radius),
+  reach AS (SELECT radius, pic_id AS a, pic_id AS b FROM ph, (VALUES (0), (4), (8)) t(radius) UNION SELECT r.radius, r.a, n.b FROM reach r JOIN near n ON r.radius = n.radius AND r.b = n.a)
+  SELECT radius::BIGINT AS radius, a AS pic_id, min(b) AS class_id, min(b) = a AS stays FROM reach GROUP BY radius, a"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -192,6 +203,9 @@ def oracle_sql() -> dict[str, str]:
         "resolution_filter": f"WITH {_IMAGES} SELECT * FROM im WHERE width >= 1024 AND height >= 1024 AND width <= 4096 AND height <= 6144 AND greatest(width, height) <= 1.5::DOUBLE * least(width, height)",
         "aesthetic_class": "SELECT p_partkey, CASE WHEN (p_partkey % 13) / 2.0 >= 6 THEN 'main' WHEN (p_partkey % 13) / 2.0 >= 5.75 THEN 'add_on' ELSE 'reject' END AS class FROM part",
         "phash_dedup": f"WITH {_IMAGES} SELECT *, md5((image_id % 7)::VARCHAR) AS phash FROM im QUALIFY row_number() OVER (PARTITION BY image_id % 7 ORDER BY image_id) = 1",
+        "phash_values": f"WITH {_PICTURES} SELECT pic_id, phash FROM ph",
+        "phash_near_pairs": f"WITH {_PICTURES}, h AS (SELECT DISTINCT phash, bits FROM ph) SELECT a.phash AS a, b.phash AS b, hamming(a.bits, b.bits)::BIGINT AS distance FROM h a JOIN h b ON a.phash < b.phash WHERE hamming(a.bits, b.bits) <= 8",
+        "phash_near_dedup": _NEAR,
         "last_sentence": f"""WITH {CAP}, ps AS (SELECT image_id, regexp_extract_all(vlm, '\\s*\\S+') AS w FROM cap), un AS (SELECT image_id, len(w) AS n, unnest(w) AS x, generate_subscripts(w, 1) AS k FROM ps),
             pl AS (SELECT *, sum(length(x)) OVER (PARTITION BY image_id ORDER BY k) AS e FROM un)
             SELECT image_id, coalesce(max(e) FILTER (k <= 77 AND (k = n OR right(x, 1) IN ('.', '!', '?'))), 0)::BIGINT AS n FROM cap LEFT JOIN pl USING (image_id) GROUP BY image_id""",

@@ -9,9 +9,10 @@ from boxloom import fixtures as fx
 from boxloom import schemas
 from boxloom.functions import dialog, geometry as g, text, tiling, verdict
 from boxloom.functions.rng import random_order, uniform
-from boxloom.operators import assemble, detections as dt, instances, merging, replicas, sampling, suppress
+from boxloom.operators import assemble, detections as dt, instances, merging, phash, replicas, sampling, suppress
 from boxloom.plans import stages
 from boxloom.sources import readers, sinks
+from boxloom.sources.sinks import materialise
 
 ROW = ["image_id", "detector", "pos", "label", "score", "x0", "y0", "x1", "y1"]
 CORPUS_TERMS = [" the the", " and and", " of of", "tion and"]
@@ -289,6 +290,29 @@ def phash_dedup(spark, d):
     return plain(assemble.dedup_phash(rows))
 
 
+def _hashed_pictures(spark, d) -> DataFrame:
+    return fx.pictures(spark, d).select("pic_id", phash.dct_hash(F.col("values")).alias("phash"))
+
+
+def phash_values(spark, d):
+    return _hashed_pictures(spark, d).select("pic_id", phash.as_hex(F.col("phash")).alias("phash"))
+
+
+def phash_near_pairs(spark, d):
+    """Distinct hashes that differ in at most 8 bits."""
+    hashes = materialise(_hashed_pictures(spark, d).where("phash is not null").select(F.col("phash").alias("h")).distinct(), "hashes")
+    got = phash.near_hashes(hashes, 8)
+    a, b = phash.as_hex(F.col("a")), phash.as_hex(F.col("b"))
+    return plain(got.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), "distance"))
+
+
+def phash_near_dedup(spark, d):
+    """Class of every picture by steps of 0, 4 and 8 bits, and whether it stays."""
+    rows = materialise(_hashed_pictures(spark, d), "pictures")
+    found = [phash.near_classes(rows, r, "pic_id").select(F.lit(r).alias("radius"), "pic_id", "class_id") for r in (0, 4, 8)]
+    return plain(found[0].union(found[1]).union(found[2])).withColumn("stays", F.col("pic_id") == F.col("class_id"))
+
+
 def last_sentence(spark, d):
     return plain(fx.captions(spark, d).select("image_id", text.last_sentence_within(F.col("vlm_caption")).alias("n")))
 
@@ -390,7 +414,7 @@ _RUN = (
     pairwise_iou, pairwise_ioa, cross_detector_votes, overlap_min_area_pairs, box_union_hull, containment_removal, nms_per_label, topk_score, max_dets, center_closeness,
     equal_contribution_sample, contribution_caps, detector_contribution, detector_label_rollup, overlap_aware_sample, replica_sampling, replica_records, slice_merge, iou_label_merge, merged_detections,
     caption_preprocess, attribute_parse, attribute_postprocess, attribute_merge, dialog_build, yes_no_question, softmax_yes_no, verdict_correction, verdict_group, crop_plan, crop_order,
-    tile_choice, tile_boxes, resume_anti_join, contiguous_slices, mode_label, final_annotations, train_val_split, final_nms, resolution_filter, aesthetic_class, phash_dedup, last_sentence,
+    tile_choice, tile_boxes, resume_anti_join, contiguous_slices, mode_label, final_annotations, train_val_split, final_nms, resolution_filter, aesthetic_class, phash_dedup, phash_values, phash_near_pairs, phash_near_dedup, last_sentence,
     hashed_uniform, caption_stage, curate, display_strings, detector_records, json_resume, line_files, key_ranges, key_parts, box_transform, text_places, instance_take, instance_arrays, replica_boxes,
 )
 
