@@ -2,15 +2,15 @@
 
 Tokens of a text lie end to end in its bytes. Each side's tokens are laid out by
 posexplode, a running sum of their lengths over the document gives their ends,
-and an outer join on document and end brings the sides together. An end that
+and both sides are brought together on document and end. An end that
 both have is a cut; a running count of cuts numbers the groups. Two tokens
 overlap if one of them is the first to end at or after the other's end, so every
 distinct end of a document is one link: between the first token of either side
 that ends there or later, which a running last value finds. No pairs within a
 group are formed.
 
-Documents are dealt out once, by a row number; joins, windows and sums of a
-document keep to that. What a document links is written; counts of id pairs
+Documents are dealt out once, tokens and all, by a row number; windows and sums
+of a document keep to that. What a document links is written; counts of id pairs
 over all documents go back to it by a join.
 
 Python only makes tokens. Neither tokenizer joins characters across a space that
@@ -25,13 +25,15 @@ table gives none; other columns are ignored.
 
 from __future__ import annotations
 
+import base64
 import re
 from collections.abc import Callable, Iterator
+from functools import cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .packing import byte_bpe
@@ -50,18 +52,18 @@ _ODD = re.compile(r"\s ")
 Side = tuple[Callable[[list[str]], list[list[int]]], list[bytes]]
 
 
+@cache
 def byte_side() -> Side:
     import public_tokenizers as public
-    import tokenizers
 
-    names = tokenizers.Tokenizer.from_file(public.path("byte_bpe_50k.json"))
-    plain = [c for c in range(256) if 33 <= c <= 126 or 161 <= c <= 172 or c >= 174]
-    code = {chr(c): c for c in plain} | {chr(256 + i): c for i, c in enumerate(c for c in range(256) if c not in plain)}
-    spelled = [bytes(code[c] for c in names.id_to_token(i)) if all(c in code for c in names.id_to_token(i)) else b"" for i in range(names.get_vocab_size())]
-    encode = byte_bpe(public.path("byte_bpe_50k.tiktoken"), public.PATTERN, ())
-    return lambda pieces: [encode(p) for p in pieces], spelled
+    path = public.path("byte_bpe_50k.tiktoken")
+    with open(path, "rb") as f:
+        spelled = {int(b): base64.b64decode(a) for a, b in map(bytes.split, f)}
+    encode = byte_bpe(path, public.PATTERN, ())
+    return lambda pieces: [encode(p) for p in pieces], [spelled.get(i, b"") for i in range(max(spelled) + 1)]
 
 
+@cache
 def piece_side() -> Side:
     import public_tokenizers as public
 
@@ -77,10 +79,8 @@ def pieces_of(text: str) -> list[str]:
     return _EDGE.split(text) if _ODD.search(text) else [" " + w for w in text[1:].split(" ")]
 
 
-def tokens(docs: DataFrame, side: Callable[[], Side], text_col: str = "text") -> DataFrame:
-    """docs with `tokens`, ids and byte lengths of a space and the text; null where they do not spell it or the text is empty."""
-    small_batches(docs.sparkSession)
-
+def tokens(text: str, side: Callable[[], Side]) -> Column:
+    """Ids and byte lengths of a space and the text; null where they do not spell it or the text is empty."""
     @F.arrow_udf(TOKEN)
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         segment, spelled = side()
@@ -102,38 +102,43 @@ def tokens(docs: DataFrame, side: Callable[[], Side], text_col: str = "text") ->
             pairs = pa.StructArray.from_arrays([pa.array(ids), pa.array(sizes[ids])], names=["id", "size"])
             yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs, mask=pa.array(missing))
 
-    return docs.withColumn("tokens", encode(text_col)).drop(text_col)
+    return encode.asNondeterministic()(text)  # else filters on the tokens would make them once more
 
 
 def laid_out(tokened: DataFrame) -> DataFrame:
-    """(rid, end, id): every token with the byte offset at which it ends."""
-    each = tokened.select("rid", F.posexplode("tokens").alias("pos", "t")).select("rid", "pos", "t.id", "t.size")
-    return each.select("rid", F.sum("size").over(Window.partitionBy("rid").orderBy("pos")).alias("end"), "id")
+    """(rid, side, end, id): every token of both sides (0 and 1) with the byte offset at which it ends."""
+    sides = F.array(*[F.struct(F.lit(i).alias("side"), F.col(c).alias("t")) for i, c in enumerate(("a", "b"))])
+    each = tokened.select("rid", F.explode(sides).alias("s")).select("rid", "s.side", F.posexplode("s.t").alias("pos", "t")).select("rid", "side", "pos", "t.id", "t.size")
+    return each.select("rid", "side", F.sum("size").over(Window.partitionBy("rid", "side").orderBy("pos")).alias("end"), "id")
 
 
-def links(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(rid, end, a, b, a_ends, b_ends, group) of two sides laid out: a row for each link, in documents that both sides have.
+def links(placed: DataFrame) -> DataFrame:
+    """(rid, end, a, b, a_ends, b_ends, group) of tokens laid out: a row for each link.
 
-    a_ends says that the a token ends at `end`; groups are numbered from the last.
+    The sides meet on document and end; each has one token there at most, so the
+    grouped union is their outer join, and rows stay where they are. a_ends says
+    that the a token ends at `end`; groups are numbered from the last.
     """
-    met = a.select("rid", "end", F.col("id").alias("a")).join(b.select("rid", "end", F.col("id").alias("b")), ["rid", "end"], "full")
+    of = lambda i, c: F.max(F.when(F.col("side") == i, F.col("id"))).alias(c)
+    met = placed.groupBy("rid", "end").agg(of(0, "a"), of(1, "b"))
     back = Window.partitionBy("rid").orderBy(F.desc("end"))
     cut = (F.col("a").isNotNull() & F.col("b").isNotNull()).cast("int")
     cover = lambda c: F.last(c, ignorenulls=True).over(back)
-    rows = met.select("rid", "end", cover("a").alias("a"), cover("b").alias("b"), F.col("a").isNotNull().alias("a_ends"), F.col("b").isNotNull().alias("b_ends"), F.sum(cut).over(back).alias("group"))
-    return rows.where("a is not null and b is not null")
+    return met.select("rid", "end", cover("a").alias("a"), cover("b").alias("b"), F.col("a").isNotNull().alias("a_ends"), F.col("b").isNotNull().alias("b_ends"), F.sum(cut).over(back).alias("group"))
 
 
 def aligned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sides=(byte_side, piece_side)) -> DataFrame:
     """(rid, doc_id, groups array<struct<a, b>>, pairs array<long>), written: ids of each side by group, and a * PAIR + b of each link; null without tokens."""
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    dealt = rows.repartition("rid")
-    a, b = (laid_out(tokens(dealt.select("rid", "text"), side)) for side in sides)
+    small_batches(docs.sparkSession)
+    tokened = rows.select("rid", *[tokens("text", side).alias(c) for c, side in zip("ab", sides, strict=True)]).where("a is not null and b is not null")
+    # With a number, as adaptive execution would join partitions by the size of their arrays, which then become some thirty times as many rows.
+    tokened = tokened.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rid")
     ids = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col(f"{c}_ends"), F.struct("end", F.col(c).alias("id"))))), lambda t: t["id"])
     pair = F.col("a").cast("long") * PAIR + F.col("b")
-    grouped = links(a, b).groupBy("rid", "group").agg(ids("a").alias("a"), ids("b").alias("b"), F.collect_list(pair).alias("pairs"))
+    grouped = links(laid_out(tokened)).groupBy("rid", "group").agg(ids("a").alias("a"), ids("b").alias("b"), F.collect_list(pair).alias("pairs"))
     whole = grouped.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct((-F.col("group")).alias("nth"), "a", "b"))).alias("groups"), F.flatten(F.collect_list("pairs")).alias("pairs"))
-    return materialise(dealt.select("rid", "doc_id").join(whole, "rid", "left").select("rid", "doc_id", F.transform("groups", lambda g: F.struct(g["a"].alias("a"), g["b"].alias("b"))).alias("groups"), "pairs"), "aligned")
+    return materialise(rows.select("rid", "doc_id").join(whole, "rid", "left").select("rid", "doc_id", F.transform("groups", lambda g: F.struct(g["a"].alias("a"), g["b"].alias("b"))).alias("groups"), "pairs"), "aligned")
 
 
 def pair_counts(done: DataFrame) -> DataFrame:
