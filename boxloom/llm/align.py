@@ -44,7 +44,8 @@ from .store import materialise, small_batches
 MAX_BROADCAST_PAIRS = 1_000_000
 #: An id pair as one number.
 PAIR = 1 << 20
-TOKEN = "array<struct<id:int,size:int>>"
+#: A token as one number: its id below this, and above it its bytes.
+IDS = 1 << 16
 _EDGE = re.compile(r"(?<=\S)(?= )")
 _ODD = re.compile(r"\s ")
 
@@ -81,10 +82,12 @@ def pieces_of(text: str) -> list[str]:
 
 def tokens(text: str, side: Callable[[], Side]) -> Column:
     """Ids and byte lengths of a space and the text; null where they do not spell it or the text is empty."""
-    @F.arrow_udf(TOKEN)
+    @F.arrow_udf("array<int>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         segment, spelled = side()
         sizes, table = np.array([len(s) for s in spelled], np.int32), {}
+        if len(sizes) > IDS or sizes.max() >= IDS // 2:
+            raise ValueError("ids or tokens are too large")
         for texts in batches:
             flat, ends, missing = [], [0], []
             for text in texts.to_pylist():
@@ -99,8 +102,7 @@ def tokens(text: str, side: Callable[[], Side]) -> Column:
                 flat += chain.from_iterable(ids for ids, _ in got) if not missing[-1] else ()
                 ends.append(len(flat))
             ids = np.array(flat, np.int32)
-            pairs = pa.StructArray.from_arrays([pa.array(ids), pa.array(sizes[ids])], names=["id", "size"])
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs, mask=pa.array(missing))
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(sizes[ids] * IDS + ids), mask=pa.array(missing))
 
     return encode.asNondeterministic()(text)  # else filters on the tokens would make them once more
 
@@ -108,7 +110,7 @@ def tokens(text: str, side: Callable[[], Side]) -> Column:
 def laid_out(tokened: DataFrame) -> DataFrame:
     """(rid, side, end, id): every token of both sides (0 and 1) with the byte offset at which it ends."""
     sides = F.array(*[F.struct(F.lit(i).alias("side"), F.col(c).alias("t")) for i, c in enumerate(("a", "b"))])
-    each = tokened.select("rid", F.explode(sides).alias("s")).select("rid", "s.side", F.posexplode("s.t").alias("pos", "t")).select("rid", "side", "pos", "t.id", "t.size")
+    each = tokened.select("rid", F.explode(sides).alias("s")).select("rid", "s.side", F.posexplode("s.t").alias("pos", "t")).select("rid", "side", "pos", (F.col("t") % IDS).alias("id"), F.floor(F.col("t") / IDS).alias("size"))
     return each.select("rid", "side", F.sum("size").over(Window.partitionBy("rid", "side").orderBy("pos")).alias("end"), "id")
 
 
