@@ -144,7 +144,7 @@ _PICTURES = """cosines AS (SELECT list(cos(pi() * (2 * (n % 8) + 1) * (n // 8) /
   pb AS (SELECT pic_id, list_transform(x, lambda y: CASE WHEN y > list_sort(x[2:])[32] THEN 1 ELSE 0 END) AS b FROM pc),
   ph AS (SELECT pic_id, array_to_string(b, '') AS bits, array_to_string(list_transform(range(0, 16), lambda i: substr('0123456789abcdef', (1 + 8 * b[4 * i + 1] + 4 * b[4 * i + 2] + 2 * b[4 * i + 3] + b[4 * i + 4])::INT, 1)), '') AS phash FROM pb)"""
 # All pairs of pictures, and what steps within a radius reach.
-_NEAR = f"""WITH RECURSIVE {_PICTURES}, near AS (SELECT radius, a.pic_id AS a, b.pic_id AS b FROM ph a, ph b, (VALUES (0), (4), (8)) t(radius) WHERE a.pic_id <> b.pic_id AND hamming(a.bits, b.bits) <= radius),
+_NEAR_CLASSES = f"""WITH RECURSIVE {_PICTURES}, near AS (SELECT radius, a.pic_id AS a, b.pic_id AS b FROM ph a, ph b, (VALUES (0), (4), (8)) t(radius) WHERE a.pic_id <> b.pic_id AND hamming(a.bits, b.bits) <= radius),
   reach AS (SELECT radius, pic_id AS a, pic_id AS b FROM ph, (VALUES (0), (4), (8)) t(radius) UNION SELECT r.radius, r.a, n.b FROM reach r JOIN near n ON r.radius = n.radius AND r.b = n.a)
   SELECT radius::BIGINT AS radius, a AS pic_id, min(b) AS class_id, min(b) = a AS stays FROM reach GROUP BY radius, a"""
 
@@ -205,7 +205,7 @@ def oracle_sql() -> dict[str, str]:
         "phash_dedup": f"WITH {_IMAGES} SELECT *, md5((image_id % 7)::VARCHAR) AS phash FROM im QUALIFY row_number() OVER (PARTITION BY image_id % 7 ORDER BY image_id) = 1",
         "phash_values": f"WITH {_PICTURES} SELECT pic_id, phash FROM ph",
         "phash_near_pairs": f"WITH {_PICTURES}, h AS (SELECT DISTINCT phash, bits FROM ph) SELECT a.phash AS a, b.phash AS b, hamming(a.bits, b.bits)::BIGINT AS distance FROM h a JOIN h b ON a.phash < b.phash WHERE hamming(a.bits, b.bits) <= 8",
-        "phash_near_dedup": _NEAR,
+        "phash_near_dedup": _NEAR_CLASSES,
         "last_sentence": f"""WITH {CAP}, ps AS (SELECT image_id, regexp_extract_all(vlm, '\\s*\\S+') AS w FROM cap), un AS (SELECT image_id, len(w) AS n, unnest(w) AS x, generate_subscripts(w, 1) AS k FROM ps),
             pl AS (SELECT *, sum(length(x)) OVER (PARTITION BY image_id ORDER BY k) AS e FROM un)
             SELECT image_id, coalesce(max(e) FILTER (k <= 77 AND (k = n OR right(x, 1) IN ('.', '!', '?'))), 0)::BIGINT AS n FROM cap LEFT JOIN pl USING (image_id) GROUP BY image_id""",
@@ -213,6 +213,10 @@ def oracle_sql() -> dict[str, str]:
         "detector_records": f"WITH {DET} SELECT image_id::VARCHAR AS new_key, detector, pos - 1 AS pos, label, round(score, 6) AS score, x0::DOUBLE AS x0, y0::DOUBLE AS y0, x1::DOUBLE AS x1, y1::DOUBLE AS y1 FROM det WHERE detector = 'gd'",
         "json_resume": f"WITH {_IMAGES} SELECT * FROM im WHERE width < 1500",
         "line_files": f"WITH {_IMAGES} SELECT width AS value FROM im",
+        "work_maps": """WITH m AS (SELECT o_orderkey::VARCHAR AS new_key, '0' AS replica, '/a/"' || o_orderstatus || '\\"{,}/' || o_orderkey AS path, o_custkey FROM orders UNION ALL SELECT o_orderkey::VARCHAR, '1', '{"[": ' || o_custkey, o_custkey FROM orders)
+            SELECT new_key, replica, path, '/d"}/' || (o_custkey % 7) AS folder FROM m""",
+        "keyed_files": f"WITH {_IMAGES} SELECT *, CASE WHEN width >= 1500 THEN 'first' ELSE 'second' END AS run, image_id::VARCHAR AS new_key FROM im",
+        "arrow_batches": "SELECT l_orderkey, l_partkey, CAST(floor(l_quantity) AS BIGINT) AS quantity FROM lineitem WHERE floor(l_quantity) >= 20 AND l_orderkey % 2 = 1",
         "key_ranges": f"WITH {_IMAGES} SELECT *, 'range' AS part FROM im WHERE image_id >= 3 AND image_id < 8 UNION ALL SELECT *, 'up to' FROM im WHERE image_id <= 4",
         "key_parts": "SELECT p_partkey, replace(p_name, ' ', '_') || '.tar' AS stem, '/data/' || (p_partkey % 5) AS folder, '/data' AS top, replace(p_name, ' ', '_') || '.tar' AS key, p_partkey % 12 AS replica FROM part",
         "box_transform": f"{FULL} SELECT image_id, detector, pos, width / 2.0::DOUBLE - (x1 * 0.5::DOUBLE - 8) AS x0, y0 * 0.5::DOUBLE - 4 AS y0, width / 2.0::DOUBLE - (x0 * 0.5::DOUBLE - 8) AS x1, y1 * 0.5::DOUBLE - 4 AS y1 FROM styled",

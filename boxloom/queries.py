@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from boxloom import fixtures as fx
 from boxloom import schemas
@@ -11,7 +12,7 @@ from boxloom.functions import dialog, geometry as g, text, tiling, verdict
 from boxloom.functions.rng import random_order, uniform
 from boxloom.operators import assemble, detections as dt, instances, merging, phash, replicas, sampling, suppress
 from boxloom.plans import stages
-from boxloom.sources import readers, sinks
+from boxloom.sources import keyed, readers, sinks
 from boxloom.sources.sinks import materialise
 
 ROW = ["image_id", "detector", "pos", "label", "score", "x0", "y0", "x1", "y1"]
@@ -352,6 +353,35 @@ def line_files(spark, d):
     return readers.numbers(spark, path, "long")
 
 
+def work_maps(spark, d):
+    """A map of maps of all orders, whose paths hold braces, quotes and backslashes, read by ranges of 64 KiB with a map of folders."""
+    orders, key = fx.table(spark, d, "orders"), F.col("o_orderkey").cast("string")
+    path = F.concat(F.lit('/a/"'), "o_orderstatus", F.lit('\\"{,}/'), key)
+    todo = orders.select("o_orderkey", F.create_map(F.lit("0"), path, F.lit("1"), F.concat(F.lit('{"[": '), F.col("o_custkey").cast("string"))).alias("v"))
+    dirs = orders.select("o_orderkey", F.concat(F.lit('/d"}/'), (F.col("o_custkey") % 7).cast("string")).alias("v"))
+    maps = [sinks.scratch(spark, "work_map"), sinks.scratch(spark, "dirs_map")]
+    for rows, to in zip((todo, dirs), maps, strict=True):
+        sinks.write_map(rows.repartition(3, "o_orderkey"), to, "o_orderkey", "v")
+    return readers.work_list(spark, *maps, split=64 << 10)
+
+
+def keyed_files(spark, d):
+    """A file for each image: a first run writes wide ones, a second what has no file yet; read back."""
+    work, path = fx.images(spark, d), sinks.scratch(spark, "keyed_files")
+    keyed.write_keyed(work.where("width >= 1500").withColumn("run", F.lit("first")), path, "image_id")
+    keyed.write_keyed(keyed.pending_keys(work, path, "image_id").withColumn("run", F.lit("second")), path, "image_id")
+    kind = T.StructType([*work.schema.fields, T.StructField("run", T.StringType())])
+    return plain(readers.json_records(spark, [path], T.StructType([*kind.fields, T.StructField("new_key", T.StringType())])))
+
+
+def arrow_batches(spark, d):
+    """Line items through Arrow files, read back by record batches: three of their columns, those of a quantity."""
+    path, rows = sinks.scratch(spark, "arrow_batches"), fx.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("long").alias("quantity"), "l_extendedprice")
+    sinks.write_arrow(rows, path)
+    kind = T.StructType([rows.schema[c] for c in ("l_orderkey", "l_partkey", "quantity")])
+    return readers.arrow_table(spark, path, kind, batches=2).where("quantity >= 20 and l_orderkey % 2 = 1")
+
+
 def key_ranges(spark, d):
     """Images of a key range, and up to a key."""
     rows = fx.images(spark, d)
@@ -415,7 +445,7 @@ _RUN = (
     equal_contribution_sample, contribution_caps, detector_contribution, detector_label_rollup, overlap_aware_sample, replica_sampling, replica_records, slice_merge, iou_label_merge, merged_detections,
     caption_preprocess, attribute_parse, attribute_postprocess, attribute_merge, dialog_build, yes_no_question, softmax_yes_no, verdict_correction, verdict_group, crop_plan, crop_order,
     tile_choice, tile_boxes, resume_anti_join, contiguous_slices, mode_label, final_annotations, train_val_split, final_nms, resolution_filter, aesthetic_class, phash_dedup, phash_values, phash_near_pairs, phash_near_dedup, last_sentence,
-    hashed_uniform, caption_stage, curate, display_strings, detector_records, json_resume, line_files, key_ranges, key_parts, box_transform, text_places, instance_take, instance_arrays, replica_boxes,
+    hashed_uniform, caption_stage, curate, display_strings, detector_records, json_resume, line_files, work_maps, keyed_files, arrow_batches, key_ranges, key_parts, box_transform, text_places, instance_take, instance_arrays, replica_boxes,
 )
 
 

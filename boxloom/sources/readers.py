@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 from boxloom import schemas
 
+from . import jsonmap
+from .stores import files_below, store_of
+
 SEP = "[SEP]"
 
 
@@ -48,15 +53,13 @@ def files(spark: SparkSession, paths: str | Sequence[str], suffix: str | None =
     return reader.load(list(paths)).withColumn("image_key", F.regexp_extract("path", r"([^/]*?)(?:\.[^./]*)?$", 1))
 
 
-def work_list(spark: SparkSession, map_path: str, dirs_path: str | None = None) -> DataFrame:
-    """(new_key, replica, path[, folder]) from a map of maps in JSON, with the folder of each key's image."""
-    def one(path: str, kind: T.MapType) -> DataFrame:
-        return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", kind)))
-
-    out = one(map_path, schemas.WORK_MAP).select(F.col("key").alias("new_key"), F.explode("value").alias("replica", "path"))
+def work_list(spark: SparkSession, map_path: str, dirs_path: str | None = None, split: int = jsonmap.SPLIT) -> DataFrame:
+    """(new_key, replica, path[, folder]) from a map of maps in JSON, with the folder of each key's image; read by byte ranges."""
+    one = lambda path: jsonmap.last_wins(jsonmap.json_map(spark, path, split))
+    out = one(map_path).select(F.col("key").alias("new_key"), F.explode(F.from_json("value", schemas.WORK_MAP.valueType)).alias("replica", "path"))
     if dirs_path is None:
         return out
-    return out.join(one(dirs_path, schemas.IMAGE_DIRS).select(F.col("key").alias("new_key"), F.col("value").alias("folder")), "new_key")
+    return out.join(one(dirs_path).select(F.col("key").alias("new_key"), F.col("value").alias("folder")), "new_key")
 
 
 def numbers(spark: SparkSession, path: str, kind: str = "double") -> DataFrame:
@@ -109,7 +112,12 @@ def missing(left: DataFrame, right: DataFrame, key: str = "new_key") -> DataFram
 
 
 class ArrowFiles(DataSource):
-    """Arrow IPC files (stream or file format) of a folder that Python can open; options path and schema."""
+    """Arrow IPC files below a folder: file format by record batches, stream format by files; options path and batches (of a partition).
+
+    Only the columns of the schema asked for are decoded. Comparisons of whole
+    numbers, strings, dates and truth values are taken over from the plan and
+    applied to a batch before it is handed on.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -122,30 +130,49 @@ class ArrowFiles(DataSource):
         return _ArrowReader(self.options, schema)
 
 
+#: Comparisons that readers of Arrow files apply themselves, and the types on which Arrow compares as Spark does.
+_COMPARED = {EqualTo: "equal", GreaterThan: "greater", GreaterThanOrEqual: "greater_equal", LessThan: "less", LessThanOrEqual: "less_equal"}
+_ALIKE = (T.IntegralType, T.StringType, T.DateType, T.BooleanType)
+
+
 class _ArrowReader(DataSourceReader):
+    """Partitions are (file, first batch, batch behind the last); (file, 0, None) is a stream."""
+
     def __init__(self, options: dict, schema: T.StructType):
-        self.path, self.names = options["path"], schema.names
+        self.path, self.asked, self.step = options["path"], schema, int(options.get("batches", 16))
+        self.filters: list[tuple[str, str, object]] = []
 
-    def partitions(self) -> list[InputPartition]:
-        from pyarrow import fs
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for f in filters:
+            if type(f) in _COMPARED and len(f.attribute) == 1 and isinstance(self.asked[f.attribute[0]].dataType, _ALIKE):
+                self.filters.append((f.attribute[0], _COMPARED[type(f)], f.value))
+            else:
+                yield f
 
-        store, root = fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
-        return [InputPartition(f.path) for f in sorted(store.get_file_info(fs.FileSelector(root, recursive=True)), key=lambda f: f.path) if f.path.endswith(".arrow")]
+    def partitions(self) -> list[InputPartition]:
+        store, out = store_of(self.path), []
+        for name, _ in files_below(self.path, ".arrow"):
+            with store.open_input_file(name) as f:
+                try:
+                    n = pa.ipc.open_file(f).num_record_batches  # from the footer
+                except pa.ArrowInvalid:
+                    out.append((name, 0, None))
+                    continue
+            out += [(name, i, min(i + self.step, n)) for i in range(0, n, self.step)]
+        return [InputPartition(x) for x in out]
 
     def read(self, partition: InputPartition):
-        import pyarrow as pa
-        from pyarrow import fs
-
-        store = fs.FileSystem.from_uri(self.path)[0] if "://" in self.path else fs.LocalFileSystem()
-        with store.open_input_file(partition.value) as f:
-            try:
-                reader = pa.ipc.open_file(f)
-                batches = (reader.get_batch(i) for i in range(reader.num_record_batches))
-            except pa.ArrowInvalid:
-                f.seek(0)
-                batches = pa.ipc.open_stream(f)
-            for b in batches:
-                yield b.select(self.names)
+        name, first, stop = partition.value
+        opened = pa.ipc.open_stream if stop is None else pa.ipc.open_file
+        with store_of(self.path).open_input_file(name) as f:
+            own = opened(f).schema
+            f.seek(0)
+            reader = opened(f, options=pa.ipc.IpcReadOptions(included_fields=[own.get_field_index(c) for c in self.asked.names]))
+            for b in reader if stop is None else map(reader.get_batch, range(first, stop)):
+                for c, compare, value in self.filters:
+                    b = b.filter(getattr(pc, compare)(b.column(c), pa.scalar(value, b.column(c).type)))
+                if b.num_rows:
+                    yield b.select(self.asked.names)
 
 
 def images(spark: SparkSession, path: str) -> DataFrame:
@@ -153,6 +180,12 @@ def images(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.IMAGES).parquet(path)
 
 
-def arrow_images(spark: SparkSession, path: str) -> DataFrame:
+def arrow_table(spark: SparkSession, path: str, schema: T.StructType = schemas.IMAGES, batches: int = 16) -> DataFrame:
+    """Arrow files as a table of the schema's columns; others are not decoded. Turns on filters for Python sources in the session."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(ArrowFiles)
-    return spark.read.format("arrow_files").option("path", path).load()
+    return spark.read.format("arrow_files").option("path", path).option("batches", batches).schema(schema).load()
+
+
+def arrow_images(spark: SparkSession, path: str) -> DataFrame:
+    return arrow_table(spark, path)

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxloom.functions.rng import uniform
+
 from boxloom.operators.assemble import not_done
 
+from .keyed import ArrowSink
+
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all machines share (spark.checkpoint.dir); only a local session may be without it."""
@@ -86,5 +90,30 @@ def ratios(spark: SparkSession, n: int, low: float = 0.3, high: float = 0.5, see
     return spark.range(n).select((F.lit(low) + (high - low) * uniform(seed, F.lit("ratio"), "id")).cast("string").alias("value"))
 
 
+def write_map(df: DataFrame, path: str, key: str, value: str) -> None:
+    """JSON objects of key and value, one object a partition of df; values are strings or JSON of maps and structs."""
+    text = df.schema[value].dataType.typeName() == "string"
+    quoted = lambda c: F.substring(F.to_json(F.array(c)), F.lit(2), F.length(F.to_json(F.array(c))) - 2)
+    name = quoted(F.coalesce(F.col(key).cast("string"), F.raise_error(F.lit("null key")).cast("string")))
+    body = F.coalesce(quoted(F.col(value)) if text else F.to_json(value), F.lit("null"))
+    rows = df.select(F.concat(name, F.lit(": "), body).alias("value"))
+
+    def braced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = True
+        for b in batches:
+            lines = [("{" if first and not i else ",") + x for i, x in enumerate(b.column(0).to_pylist())]
+            first = first and not lines
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["{}" if first else "}"])], names=["value"])
+
+    rows.mapInArrow(braced, "value string").write.mode("overwrite").text(path)
+
+
+def write_arrow(df: DataFrame, path: str) -> None:
+    """An Arrow IPC file for each partition of df, a record batch for each Arrow batch, through the writer of keyed files' protocol."""
+    df.sparkSession.dataSource.register(ArrowSink)
+    df.write.format("arrow_sink").option("path", path).mode("append").save()
+
+
 def write_lines(df: DataFrame, path: str) -> None:
     df.select("value").write.mode("overwrite").text(path)
