@@ -100,37 +100,18 @@ def words(c: Column) -> Column:
     return F.array_distinct(F.split(F.replace(c, F.lit("-"), F.lit(" ")), " "))
 
 
-def similar(a: Column, b: Column) -> Column:
-    """Sets of words that share three words, or .65 of both sides; a pair without a shared word is told by its marks."""
-    def told(n: Column) -> Column:
-        return (n >= 3) | ((n >= 0.65 * F.size(a["w"])) & (n >= 0.65 * F.size(b["w"])))
-
-    shared = let(F.size(F.filter(a["w"], lambda x: F.array_contains(b["w"], x))), told)
-    return F.when(a["m"].bitwiseAND(b["m"]) == 0, False).otherwise(shared)
-
-
-def marked(c: Column) -> Column:
-    """struct(w, m): the distinct words of an item, and a bit for each."""
-    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.hash(x), F.lit(64)))
-    return let(words(c), lambda w: F.struct(w.alias("w"), F.aggregate(w, F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(bit(x))).alias("m")))
-
-
-def drop_similar(ordered: Column) -> Column:
-    """Items without a similar item behind them."""
-    def unlike(sets: Column) -> Column:
-        rest = lambda i: F.slice(sets, i + 2, F.size(sets))
-        return F.filter(ordered, lambda a, i: ~let(F.get(sets, i), lambda own: F.exists(rest(i), lambda b: similar(own, b))))
-
-    return let(F.transform(ordered, marked), unlike)
-
-
 def strip_plurals(items: Column) -> Column:
     """Items go that are another item (not yet gone) and an s."""
-    blank = lambda acc, i: F.when(
-        F.element_at(acc, i).endswith("s") & F.array_contains(acc, F.substring(F.element_at(acc, i), F.lit(1), F.length(F.element_at(acc, i)) - 1)),
-        F.transform(acc, lambda x, k: F.when(k == i - 1, F.lit("")).otherwise(x)),
-    ).otherwise(acc)
-    return F.filter(F.aggregate(F.sequence(F.lit(1), F.size(items)), items, blank), lambda x: x != "")
+    def plural(acc: Column, i: Column) -> Column:
+        item = F.element_at(acc, i)
+        return item.endswith("s") & F.array_contains(acc, F.substring(item, F.lit(1), F.length(item) - 1))
+
+    def settle(known: Column) -> Column:
+        maybe = F.filter(F.sequence(F.lit(1), F.size(known)), lambda i: plural(known, i))
+        blank = lambda acc, i: F.when(plural(acc, i), F.transform(acc, lambda x, k: F.when(k == i - 1, F.lit("")).otherwise(x))).otherwise(acc)
+        return F.filter(F.aggregate(maybe, known, blank), lambda x: x != "")
+
+    return let(items, settle)
 
 
 def map_humans(items: Column) -> Column:
@@ -163,11 +144,14 @@ def by_length(items: Column) -> Column:
     return F.transform(keyed, lambda k: k["x"])
 
 
-def merge_attributes(shuffled_phase1: Column, phase2: Column) -> Column:
-    """The final list: short phase-1 items without similar later ones, phase 2, plurals and human terms settled, shortest first."""
-    short = F.filter(shuffled_phase1, lambda a: F.size(F.split(F.replace(a, F.lit("-"), F.lit(" ")), " ")) <= 4)
-    both = F.array_union(let(short, drop_similar), phase2)
-    settled = let(both, lambda b: F.when(F.size(b) > 0, strip_plurals(b)).otherwise(b))
+def short_items(items: Column) -> Column:
+    """Items of at most four words, hyphens taken as spaces."""
+    return F.filter(items, lambda a: F.size(F.split(F.replace(a, F.lit("-"), F.lit(" ")), " ")) <= 4)
+
+
+def settle_attributes(unlike: Column, phase2: Column) -> Column:
+    """The final list: phase-1 items without later ones like them, phase 2, plurals and human terms settled, shortest first."""
+    settled = let(F.array_union(unlike, phase2), lambda b: F.when(F.size(b) > 0, strip_plurals(b)).otherwise(b))
     return by_length(add_singulars(map_humans(settled)))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from boxloom.functions import dialog, text
 from boxloom.functions.rng import random_order
-from boxloom.operators import assemble, detections, replicas, sampling, suppress
+from boxloom.operators import assemble, detections, replicas, sampling, similar, suppress
 
 
 def describe(images: DataFrame, model: Callable = dialog.offline_describe) -> DataFrame:
@@ -31,9 +31,8 @@ def phase2(done: DataFrame, model: Callable = dialog.offline_chat, seed: int = 0
     ready = done.drop("answer", "error", "dialog").withColumn("query", dialog.phase2_query(text.join_list(F.col("phase1"))))
     answered = dialog.with_model(ready, "query", "error", model, "answer string").drop("query")
     new = F.array_distinct(text.filter_attributes(text.parse_list(F.replace("answer", F.lit(text.PHASE1_HEADER), F.lit("")), text.PHASE2_HEADER)))
-    # The parsed and mixed lists stay columns of their own, so that no expression is repeated.
     mixed = F.transform(F.array_sort(F.transform("phase1", lambda a: F.struct(random_order(seed, "new_key", a).alias("o"), a.alias("a")))), lambda s: s["a"])
-    return answered.withColumn("phase2", new).withColumn("merged", text.merge_attributes(mixed, F.col("phase2")))
+    return similar.merge_attributes(answered.withColumn("phase2", new), "new_key", mixed, F.col("phase2"))
 
 
 def filtered(boxes: DataFrame, config: detections.FilterConfig = detections.FilterConfig()) -> DataFrame:

@@ -10,7 +10,7 @@ from boxloom import fixtures as fx
 from boxloom import schemas
 from boxloom.functions import dialog, geometry as g, text, tiling, verdict
 from boxloom.functions.rng import random_order, uniform
-from boxloom.operators import assemble, detections as dt, instances, merging, phash, replicas, sampling, suppress
+from boxloom.operators import assemble, detections as dt, instances, merging, phash, replicas, sampling, similar, suppress
 from boxloom.plans import stages
 from boxloom.sources import keyed, readers, sinks
 from boxloom.sources.sinks import materialise
@@ -194,7 +194,7 @@ def attribute_postprocess(spark, d):
 def attribute_merge(spark, d):
     rows = fx.attributes(spark, d)
     mixed = F.transform(F.array_sort(F.transform("phase1", lambda a: F.struct(random_order(0, "image_id", a).alias("o"), a.alias("a")))), lambda s: s["a"])
-    return plain(rows.select("image_id", F.posexplode(text.merge_attributes(mixed, F.col("phase2"))).alias("pos", "item")))
+    return plain(similar.merge_attributes(rows, "image_id", mixed, F.col("phase2")).select("image_id", F.posexplode("merged").alias("pos", "item")))
 
 
 def dialog_build(spark, d):

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 
 from boxloom.functions import text, tiling, verdict
 from boxloom.functions.rng import uniform_py
-from boxloom.operators import assemble, instances, merging, replicas, suppress
+from boxloom.operators import assemble, instances, merging, replicas, similar, suppress
 from pyspark.sql import functions as F
 
 COLS = "image_id long, detector string, pos int, label string, score double, x0 double, y0 double, x1 double, y1 double"
@@ -282,13 +282,50 @@ def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
 
 
+def literal_unlike(items):
+    """Every pair."""
+    def alike(a, b):
+        a, b = (set(x.replace("-", " ").split(" ")) for x in (a, b))
+        n = len(a & b)
+        return n >= 3 or (n / len(a) >= 0.65 and n / len(b) >= 0.65)
+
+    return [x for i, x in enumerate(items) if not any(alike(x, y) for y in items[i + 1 :])]
+
+
+def test_alike_items_against_every_pair(spark):
+    rng = np.random.default_rng(8)
+    rows = [(0, []), (1, ["a"]), (2, ["a", "a", "A", "a-b", "b a"]), (3, None), (4, ["", " ", "", "x  y", "x y"])]
+    for k in range(5, 80):
+        rows.append((k, ["-".join(rng.choice(list("abcdefghij"), rng.integers(1, 8))) if rng.random() < 0.3 else " ".join(rng.choice(list("abcdefghij"), rng.integers(1, 8))) for _ in range(rng.integers(1, 30))]))
+    df = spark.createDataFrame([(k, x, "clash") for k, x in rows], "k long, items array<string>, w string")
+    got = {r["k"]: r["items"] for r in similar.drop_alike(df, "k", "items").collect()}
+    assert got == {k: x if x is None else literal_unlike(x) for k, x in rows}
+    assert not similar.drop_alike(df.where("false"), "k", "items").collect()
+
+
+def literal_plurals(items):
+    items = list(items)
+    for i, x in enumerate(items):
+        if x.endswith("s") and x[:-1] in items:
+            items[i] = ""
+    return [x for x in items if x]
+
+
+def test_plurals_in_order(spark):
+    rng = np.random.default_rng(3)
+    lists = [list(dict.fromkeys(rng.choice(["a", "as", "ass", "asss", "b", "bs", "cs", "css"], rng.integers(1, 9)).tolist())) for _ in range(60)]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i long, x array<string>").select("i", text.strip_plurals(F.col("x")).alias("x")).orderBy("i").collect()
+    assert [r["x"] for r in got] == [literal_plurals(x) for x in lists]
+
+
 def test_text_rules(spark):
     lit = F.lit
     assert one(spark, text.clean_caption(lit("This is a Cat. There is no dog. It sits."))) == "a cat. it sits."
     assert one(spark, text.drop_lead(lit("x this is y this is z"))) == "x y this is z"
     assert one(spark, text.parse_list(lit("Here is the list:\n1. red ball\n3.\n1. a (b (c)) d\nred\n2. red ball. , "), text.PHASE1_HEADER)) == ["red ball", "3.", "a (b (c)) d", "red"]
     assert one(spark, text.drop_parentheses(lit("a (b (c)) d"))) == "a (b ) d"
-    got = one(spark, text.merge_attributes(F.array(*map(lit, ["big red ball", "red big ball here", "cats", "men", "old woman", "one two three four five"])), F.array(lit("cat"), lit("people"))))
+    items = F.array(*map(lit, ["big red ball", "red big ball here", "cats", "men", "old woman", "one two three four five"]))
+    got = similar.merge_attributes(spark.range(1), "id", items, F.array(lit("cat"), lit("people"))).first()["merged"]
     assert got == ["cat", "man", "woman", "person", "old woman", "red big ball here"]
     assert one(spark, text.display_caption(lit("This is a dog"))) == "A dog"
 
