@@ -128,12 +128,12 @@ class _ArrowWriter(_Attempts, DataSourceArrowWriter):
         super().commit(messages)
 
 
-def write_keyed(df: DataFrame, path: str, key: str, content: Column | None = None, suffix: str = ".json") -> None:
-    """A file for each row under its key; by default the row as JSON. Equal keys of df come to one task, where they are an error."""
+def write_keyed(df: DataFrame, path: str, key: str, content: Column | None = None, suffix: str = ".json", distinct: bool = False) -> None:
+    """A file for each row under its key; by default the row as JSON. Equal keys come to one task, where they are an error; distinct says that there are none, and rows stay where they are."""
     df.sparkSession.dataSource.register(KeyedFiles)
     body = F.to_json(F.struct("*")) if content is None else content
     rows = df.select(F.col(key).cast("string").alias("key"), body.alias("content"))
-    rows.repartition("key").write.format("keyed_files").option("path", path).option("suffix", suffix).mode("append").save()
+    (rows if distinct else rows.repartition("key")).write.format("keyed_files").option("path", path).option("suffix", suffix).mode("append").save()
 
 
 def keys_written(spark, path: str, suffix: str = ".json") -> DataFrame:
