@@ -85,7 +85,7 @@ class _Writer(_Attempts):
                 raise ValueError("null key" if key is None else f"two rows with key {key}")
             seen.add(key)
             name = file_name(key, self.suffix)
-            with store.open_output_stream(f"{own}/{name}") as f:
+            with store.open_output_stream(f"{own}/{name}", compression=None) as f:  # else .gz would be packed again
                 f.write((content or "").encode() if isinstance(content, str | None) else bytes(content))
             store.move(f"{own}/{name}", f"{root}/{name}")
         return WriterCommitMessage()

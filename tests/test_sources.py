@@ -111,8 +111,8 @@ def test_failed_jobs_are_resumed(spark, tmp_path):
     for rows, match in (([("k", 1), ("k", 2)], "two rows"), ([(None, 1)], "null key")):
         with pytest.raises(Exception, match=match):
             keyed.write_keyed(spark.createDataFrame(rows, "key string, n long"), f"{tmp_path}/bad", "key")
-    keyed.write_keyed(work, f"{tmp_path}/raw", "key", F.encode("key", "utf-8"), ".bin")
-    assert sorted(p.read_bytes().decode() for p in (tmp_path / "raw").glob("*.bin")) == sorted(r["key"] for r in work.collect())
+    keyed.write_keyed(work, f"{tmp_path}/raw", "key", F.encode("key", "utf-8"), ".gz", distinct=True)
+    assert sorted(p.read_bytes().decode() for p in (tmp_path / "raw").glob("*.gz")) == sorted(r["key"] for r in work.collect())
 
 
 def test_arrow_by_record_batch(spark, tmp_path, monkeypatch):
