@@ -8,13 +8,13 @@ information IC(e) = -log2 p(e) that e itself carries. Such terms are marked in
 every document that has e, and generalised (to a name, a number or a term) when
 a text is sanitised.
 
-A context is a line, cut after each `CONTEXT` tokens if it is longer, so that a
-context gives a bounded number of pairs. A token is a whole address, IP, card
+A context is a whole line. A token is a whole address, IP, card
 or phone number, or a term: any run of letters and digits, short names too. The
 contexts of an entity are those in which it is a token, in lines with a base
 span. All four counts are of distinct contexts, and evidence is at least `support` of
-them, so that copies of one document prove nothing and hide nothing. Pairs and
-terms are counted before they are joined.
+them, so that copies of one document prove nothing and hide nothing; an entity
+without that many gives no pairs. Pairs and terms are counted before they are
+joined.
 
 Everything is built-in expressions. No pattern matches across a line end, so
 lines are searched one by one. Positions are running totals of the lengths of
@@ -51,8 +51,6 @@ TERM = r"[\p{L}\p{N}]++"
 TOKEN = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++|(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++|[0-9](?:[\x20-]?[0-9]){13,}+|\+[0-9][\x20().0-9-]+[0-9]|" + TERM
 #: What tokens other than terms have.
 _OTHER = "[@.+-]|[0-9]{14}"
-#: Tokens of one context, at most.
-CONTEXT = 64
 #: Code points that a substring is searched in; texts are cut into pieces of this size.
 _PIECE = 1024
 
@@ -116,10 +114,9 @@ def _entity(x: str) -> str:
     return f"translate(lower({x}), ' ', '')"
 
 
-def contexts(line: str) -> Column:
-    """Tokens of a line, lower-cased, up to CONTEXT of them joined by spaces."""
-    tokens = f"transform(regexp_extract_all(lower({line}), '{_q(TOKEN)}', 0), t -> translate(t, ' ', ''))"
-    return F.expr(let_sql(tokens, "t", f"if(size(t) <= {CONTEXT}, array(array_join(t, ' ')), transform(sequence(0, size(t) - 1, {CONTEXT}), k -> array_join(slice(t, k + 1, {CONTEXT}), ' ')))"))
+def context(line: str) -> Column:
+    """Tokens of a line, lower-cased, joined by spaces."""
+    return F.expr(f"array_join(transform(regexp_extract_all(lower({line}), '{_q(TOKEN)}', 0), t -> translate(t, ' ', '')), ' ')")
 
 
 def terms_of(context: str) -> Column:
@@ -138,16 +135,17 @@ def entities_of(context: str) -> Column:
 def disclosing(rows: DataFrame, alpha: float = 0.8, support: int = 3) -> DataFrame:
     """(entity, term) of the terms that disclose an entity; rows has text and `lines`, the numbers of lines with spans."""
     held = rows.where("size(lines) > 0").select(F.explode(F.expr(let_sql("split(text, '\\n', -1)", "ls", "transform(lines, n -> ls[n])"))).alias("line"))
-    held = held.select(F.explode(contexts("line")).alias("context"))
-    seen = held.select(F.explode(entities_of("context")).alias("entity"), "context").distinct()
-    seen = materialise(seen, "evidence")
-    often = seen.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
-    both = seen.select("entity", F.explode(terms_of("context")).alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
+    held = materialise(held.select(context("line").alias("context")).distinct().withColumn("c", F.struct(F.xxhash64("context"), F.hash("context"))), "contexts")
+    # An entity carries its contexts' hashes only, and rare entities go, before terms are laid out.
+    seen = held.select(F.explode(entities_of("context")).alias("entity"), "c")
+    often = materialise(seen.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support), "evidence")
+    met = seen.join(often.select("entity"), "entity", "left_semi").join(held, "c")
+    both = met.select("entity", F.explode(terms_of("context")).alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
     both = materialise(both.join(often, "entity"), "pairs")
     if both.isEmpty():
         return both.select("entity", "term")
     # Each term is counted before the wanted ones are picked; the empty term counts the contexts.
-    corpus = rows.select(F.explode(F.split("text", "\n")).alias("line")).where("line <> ''").select(F.explode(contexts("line")).alias("context")).where("context <> ''").distinct()
+    corpus = rows.select(F.explode(F.split("text", "\n")).alias("line")).where("line <> ''").select(context("line").alias("context")).where("context <> ''").distinct()
     counts = corpus.select(F.explode(F.concat(F.array(F.lit("")), terms_of("context"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     wanted = both.select("term").union(both.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
     counts = materialise(counts.join(wanted, "term", "left_semi"), "terms")

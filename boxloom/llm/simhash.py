@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from boxloom.operators.graph import connected_components
+
 from .store import materialise, small_batches
 
 #: Largest BK-tree.

@@ -1,8 +1,9 @@
 """WARC writing with revisits, and a reader that salvages damaged archives.
 
 Writing: one record a page, each its own gzip member, gathered into archives
-of about `archive_bytes` in rows (name, content). The table of archives has
-the shape of Spark's binaryFile source, so archives from anywhere read alike.
+of about `archive_bytes`. Archives are files that any WARC tool opens, written
+complete and then renamed, and are read by Spark's binaryFile source, so archives
+from anywhere read alike.
 
 Reading: each member is inflated and checked (gzip checksum, version line,
 Content-Length, block end, payload digest). After a failed check the reader
@@ -17,7 +18,8 @@ is held by one task.
 
 Defined cases: a null html is an empty payload; pages with a null id are
 written and read back with a null id, after all others when equal payloads
-compete for the response; repeated rows give one record each; an empty table
+compete for the response; ids are any longs, and numbers beyond them are read as
+missing; repeated rows give one record each; an empty table
 gives an empty result; other columns are ignored.
 """
 
@@ -26,6 +28,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -33,7 +36,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialise, small_batches
+from boxloom.sources.keyed import write_keyed
+
+from .store import materialise, scratch_root, small_batches
 
 VERSION = b"WARC/1.1"
 MAGIC = b"\x1f\x8b\x08"
@@ -83,7 +88,7 @@ def _parse(raw: bytes, at: int = 0) -> tuple[dict, int] | str:
             return "bad header line"
         head[k.strip().lower().decode("latin-1")] = v.strip().decode("utf-8", "replace")
     said = head.get("content-length", "")
-    if not re.fullmatch("[0-9]{1,18}", said):
+    if not re.fullmatch("[0-9]{1,19}", said):
         return "no content length"
     stop = end + 4 + int(said)
     if raw[stop : stop + 4] != b"\r\n\r\n":
@@ -191,7 +196,7 @@ def plan(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 
 def write_archives(planned: DataFrame, archive_bytes: int = 8 << 20) -> DataFrame:
-    """Archives as rows (path, content), written to the shared folder."""
+    """Archives as .warc.gz files in the shared folder, read as rows (path, content)."""
     small_batches(planned.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +219,10 @@ def write_archives(planned: DataFrame, archive_bytes: int = 8 << 20) -> DataFram
         if held:
             yield flush()
 
-    return materialise(planned.select("page_id", "url", "html", "sha", "refers_to").mapInArrow(run, "path string, content binary"), "archives")
+    spark, path = planned.sparkSession, f"{scratch_root(planned.sparkSession)}/archives-{uuid.uuid4().hex}"
+    archives = planned.select("page_id", "url", "html", "sha", "refers_to").mapInArrow(run, "path string, content binary")
+    write_keyed(archives, path, "path", F.col("content"), suffix="", distinct=True)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select("path", "content")
 
 
 _RECORD = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
@@ -224,8 +232,8 @@ def read_archives(archives: DataFrame, gaps: bool = False) -> DataFrame:
     """The records of archives (path, content); with gaps=True the quarantined byte ranges instead."""
 
     def number(urn: str | None) -> int | None:
-        found = re.fullmatch(r"<urn:page:(-?[0-9]{1,18})>", urn or "")
-        return int(found[1]) if found else None
+        found = re.fullmatch(r"<urn:page:(-?[0-9]{1,19})>", urn or "")
+        return int(found[1]) if found and -(1 << 63) <= int(found[1]) < 1 << 63 else None
 
     def length(r: dict) -> int:
         said = r.get("x-payload-length", "")

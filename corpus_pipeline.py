@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next one's docs. All but the last return the
 columns of documents.
+
+Defined cases, at every stage: a null text counts as empty; rows with null or
+repeated ids are documents of their own; an empty table gives an empty one; the
+stages that return documents keep all their columns, whatever their names.
 """
 
 from __future__ import annotations

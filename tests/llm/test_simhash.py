@@ -7,7 +7,8 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from boxloom.llm import components, queries, simhash
+from boxloom.llm import queries, simhash
+from boxloom.operators import graph
 
 
 def slow_fingerprint(text):
@@ -61,7 +62,7 @@ def test_large_shards_lose_no_class(spark):
     codes |= {int(x) for x in rng.integers(0, 1 << 63, 300, dtype=np.uint64)}
     rows = [(c - (1 << 64) if c >> 63 else c, i) for i, c in enumerate(sorted(codes))]
     links = simhash.links(spark.createDataFrame(rows, "fp long, rep long"), 4, tree_size=64)
-    roots = {r["node"]: r["root"] for r in components.connected_components(links).collect()}
+    roots = {r["node"]: r["root"] for r in graph.connected_components(links).collect()}
     want = slow_classes({c: [i] for i, c in enumerate(sorted(codes))})
     assert {i: roots.get(i, i) for i in want} == want
 
@@ -86,4 +87,4 @@ def test_odd_rows(spark):
 
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 99), (7, 7), (None, 3)], "u long, v long")
-    assert {r["node"]: r["root"] for r in components.connected_components(edges).collect()} == {i: 0 for i in range(61)} | {99: 99, 100: 99}
+    assert {r["node"]: r["root"] for r in graph.connected_components(edges).collect()} == {i: 0 for i in range(61)} | {99: 99, 100: 99}

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 import pyarrow.parquet as pq
 import regex
 from hypothesis import given, settings
@@ -420,6 +421,14 @@ def test_copies_hide_no_term(spark):
     assert all(got[i] >= {"Kim", "Quorra"} for i in range(303)) and not any(got[i] for i in range(303, 363))
 
 
+@pytest.mark.parametrize("before", [10, 63, 64, 400])
+def test_terms_far_into_a_line(spark, before):
+    rows = [f"{body(i, before)} q@secret.org Quorra {body(900 + i, 3)}" for i in range(5)] + [body(50 + i, 8) for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc"]["doc_id"]: {s["x"] for s in r["spans"] if s["kind"] == "term"} for r in pii.find(docs).collect()}
+    assert all("Quorra" in got[i] for i in range(5)) and not any(got[i] for i in range(5, 65))
+
+
 def slow_told(texts, alpha=0.8, support=3):
     """(entity, term) pairs by a count over all distinct contexts, one by one."""
     shape = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+|(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+|[0-9](?:[ -]?[0-9]){13,}|\+[0-9][ ().0-9-]+[0-9]"
@@ -427,7 +436,7 @@ def slow_told(texts, alpha=0.8, support=3):
     for t in texts:
         for line in t.split("\n"):
             tokens = [(m[0].replace(" ", ""), m[1] is not None) for m in regex.finditer(rf"(?:{shape})|([\p{{L}}\p{{N}}]+)", line.lower())]
-            own = {tuple(tokens[i : i + 64]) for i in range(0, len(tokens), 64)}
+            own = {tuple(tokens)} if tokens else set()
             contexts |= own
             told |= own if slow_spans(line) else set()
     n, of_term, of_entity, of_both = len(contexts), Counter(), Counter(), Counter()

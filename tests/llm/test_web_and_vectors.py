@@ -1,6 +1,7 @@
 """HTML extraction, WARC and nearest neighbours."""
 
 import base64
+import gzip
 import hashlib
 import html
 import re
@@ -137,6 +138,22 @@ def test_warc_odd_rows(spark):
     assert not warc.read_archives(warc.write_archives(warc.plan(pages.where("false")))).collect()
 
 
+def test_ids_are_any_longs(spark):
+    ids = [10**18, 2**63 - 1, -(2**63), -1, 0]
+    pages = spark.createDataFrame([(i, f"https://x.example/{i}", "same") for i in ids], "page_id long, url string, html string")
+    archives = warc.write_archives(warc.plan(pages, min_bytes=0))
+    got = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in warc.read_archives(archives).collect()}
+    assert got == {i: ("response", None) if i == max(ids) else ("revisit", max(ids)) for i in ids}
+
+
+def test_archives_are_files(spark):
+    """Any gzip reader opens them."""
+    pages = spark.createDataFrame([(i, f"https://x.example/{i}", f"page {i}") for i in range(30)], "page_id long, url string, html string")
+    files = [r["path"] for r in warc.write_archives(warc.plan(pages), archive_bytes=500).collect()]
+    raw = b"".join(gzip.open(f.removeprefix("file:")).read() for f in files)
+    assert len(files) > 1 and all(f.endswith(".warc.gz") for f in files) and raw.count(b"WARC/1.1\r\n") == 30
+
+
 def test_salvage_of_damage():
     raw = [warc.record(i, f"u{i}", f"payload {i}".encode() * 50, warc.digest(f"payload {i}".encode() * 50)) for i in range(6)]
     members = [warc.member(r) for r in raw]
