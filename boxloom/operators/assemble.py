@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,6 +56,32 @@ def records(samples: DataFrame, images: DataFrame, survivors: DataFrame | None =
     )
 
 
+def prefixed(fields: Column, prefix: str) -> Column:
+    """A map with prefix and `_` before its keys."""
+    return F.transform_keys(fields, lambda k, _: F.concat(F.lit(prefix + "_"), k))
+
+
+def merged_maps(maps: Column) -> Column:
+    """An array of maps as one; a key of several is an error, whatever the session says of such keys."""
+    names = F.flatten(F.transform(maps, F.map_keys))
+    twice = F.filter(names, lambda n: F.size(F.filter(names, lambda x: x == n)) > 1)
+    return F.when(F.size(twice) > 0, F.raise_error(F.concat(F.lit("keys of several maps: "), F.array_join(F.array_distinct(twice), ", ")))).otherwise(F.map_from_entries(F.flatten(F.transform(maps, F.map_entries))))
+
+
+def wide_records(records: dict[str, DataFrame], key: str = "new_key") -> DataFrame:
+    """(key, fields map<string, array<double>>): the number fields of all detectors' records of a key, under `<detector>_<field>`.
+
+    Boxes are laid end to end. A detector with two records of a key is an error;
+    one without has no fields. One exchange, whatever the number of detectors.
+    """
+    def fields(detector: str, df: DataFrame) -> DataFrame:
+        one = F.create_map(F.lit("bboxes"), F.flatten("bboxes"), F.lit("scores"), F.col("scores"), F.lit("labels"), F.col("labels").cast("array<double>"))
+        return df.select(key, prefixed(one, detector).alias("m"))
+
+    every = reduce(DataFrame.unionByName, [fields(d, df) for d, df in records.items()])
+    return every.groupBy(key).agg(F.collect_list("m").alias("m")).select(key, merged_maps(F.col("m")).alias("fields"))
+
+
 def work_items(recs: DataFrame) -> DataFrame:
     """One row a box of nested records: new_key, sub_sample, box_idx, label, score, x0..y1."""
     z = recs.select("new_key", "sub_sample", "image_size", F.posexplode(F.arrays_zip("bboxes", "scores", "OV_merged", "ovd_belonging")).alias("box_idx", "z"))

@@ -23,6 +23,28 @@ def take(df: DataFrame, positions: Sequence[int], pos: str = "pos") -> DataFrame
     return df.join(F.broadcast(wanted), pos).drop(pos).withColumnRenamed("_new", pos).select(*df.columns)
 
 
+def pick(values: Column, positions: Column) -> Column:
+    """Items of an array at an array of positions from 0, a list for each row; negative ones count from the end, others outside give null."""
+    return F.transform(positions, lambda p: F.get(values, F.when(p < 0, F.size(values) + p).otherwise(p).cast("int")))
+
+
+def pick_slice(values: Column, start: int | None = None, stop: int | None = None, step: int = 1) -> Column:
+    """values[start:stop:step] as Python slices."""
+    if not step:
+        raise ValueError("step 0")
+    n = F.size(values)
+
+    def bound(b: int | None, default: Column) -> Column:
+        low, high = (F.lit(0), n) if step > 0 else (F.lit(-1), n - 1)
+        return default if b is None else F.greatest(low, F.least(high, F.lit(b) if b >= 0 else n + b))
+
+    first = bound(start, F.lit(0) if step > 0 else n - 1)
+    last = bound(stop, n if step > 0 else F.lit(-1))
+    count = F.greatest(F.ceil((last - first) / step), F.lit(0)).cast("int")
+    at = F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda k: first + k * step)).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda p: F.get(values, p.cast("int")))
+
+
 def mask(df: DataFrame, condition: Column) -> DataFrame:
     return df.where(condition)
 

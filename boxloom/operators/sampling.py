@@ -40,9 +40,9 @@ def equal_contribution(boxes: DataFrame, seed: int = 0, low: int = 18) -> DataFr
     return w.withColumn("_rank", rank).where("_rank <= _cap").select(*boxes.columns)
 
 
-def contribution(boxes: DataFrame, detectors: tuple[str, ...] = DETECTORS) -> DataFrame:
-    """Boxes of each detector by image, zeros kept."""
-    return boxes.groupBy("image_id").agg(*[F.count_if(F.col("detector") == d).alias(f"n_{d}") for d in detectors], F.count("*").alias("n_boxes"), F.count_distinct("label").alias("n_labels"))
+def contribution(boxes: DataFrame, detectors: tuple[str, ...] = DETECTORS, by: tuple[str, ...] = ("image_id",)) -> DataFrame:
+    """Boxes of each detector by image, or by image and replica, zeros kept."""
+    return boxes.groupBy(*by).agg(*[F.count_if(F.col("detector") == d).alias(f"n_{d}") for d in detectors], F.count("*").alias("n_boxes"), F.count_distinct("label").alias("n_labels"))
 
 
 def label_rollup(boxes: DataFrame) -> DataFrame:

@@ -210,7 +210,19 @@ def oracle_sql() -> dict[str, str]:
             pl AS (SELECT *, sum(length(x)) OVER (PARTITION BY image_id ORDER BY k) AS e FROM un)
             SELECT image_id, coalesce(max(e) FILTER (k <= 77 AND (k = n OR right(x, 1) IN ('.', '!', '?'))), 0)::BIGINT AS n FROM cap LEFT JOIN pl USING (image_id) GROUP BY image_id""",
         "display_strings": f"{FULL}, ix AS (SELECT image_id, detector, pos, label, row_number() OVER (PARTITION BY image_id ORDER BY detector, pos) AS display_idx FROM styled) SELECT image_id, detector, pos, display_idx, display_idx::VARCHAR || ' | ' || label AS display FROM ix",
-        "detector_records": f"WITH {DET} SELECT image_id::VARCHAR AS new_key, detector, pos - 1 AS pos, label, round(score, 6) AS score, x0::DOUBLE AS x0, y0::DOUBLE AS y0, x1::DOUBLE AS x1, y1::DOUBLE AS y1 FROM det WHERE detector = 'gd'",
+        "detector_records": f"WITH {DET} SELECT image_id::VARCHAR AS new_key, detector, pos - 1 AS pos, label, round(score, 6) AS score, x0::DOUBLE AS x0, y0::DOUBLE AS y0, x1::DOUBLE AS x1, y1::DOUBLE AS y1 FROM det",
+        "detector_wide": f"""WITH {DET}, ix AS (SELECT image_id::VARCHAR AS new_key, detector, score, x0 + y0 + x1 + y1 AS xy, dense_rank() OVER (PARTITION BY image_id, detector ORDER BY label) - 1 AS l FROM det)
+            SELECT new_key, detector || '_' || f AS field, (count(*) * CASE f WHEN 'bboxes' THEN 4 ELSE 1 END)::BIGINT AS n, round(sum(CASE f WHEN 'bboxes' THEN xy WHEN 'scores' THEN score ELSE l END::DOUBLE), 6) AS total FROM ix, (VALUES ('bboxes'), ('scores'), ('labels')) t(f) GROUP BY new_key, detector, f""",
+        "input_audit": f"""WITH {_IMAGES}, a AS (SELECT image_id, 0 AS side FROM im WHERE image_id % 5 <> 0 UNION ALL SELECT image_id, 0 FROM im WHERE image_id % 11 = 1 UNION ALL SELECT NULL, 0 FROM im
+              UNION ALL SELECT doc_id, 1 FROM documents WHERE doc_id % 7 <> 0 UNION ALL SELECT l_suppkey, 2 FROM lineitem WHERE l_suppkey % 3 <> 0),
+            n AS (SELECT image_id, count(*) FILTER (side = 0) AS n_image, count(*) FILTER (side = 1) AS n_caption, count(*) FILTER (side = 2) AS n_boxes FROM a GROUP BY image_id)
+            SELECT coalesce(image_id::VARCHAR, 'none') AS image_id, n_image, n_caption, n_boxes, concat_ws('; ', CASE WHEN image_id IS NULL THEN 'null key' END, CASE WHEN n_image = 0 THEN 'no image' WHEN n_image > 1 THEN 'image repeats' END, CASE WHEN n_caption = 0 THEN 'no caption' WHEN n_caption > 1 THEN 'caption repeats' END, CASE WHEN n_boxes = 0 THEN 'no boxes' END) AS reasons FROM n""",
+        "cost_batches": f"""{_CROP}, o AS (SELECT *, crop_w * crop_h AS px, max(crop_w * crop_h) OVER () AS top FROM c3), w AS (SELECT *, row_number() OVER (ORDER BY px DESC, image_id % 16, image_id, detector, pos) - 1 AS nth,
+            sum(px) OVER (ORDER BY px DESC, image_id % 16, image_id, detector, pos) - px AS before FROM o) SELECT image_id, detector, pos, (nth // 40 + before // (1500000 - top))::BIGINT AS batch_id FROM w""",
+        "instance_pick": f"""WITH {DET}, g AS (SELECT image_id, detector, list(label ORDER BY pos, label) AS a FROM det GROUP BY ALL)
+            SELECT image_id, detector, coalesce(a[image_id % 9 + 1], '-') || ',' || a[1] || ',' || a[-1] || ',-' AS picked, coalesce(array_to_string(list_transform(range(1, len(a) - 1, 7), lambda k: a[k + 1]), ','), '') AS middle,
+              array_to_string(list_transform(range(len(a), 0, -10), lambda k: a[k]), ',') AS backward FROM g""",
+        "resumed_stream": "SELECT user_id, event_id % 2 AS half, count(*) AS n, sum(round(value * 100)::BIGINT)::BIGINT AS cents FROM events WHERE value IS NOT NULL GROUP BY 1, 2",
         "json_resume": f"WITH {_IMAGES} SELECT * FROM im WHERE width < 1500",
         "line_files": f"WITH {_IMAGES} SELECT width AS value FROM im",
         "work_maps": """WITH m AS (SELECT o_orderkey::VARCHAR AS new_key, '0' AS replica, '/a/"' || o_orderstatus || '\\"{,}/' || o_orderkey AS path, o_custkey FROM orders UNION ALL SELECT o_orderkey::VARCHAR, '1', '{"[": ' || o_custkey, o_custkey FROM orders)
@@ -221,7 +233,7 @@ def oracle_sql() -> dict[str, str]:
         "key_parts": "SELECT p_partkey, replace(p_name, ' ', '_') || '.tar' AS stem, '/data/' || (p_partkey % 5) AS folder, '/data' AS top, replace(p_name, ' ', '_') || '.tar' AS key, p_partkey % 12 AS replica FROM part",
         "box_transform": f"{FULL} SELECT image_id, detector, pos, width / 2.0::DOUBLE - (x1 * 0.5::DOUBLE - 8) AS x0, y0 * 0.5::DOUBLE - 4 AS y0, width / 2.0::DOUBLE - (x0 * 0.5::DOUBLE - 8) AS x1, y1 * 0.5::DOUBLE - 4 AS y1 FROM styled",
         "text_places": f"{FULL} SELECT image_id, detector, pos, greatest(least(greatest(x0 - 300, 0), width - 300), 0) AS x0, greatest(least(greatest(y0 - 20, 0), height - 20), 0) AS y0, least(greatest(x0 - 300, 0) + 300, width) AS x1, least(greatest(y0 - 20, 0) + 20, height) AS y1 FROM styled",
-        "instance_take": f"WITH {DET} SELECT image_id, (CASE pos WHEN 3 THEN 0 ELSE 1 END)::BIGINT AS pos, label FROM det WHERE detector = 'od' AND pos IN (1, 3)",
+        "instance_take": f"WITH {DET} SELECT image_id, detector, (CASE pos WHEN 3 THEN 0 ELSE 1 END)::BIGINT AS pos, label FROM det WHERE pos IN (1, 3)",
         "instance_arrays": f"WITH {DET} SELECT image_id, detector, pos - 1 AS pos, label, round(score, 6) AS score FROM det",
         "hashed_uniform": f"SELECT c_custkey, {_u(chr(39) + '3' + chr(39), chr(39) + 'x' + chr(39), 'c_custkey::VARCHAR')} AS u FROM customer",
     }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,10 +12,11 @@ from boxloom import fixtures as fx
 from boxloom import schemas
 from boxloom.functions import dialog, geometry as g, text, tiling, verdict
 from boxloom.functions.rng import random_order, uniform
-from boxloom.operators import assemble, detections as dt, instances, merging, phash, replicas, sampling, similar, suppress
+from boxloom.operators import assemble, audit, batches, detections as dt, instances, merging, phash, replicas, sampling, similar, suppress
 from boxloom.plans import stages
 from boxloom.sources import keyed, readers, sinks
 from boxloom.sources.sinks import materialise
+from boxloom.streaming import ingest
 
 ROW = ["image_id", "detector", "pos", "label", "score", "x0", "y0", "x1", "y1"]
 CORPUS_TERMS = [" the the", " and and", " of of", "tion and"]
@@ -159,11 +162,6 @@ def replica_sampling(spark, d):
     return plain(replicas.replica_sampling(_survivors(spark, d)))
 
 
-def replica_records(spark, d):
-    kept = _survivors(spark, d)
-    return assemble.with_empty(replicas.replica_sampling(kept), fx.images(spark, d), kept).select("image_id", F.col("sub_sample").cast("long"))
-
-
 def slice_merge(spark, d):
     return plain(merging.slice_merge(_filtered(spark, d)))
 
@@ -328,15 +326,75 @@ def display_strings(spark, d):
     return plain(rows.select("image_id", "detector", "pos", "display_idx", "display"))
 
 
-def detector_records(spark, d):
-    """Boxes as one record of parallel arrays an image, written as JSON, read back and laid out again."""
-    boxes = fx.detections(spark, d).where("detector = 'gd'")
+def _records(spark, d, detector: str) -> DataFrame:
+    """A detector's boxes as one record of parallel arrays an image."""
+    boxes = fx.detections(spark, d).where(F.col("detector") == detector)
     each = F.struct("pos", "label", "score", F.array(*[F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1")]).alias("box"))
     records = boxes.groupBy(F.col("image_id").cast("string").alias("new_key")).agg(F.array_sort(F.collect_list(each)).alias("a"), F.array_sort(F.collect_set("label")).alias("OV_to_detect"))
-    records = records.select("new_key", "OV_to_detect", F.col("a.box").alias("bboxes"), F.col("a.score").alias("scores"), F.transform("a.label", lambda x: (F.array_position("OV_to_detect", x) - 1).cast("int")).alias("labels"))
-    path = sinks.scratch(spark, "detector_records")
-    sinks.overwrite_json(records, path)
-    return plain(readers.detector_rows(spark.read.schema(schemas.DETECTOR).json(path), "gd"))
+    return records.select("new_key", "OV_to_detect", F.col("a.box").alias("bboxes"), F.col("a.score").alias("scores"), F.transform("a.label", lambda x: (F.array_position("OV_to_detect", x) - 1).cast("int")).alias("labels"))
+
+
+def _written_records(spark, d) -> dict[str, DataFrame]:
+    """Records of all detectors, written as JSON and read back."""
+    out = {}
+    for detector in assemble.DETECTORS:
+        path = sinks.scratch(spark, f"records_{detector}")
+        sinks.overwrite_json(_records(spark, d, detector), path)
+        out[detector] = spark.read.schema(schemas.DETECTOR).json(path)
+    return out
+
+
+def detector_records(spark, d):
+    """Records of all detectors, laid out again."""
+    return plain(reduce(DataFrame.unionByName, [readers.detector_rows(r, name) for name, r in _written_records(spark, d).items()]))
+
+
+def detector_wide(spark, d):
+    """All detectors' fields of an image as one map: how long each is and its sum."""
+    rows = assemble.wide_records(_written_records(spark, d)).select("new_key", F.explode("fields").alias("field", "v"))
+    return plain(rows.select("new_key", "field", F.size("v").alias("n"), F.aggregate("v", F.lit(0.0), lambda s, x: s + x).alias("total")))
+
+
+def input_audit(spark, d):
+    """Images, captions and boxes of which some keys lack a side or repeat on one."""
+    im, li = fx.images(spark, d).select("image_id"), fx.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("image_id"))
+    pictures = im.where("image_id % 5 <> 0").union(im.where("image_id % 11 = 1")).union(im.select(F.lit(None).cast("long")))
+    texts = fx.table(spark, d, "documents").select(F.col("doc_id").alias("image_id")).where("image_id % 7 <> 0")
+    got = audit.audit({"image": pictures, "caption": texts, "boxes": li.where("image_id % 3 <> 0")}, "image_id", many={"boxes"})
+    return plain(got.withColumn("image_id", F.coalesce(F.col("image_id").cast("string"), F.lit("none"))))
+
+
+def cost_batches(spark, d):
+    """Batches of at most 40 crops and 1.5 million pixels, large crops first."""
+    rows = assemble.crop_plan(_filtered(spark, d), F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")).select("image_id", "detector", "pos", "crop_w", "crop_h")
+    got = batches.cost_batches(rows, F.col("crop_w") * F.col("crop_h"), ["image_id", "detector", "pos"], 40, 1_500_000, F.col("image_id") % 16)
+    return plain(got.select("image_id", "detector", "pos", "batch_id"))
+
+
+def instance_pick(spark, d):
+    """Labels of an image's detector by a list of places of its own, and by slices."""
+    rows = fx.detections(spark, d).groupBy("image_id", "detector").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "label"))), lambda x: x["label"]).alias("a"))
+    own = F.array((F.col("image_id") % 9).cast("int"), F.lit(0), F.lit(-1), F.lit(100_000))
+    text_of = lambda c: F.array_join(c, ",", "-")
+    return rows.select("image_id", "detector", text_of(instances.pick(F.col("a"), own)).alias("picked"), text_of(instances.pick_slice(F.col("a"), 1, -1, 7)).alias("middle"), text_of(instances.pick_slice(F.col("a"), None, None, -10)).alias("backward"))
+
+
+def replica_contribution(spark, d):
+    """Boxes of each detector in every replica."""
+    return plain(sampling.contribution(replicas.replica_sampling(_survivors(spark, d)), by=("image_id", "sub_sample")))
+
+
+def resumed_stream(spark, d):
+    """Events in two runs of a stream that stops between them, written by batch number; sums by user and half."""
+    rows, src, out, check = fx.table(spark, d, "events"), *[sinks.scratch(spark, f"stream_{x}") for x in ("in", "out", "check")]
+    for half in (0, 1):
+        rows.where(F.col("event_id") % 2 == half).write.mode("append").parquet(src)
+        for _ in range(2):  # the second finds nothing new
+            stream = ingest.parquet_stream(spark, src, rows.schema)
+            write = lambda df, n, half=half: df.withColumn("half", F.lit(half)).write.mode("overwrite").parquet(f"{out}/batch={n}")
+            ingest.run_batches(stream, lambda df: df.where("value is not null"), write, check).awaitTermination()
+    cents = F.sum(F.round(F.col("value") * 100).cast("long"))
+    return plain(spark.read.parquet(out).groupBy("user_id", "half").agg(F.count("*").alias("n"), cents.alias("cents")))
 
 
 def json_resume(spark, d):
@@ -411,7 +469,7 @@ def text_places(spark, d):
 
 def instance_take(spark, d):
     """The third and first box of each image and detector, renumbered."""
-    return plain(instances.take(fx.detections(spark, d).where("detector = 'od'").select("image_id", "pos", "label"), [3, 1]))
+    return plain(instances.take(fx.detections(spark, d).select("image_id", "detector", "pos", "label"), [3, 1]))
 
 
 def instance_arrays(spark, d):
@@ -442,10 +500,10 @@ def curate(spark, d):
 _RUN = (
     blank_label_filter, score_threshold, score_threshold_strict, box_validity, box_reject_reasons, over_max_labels, style_removal, stage_funnel_counts, vocab_union, label_reindex,
     pairwise_iou, pairwise_ioa, cross_detector_votes, overlap_min_area_pairs, box_union_hull, containment_removal, nms_per_label, topk_score, max_dets, center_closeness,
-    equal_contribution_sample, contribution_caps, detector_contribution, detector_label_rollup, overlap_aware_sample, replica_sampling, replica_records, slice_merge, iou_label_merge, merged_detections,
+    equal_contribution_sample, contribution_caps, detector_contribution, detector_label_rollup, overlap_aware_sample, replica_sampling, slice_merge, iou_label_merge, merged_detections,
     caption_preprocess, attribute_parse, attribute_postprocess, attribute_merge, dialog_build, yes_no_question, softmax_yes_no, verdict_correction, verdict_group, crop_plan, crop_order,
     tile_choice, tile_boxes, resume_anti_join, contiguous_slices, mode_label, final_annotations, train_val_split, final_nms, resolution_filter, aesthetic_class, phash_dedup, phash_values, phash_near_pairs, phash_near_dedup, last_sentence,
-    hashed_uniform, caption_stage, curate, display_strings, detector_records, json_resume, line_files, work_maps, keyed_files, arrow_batches, key_ranges, key_parts, box_transform, text_places, instance_take, instance_arrays, replica_boxes,
+    hashed_uniform, caption_stage, curate, display_strings, detector_records, json_resume, line_files, work_maps, keyed_files, arrow_batches, detector_wide, input_audit, cost_batches, instance_pick, replica_contribution, resumed_stream, key_ranges, key_parts, box_transform, text_places, instance_take, instance_arrays, replica_boxes,
 )
 
 
