@@ -73,3 +73,11 @@ def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = [lambda x, i: x, lambda x, i: x * 1.5 + 0.25, lambda x, i: x + noise(i), lambda x, i: x + 3 * noise(i)]
     made = [F.transform(F.transform("embedding", lambda x: x.cast("double")), f) for f in kinds]
     return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.array(*made)).alias("k", "values")).select((F.col("vec_id") * 4 + F.col("k")).alias("pic_id"), "values")
+
+
+def rgb_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vec_id, pixels, width, height): the 64 values of a vector, folded into bytes, as the channels of 21 pixels, 7 by 3 or 3 by 7."""
+    byte = F.transform("embedding", lambda x: F.lpad(F.hex(F.pmod(F.floor(x.cast("double") * 1000).cast("long"), F.lit(256))), 2, "0"))
+    wide = F.col("vec_id") % 2 == 0
+    rows = table(spark, sf_dir, "embeddings").where("size(embedding) = 64")
+    return rows.select("vec_id", F.unhex(F.array_join(F.slice(byte, 1, 63), "")).alias("pixels"), F.when(wide, 7).otherwise(3).alias("width"), F.when(wide, 3).otherwise(7).alias("height"))

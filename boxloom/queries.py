@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from boxloom import fixtures as fx
 from boxloom import schemas
-from boxloom.functions import dialog, geometry as g, text, tiling, verdict
+from boxloom.functions import dialog, geometry as g, images as pixels, text, tiling, tokens, verdict
 from boxloom.functions.rng import random_order, uniform
 from boxloom.operators import assemble, audit, batches, detections as dt, instances, merging, phash, replicas, sampling, similar, suppress
 from boxloom.plans import stages
@@ -316,6 +316,20 @@ def last_sentence(spark, d):
     return plain(fx.captions(spark, d).select("image_id", text.last_sentence_within(F.col("vlm_caption")).alias("n")))
 
 
+def caption_tokens(spark, d):
+    """Tokens of every caption, what of it 77 of them cover, and its last sentence within."""
+    import public_tokenizers as public
+
+    rows = fx.captions(spark, d).select("image_id", "vlm_caption", tokens.token_ends("vlm_caption", public.path("word_bpe_49k.json")).alias("e"))
+    c, e = F.col("vlm_caption"), F.col("e")
+    return plain(rows.select("image_id", F.size("e").alias("n_tokens"), tokens.seen(c, e).alias("n_seen"), tokens.last_sentence(c, e).alias("n_sentences")))
+
+
+def tile_pixels(spark, d):
+    """Checksums of the pixels of all tiles, 5 by 5, and thumbnails."""
+    return plain(pixels.tile_pixels(fx.rgb_pictures(spark, d), "vec_id", tile=5).select("vec_id", "n", F.sha2("pixels", 256).alias("sha256")))
+
+
 def hashed_uniform(spark, d):
     return fx.table(spark, d, "customer").select("c_custkey", uniform(3, F.lit("x"), "c_custkey").alias("u"))
 
@@ -502,7 +516,7 @@ _RUN = (
     pairwise_iou, pairwise_ioa, cross_detector_votes, overlap_min_area_pairs, box_union_hull, containment_removal, nms_per_label, topk_score, max_dets, center_closeness,
     equal_contribution_sample, contribution_caps, detector_contribution, detector_label_rollup, overlap_aware_sample, replica_sampling, slice_merge, iou_label_merge, merged_detections,
     caption_preprocess, attribute_parse, attribute_postprocess, attribute_merge, dialog_build, yes_no_question, softmax_yes_no, verdict_correction, verdict_group, crop_plan, crop_order,
-    tile_choice, tile_boxes, resume_anti_join, contiguous_slices, mode_label, final_annotations, train_val_split, final_nms, resolution_filter, aesthetic_class, phash_dedup, phash_values, phash_near_pairs, phash_near_dedup, last_sentence,
+    tile_choice, tile_boxes, resume_anti_join, contiguous_slices, mode_label, final_annotations, train_val_split, final_nms, resolution_filter, aesthetic_class, phash_dedup, phash_values, phash_near_pairs, phash_near_dedup, last_sentence, caption_tokens, tile_pixels,
     hashed_uniform, caption_stage, curate, display_strings, detector_records, json_resume, line_files, work_maps, keyed_files, arrow_batches, detector_wide, input_audit, cost_batches, instance_pick, replica_contribution, resumed_stream, key_ranges, key_parts, box_transform, text_places, instance_take, instance_arrays, replica_boxes,
 )
 
