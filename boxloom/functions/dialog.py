@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -33,24 +33,28 @@ def dialog(system: str, query: Column) -> Column:
     return F.array(turn("system", F.lit(system)), turn("user", query))
 
 
-def with_model(df: DataFrame, column: str, out: str, model: Callable[[pd.Series], pd.DataFrame], schema: str) -> DataFrame:
+def with_model(df: DataFrame, column: str, out: str, model: Callable[[pd.Series], pd.DataFrame], schema: str, batch: str | None = None) -> DataFrame:
     """Run a batch model over a column; its columns, and `error` where a batch failed, are added.
 
+    Batches are Arrow's, or, with `batch`, the rows of each value of that column
+    (see batches.cost_batches), whatever partitions and Arrow batches they come in.
+
     `model` maps a Series to a frame with the columns of `schema`. A failing
     batch keeps its rows with the error's text.
     """
     names = [f.split()[0] for f in schema.split(", ")]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            try:
-                got, error = model(b[column]).reset_index(drop=True), None
-            except Exception as e:  # noqa: BLE001
-                got, error = pd.DataFrame({n: [None] * len(b) for n in names}), str(e)
-            yield pd.concat([b.reset_index(drop=True), got[names], pd.DataFrame({out: [error] * len(b)})], axis=1)
+    def answered(b: pd.DataFrame) -> pd.DataFrame:
+        try:
+            got, error = model(b[column]).reset_index(drop=True), None
+        except Exception as e:  # noqa: BLE001
+            got, error = pd.DataFrame({n: [None] * len(b) for n in names}), str(e)
+        return pd.concat([b.reset_index(drop=True), got[names], pd.DataFrame({out: [error] * len(b)})], axis=1)
 
-    return df.mapInPandas(run, f"{fields}, {schema}, {out} string")
+    if batch:
+        return df.groupBy(batch).applyInPandas(answered, f"{fields}, {schema}, {out} string")
+    return df.mapInPandas(lambda given: map(answered, given), f"{fields}, {schema}, {out} string")
 
 
 def offline_describe(images: pd.Series) -> pd.DataFrame:

@@ -166,6 +166,9 @@ def oracle_sql() -> dict[str, str]:
         "pairwise_iou": f"{PAIRS} SELECT a.image_id, a.id AS a, b.id AS b, round({_div(_inter('a', 'b'), _union('a', 'b'))}, 6) AS iou {JOIN} WHERE 2 * {_inter('a', 'b')} > {_union('a', 'b')}",
         "pairwise_ioa": f"{PAIRS} SELECT a.image_id, a.id AS a, b.id AS b, round({_div(_inter('a', 'b'), _area('a'))}, 6) AS ioa_a, round({_div(_inter('a', 'b'), _area('b'))}, 6) AS ioa_b {JOIN} AND a.label = b.label",
         "cross_detector_votes": f"{PAIRS} SELECT a.image_id, a.id, round(sum({_div(_inter('a', 'b'), _union('a', 'b'))}), 6) AS votes FROM p a JOIN p b ON a.image_id = b.image_id AND a.label = b.label AND a.detector <> b.detector GROUP BY ALL",
+        "first_weights": f"""{PAIRS}, v AS (SELECT a.image_id, a.id, sum({_div(_inter('a', 'b'), _union('a', 'b'))}) AS votes FROM p a JOIN p b ON a.image_id = b.image_id AND a.label = b.label AND a.detector <> b.detector GROUP BY ALL),
+            w AS (SELECT p.*, coalesce(votes, 0)::DOUBLE AS votes FROM p LEFT JOIN v USING (image_id, id))
+            SELECT image_id, id, round(0.1::DOUBLE + 1.2::DOUBLE * votes / (votes + 1) + 2 * 4, 6) AS stage4, round(0.01::DOUBLE + 99 / (0.8::DOUBLE + votes) + 1.5::DOUBLE * 2 / (votes + 0.5::DOUBLE), 6) AS stage5, x0::DOUBLE AS x0, y1::DOUBLE AS y1 FROM w""",
         "overlap_min_area_pairs": f"{PAIRS} SELECT a.image_id, a.id AS a, b.id AS b, round({_div(_inter('a', 'b'), f'least({_area('a')}, {_area('b')})')}, 6) AS overlap {JOIN} AND a.label = b.label WHERE {_inter('a', 'b')} > 0",
         "box_union_hull": f"{PAIRS} SELECT a.image_id, a.id AS a, b.id AS b, least(a.x0, b.x0) AS x0, least(a.y0, b.y0) AS y0, greatest(a.x1, b.x1) AS x1, greatest(a.y1, b.y1) AS y1 {JOIN} AND a.label = b.label",
         "containment_removal": f"{FULL}, {CONTAIN} SELECT {ROW} FROM kept",

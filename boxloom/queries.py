@@ -101,6 +101,16 @@ def cross_detector_votes(spark, d):
     return plain(both.groupBy("image_id", "id").agg(F.sum("iou").alias("votes")))
 
 
+def first_weights(spark, d):
+    """Weights of both samplers for each box before any is drawn: votes of other detectors, or their cover; and its place in pixels again."""
+    got = _pairs(spark, d, True).where("a.detector <> b.detector").select("a.image_id", "a.id", F.col("b.id").alias("other"), g.iou(F.col("a.b"), F.col("b.b")).alias("iou"))
+    votes = got.select("image_id", "id", "iou").union(got.select("image_id", F.col("other"), "iou")).groupBy("image_id", "id").agg(F.sum("iou").alias("votes"))
+    boxes = _filtered(spark, d).select("*", F.concat_ws(":", "detector", F.format_string("%06d", "pos")).alias("id")).join(votes, ["image_id", "id"], "left").withColumn("votes", F.coalesce("votes", F.lit(0.0)))
+    back = g.to_pixels(g.normalise(g.box(), F.col("width"), F.col("height")), F.col("width"), F.col("height"))
+    score4, score5 = g.stage4_score(F.col("votes"), g.novelty(F.lit(0.0))), g.stage5_score(F.col("votes"), g.novelty(F.col("votes")))
+    return plain(boxes.select("image_id", "id", score4.alias("stage4"), score5.alias("stage5"), back["x0"].alias("x0"), back["y1"].alias("y1")))
+
+
 def overlap_min_area_pairs(spark, d):
     got = _pairs(spark, d, True).select("a.image_id", F.col("a.id").alias("a"), F.col("b.id").alias("b"), g.overlap_min_area(F.col("a.b"), F.col("b.b")).alias("overlap"))
     return plain(got.where("overlap > 0"))
@@ -513,7 +523,7 @@ def curate(spark, d):
 
 _RUN = (
     blank_label_filter, score_threshold, score_threshold_strict, box_validity, box_reject_reasons, over_max_labels, style_removal, stage_funnel_counts, vocab_union, label_reindex,
-    pairwise_iou, pairwise_ioa, cross_detector_votes, overlap_min_area_pairs, box_union_hull, containment_removal, nms_per_label, topk_score, max_dets, center_closeness,
+    pairwise_iou, pairwise_ioa, cross_detector_votes, first_weights, overlap_min_area_pairs, box_union_hull, containment_removal, nms_per_label, topk_score, max_dets, center_closeness,
     equal_contribution_sample, contribution_caps, detector_contribution, detector_label_rollup, overlap_aware_sample, replica_sampling, slice_merge, iou_label_merge, merged_detections,
     caption_preprocess, attribute_parse, attribute_postprocess, attribute_merge, dialog_build, yes_no_question, softmax_yes_no, verdict_correction, verdict_group, crop_plan, crop_order,
     tile_choice, tile_boxes, resume_anti_join, contiguous_slices, mode_label, final_annotations, train_val_split, final_nms, resolution_filter, aesthetic_class, phash_dedup, phash_values, phash_near_pairs, phash_near_dedup, last_sentence, caption_tokens, tile_pixels,

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from boxloom import queries, schemas
+from boxloom.functions import dialog
 from boxloom.operators import assemble, audit, batches, instances, sampling
 
 
@@ -84,3 +85,18 @@ def test_contribution_of_every_replica(spark):
     rows = [(1, 0, "gd", "a"), (1, 0, "gd", "b"), (1, 0, "od", "a"), (1, 1, "ow", "a"), (2, 0, "yw", "c")]
     got = sampling.contribution(spark.createDataFrame(rows, "image_id long, sub_sample int, detector string, label string"), by=("image_id", "sub_sample")).collect()
     assert {(r["image_id"], r["sub_sample"]): tuple(r)[2:] for r in got} == {(1, 0): (0, 0, 2, 1, 3, 2), (1, 1): (0, 1, 0, 0, 1, 1), (2, 0): (1, 0, 0, 0, 1, 1)}
+
+
+def test_models_see_whole_batches(spark):
+    """Each call gets the rows of one batch: no more than fit, and no batch twice."""
+    import pandas as pd
+
+    def model(x):
+        return pd.DataFrame({"n": [len(x)] * len(x), "least": [min(x)] * len(x)})
+
+    df = batches.cost_batches(spark.range(200).withColumn("cost", F.col("id") % 90), F.col("cost"), ["id"], 24, 1000).repartition(5)
+    got = dialog.with_model(df, "id", "error", model, "n long, least long", batch="batch_id").collect()
+    sizes = {}
+    for r in got:
+        sizes.setdefault(r["batch_id"], []).append(r["id"])
+    assert len(got) == 200 and all(r["n"] == len(sizes[r["batch_id"]]) <= 24 and r["least"] == min(sizes[r["batch_id"]]) for r in got)
