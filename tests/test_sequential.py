@@ -155,10 +155,10 @@ def literal_image(image, boxes, labels, dets, c):
         left, picks = list(own), []
         while left and len(picks) < want:
             extra = [(c.s5_new if all(labels[i] != labels[p] for p in picks) else 0.0) + c.s5_area / c.s5_new * size(boxes[i]) + novelty(n if c.misaligned_novelty else i, c.s5_novelty) for n, i in zip(own, left)]
-            covered = [sum(overlap(boxes[i], boxes[j]) / size(boxes[i]) * (2 if labels[i] == labels[j] else 1) for j in left if j != i) for i in left]
+            covered = [sum(overlap(boxes[i], boxes[j]) / size(boxes[i]) * (2 if labels[i] == labels[j] else 1) * (c.s5_punish if j in picks else 1) for j in (own if c.mode == "stage_5" else left) if j != i) for i in left]
             p = left[drawn([c.s5_base + c.s5_num / (c.s5_den + a) + c.s5_new * e for a, e in zip(covered, extra, strict=True)], u("s5", len(picks)))]
             picks.append(p)
-            left = [i for i in left if i != p and overlap(boxes[i], boxes[p]) / size(boxes[i]) * (2 if labels[i] == labels[p] else 1) <= c.s5_overlap]
+            left = [i for i in left if i != p and (c.mode == "stage_5" or overlap(boxes[i], boxes[p]) / size(boxes[i]) * (2 if labels[i] == labels[p] else 1) <= c.s5_overlap)]
         out.append(picks)
         taken += picks
         pool = [i for i in pool if i not in picks]
@@ -166,14 +166,15 @@ def literal_image(image, boxes, labels, dets, c):
 
 
 @pytest.mark.parametrize("misaligned", [False, True])
-def test_replicas_equal_the_literal_version(misaligned):
+@pytest.mark.parametrize("mode", ["stage_5_no_overlap", "stage_5"])
+def test_replicas_equal_the_literal_version(mode, misaligned):
     for seed in range(25):
         rng = np.random.default_rng(seed)
         n = int(rng.integers(0, 90))
         corner = rng.random((n, 2)) * 0.8
         boxes = np.concatenate([corner, corner + 0.05 + rng.random((n, 2)) * 0.15], axis=1)
         labels, dets = rng.choice(list("abcdefgh"), n), rng.choice(["gd", "yw", "ow", "od"], n)
-        c = replicas.SampleConfig(seed=seed, misaligned_novelty=misaligned)
+        c = replicas.SampleConfig(seed=seed, mode=mode, misaligned_novelty=misaligned)
         assert replicas.sample_image(seed, boxes, labels, dets, c) == literal_image(seed, boxes.tolist(), list(labels), list(dets), c)
 
 
