@@ -29,7 +29,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import materialise, small_batches
@@ -209,15 +209,15 @@ def find_contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id"
     for k in range(shards):
         part = _scan(rows, "rid", "text", [tuple(r) for r in known.where(of == k).collect()], window)
         parts = part if parts is None else parts.unionByName(part)
-    every = parts.groupBy("rid").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("hits"))).alias("h"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    return every.join(rows.select("rid", "doc_id"), "rid").select("doc_id", "n_words", _united("h").alias("hits"), "items")
-
-
-def _united(spans: str):
-    """Sorted spans with those that touch or overlap as one."""
-    def add(acc, x):
-        last = F.element_at(acc, -1)
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))))
-        return F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["end"] >= x["start"]), joined).otherwise(F.concat(acc, F.array(x)))
-
-    return F.aggregate(spans, F.array().cast(_HIT), add)
+    every = parts.groupBy("rid").agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    whole = every.join(_united(parts.select("rid", F.explode("hits").alias("x")).select("rid", "x.start", "x.end")), "rid", "left")
+    return rows.select("rid", "doc_id").join(whole, "rid").select("doc_id", "n_words", F.coalesce("hits", F.array().cast(_HIT)).alias("hits"), "items")
+
+
+def _united(spans: DataFrame) -> DataFrame:
+    """(rid, hits): spans (rid, start, end) with those that touch or overlap as one; a span is a new one if it starts behind all ends before it."""
+    order = Window.partitionBy("rid").orderBy("start", "end")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = spans.withColumn("fresh", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int"))
+    ones = fresh.withColumn("nth", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy("rid", "nth").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return ones.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("hits"))
