@@ -436,7 +436,7 @@ def line_files(spark, d):
 
 
 def work_maps(spark, d):
-    """A map of maps of all orders, whose paths hold braces, quotes and backslashes, read by ranges of 64 KiB with a map of folders."""
+    """A map of maps of all orders, whose paths hold braces, quotes and backslashes, read by ranges of 256 KiB with a map of folders."""
     orders, key = fx.table(spark, d, "orders"), F.col("o_orderkey").cast("string")
     path = F.concat(F.lit('/a/"'), "o_orderstatus", F.lit('\\"{,}/'), key)
     todo = orders.select("o_orderkey", F.create_map(F.lit("0"), path, F.lit("1"), F.concat(F.lit('{"[": '), F.col("o_custkey").cast("string"))).alias("v"))
@@ -444,7 +444,7 @@ def work_maps(spark, d):
     maps = [sinks.scratch(spark, "work_map"), sinks.scratch(spark, "dirs_map")]
     for rows, to in zip((todo, dirs), maps, strict=True):
         sinks.write_map(rows.repartition(3, "o_orderkey"), to, "o_orderkey", "v")
-    return readers.work_list(spark, *maps, split=64 << 10)
+    return readers.work_list(spark, *maps, split=256 << 10)
 
 
 def keyed_files(spark, d):
