@@ -83,8 +83,9 @@ def filter_attributes(attrs: Column, web: Column | None = None, vlm: Column | No
 
 
 def _drop_unless_held(items: Column, term: str, web: Column, vlm: Column) -> Column:
-    absent = ~F.contains(web, F.lit(term)) & ~F.contains(vlm, F.lit(term))
-    return F.filter(items, lambda a: ~(absent & F.contains(a, F.lit(term))))
+    """The captions are searched once a list, not once an item."""
+    absent = F.coalesce(~F.contains(web, F.lit(term)) & ~F.contains(vlm, F.lit(term)), F.lit(True))
+    return let(items, lambda own: F.when(absent, F.filter(own, lambda a: ~F.contains(a, F.lit(term)))).otherwise(own))
 
 
 def join_list(a: Column) -> Column:
@@ -101,15 +102,17 @@ def words(c: Column) -> Column:
 
 
 def strip_plurals(items: Column) -> Column:
-    """Items go that are another item (not yet gone) and an s."""
-    def plural(acc: Column, i: Column) -> Column:
-        item = F.element_at(acc, i)
-        return item.endswith("s") & F.array_contains(acc, F.substring(item, F.lit(1), F.length(item) - 1))
+    """Of distinct items those go that are another item (not yet gone) and an s, and blank ones."""
+    stem = lambda x: F.substring(x, F.lit(1), F.length(x) - 1)
 
     def settle(known: Column) -> Column:
-        maybe = F.filter(F.sequence(F.lit(1), F.size(known)), lambda i: plural(known, i))
-        blank = lambda acc, i: F.when(plural(acc, i), F.transform(acc, lambda x, k: F.when(k == i - 1, F.lit("")).otherwise(x))).otherwise(acc)
-        return F.filter(F.aggregate(maybe, known, blank), lambda x: x != "")
+        ending = F.filter(known, lambda x: x.endswith("s"))
+        held = F.array_intersect(F.transform(ending, stem), known)  # hashed: a list is not searched once an item
+        # An s alone also goes once any item is gone, as that leaves a blank.
+        maybe = let(held, lambda h: F.filter(ending, lambda x: F.array_contains(h, stem(x)) | (x == "s")))
+        goes = lambda gone, x: F.when(x == "s", F.array_contains(known, "") | (F.size(gone) > 0)).otherwise(~F.array_contains(gone, stem(x)))
+        gone = F.aggregate(maybe, F.slice(known, 1, 0), lambda gone, x: F.when(goes(gone, x), F.concat(gone, F.array(x))).otherwise(gone))
+        return F.array_except(known, F.concat(gone, F.array(F.lit(""))))
 
     return let(items, settle)
 

@@ -38,15 +38,19 @@ def _prefix(size: Column) -> Column:
 
 def alike(df: DataFrame, key: str, items: str) -> DataFrame:
     """(key, at): places, from 0, in the lists `items` of items that a later item of the list is like; keys are distinct."""
-    # Dealt out by key first: counts and gathering stay there, and both sides of the join are one exchange. With a
-    # number, as adaptive execution would join partitions by the size of their lists, which become many more rows.
+    # An item of one word is only like others of that word, so lists whose single words differ need no rows for them.
+    single = F.filter(F.transform(F.filter(items, lambda x: x.isNotNull()), words), lambda w: F.size(w) == 1)
+    repeated = let(F.transform(single, lambda w: F.get(w, F.lit(0))), lambda x: F.size(F.array_distinct(x)) < F.size(x))
+    each = df.select(key, repeated.alias("r"), F.posexplode(items).alias("at", "item")).where("item is not null").select(key, "r", "at", words(F.col("item")).alias("w"))
+    # Dealt out by key: counts and gathering stay there, and both sides of the join are one exchange. With a number, as
+    # adaptive execution would join partitions by the size of rows that become more.
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    each = df.repartition(parts, key).select(key, F.posexplode(items).alias("at", "item")).where("item is not null").select(key, "at", words(F.col("item")).alias("w"))
-    word = each.select(key, "at", "w", F.explode("w").alias("x"))
+    word = each.where((F.size("w") > 1) | F.col("r")).repartition(parts, key).select(key, "at", F.explode("w").alias("x"))
     often = word.withColumn("n", F.count("*").over(Window.partitionBy(key, "x")))
-    ordered = often.groupBy(key, "at").agg(F.first("w").alias("w"), F.array_sort(F.collect_list(F.struct("n", "x"))).alias("o"))
-    found = ordered.select(key, "at", "w", F.explode(let(F.col("o"), lambda o: F.slice(o, F.lit(1), _prefix(F.size(o))))).alias("f")).select(key, "at", "w", F.size("w").alias("s"), F.col("f.x").alias("x"))
-    a, b = found.alias("a"), found.alias("b")
+    ordered = often.groupBy(key, "at").agg(F.array_sort(F.collect_list(F.struct("n", "x"))).alias("o"))
+    found = ordered.select(key, "at", F.col("o.x").alias("w"), F.size("o").alias("s"), F.explode(let(F.col("o"), lambda o: F.slice(o, F.lit(1), _prefix(F.size(o))))).alias("f")).where("f.n > 1").select(key, "at", "w", "s", F.col("f.x").alias("x"))
+    # The lists lie in small files that say little of the rows they become: the planner would broadcast a side.
+    a, b = found.hint("merge").alias("a"), found.alias("b")
     sizes = (F.col("a.s") >= SHARE * F.col("b.s")) & (F.col("b.s") >= SHARE * F.col("a.s")) | (F.least("a.s", "b.s") >= ENOUGH)
     met = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.x") == F.col("b.x")) & (F.col("a.at") < F.col("b.at")) & sizes)
     told = lambda n: (n >= ENOUGH) | (n >= SHARE * F.greatest("a.s", "b.s"))
@@ -56,8 +60,9 @@ def alike(df: DataFrame, key: str, items: str) -> DataFrame:
 def drop_alike(df: DataFrame, key: str, items: str) -> DataFrame:
     """df whose lists `items` are without items that a later one is like, in their order; keys are distinct and not null."""
     gone = alike(df, key, items).groupBy(F.col(key).alias("_k")).agg(F.collect_set("at").alias("_gone"))
-    kept = F.when(F.col("_gone").isNull(), F.col(items)).otherwise(F.filter(items, lambda x, i: ~F.array_contains("_gone", i)))
-    return df.join(gone, F.col(key) == F.col("_k"), "left").withColumn(items, kept).drop("_k", "_gone")
+    left = F.array_except(F.sequence(F.lit(0), F.size(items) - 1), F.col("_gone"))
+    kept = F.when(F.col("_gone").isNull(), F.col(items)).otherwise(F.transform(left, lambda i: F.get(F.col(items), i)))
+    return df.hint("merge").join(gone, F.col(key) == F.col("_k"), "left").withColumn(items, kept).drop("_k", "_gone")
 
 
 def merge_attributes(df: DataFrame, key: str, shuffled: Column, phase2: Column, out: str = "merged") -> DataFrame:

@@ -304,6 +304,13 @@ def test_alike_items_against_every_pair(spark):
     assert not similar.drop_alike(df.where("false"), "k", "items").collect()
 
 
+def test_small_files_of_lists_are_not_broadcast(spark, tmp_path):
+    spark.range(500).select("id", F.array(F.lit("red old car"), F.lit("old red car"), F.lit("tree")).alias("items")).write.parquet(str(tmp_path / "l"))
+    got = similar.drop_alike(spark.read.parquet(str(tmp_path / "l")), "id", "items")
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r["items"]) for r in got.collect()} == {("old red car", "tree")}
+
+
 def literal_plurals(items):
     items = list(items)
     for i, x in enumerate(items):
@@ -319,6 +326,16 @@ def test_plurals_in_order(spark):
     assert [r["x"] for r in got] == [literal_plurals(x) for x in lists]
 
 
+def test_long_lists_of_attributes(spark):
+    """Plurals and conditional terms of lists of thousands, whose captions are as long."""
+    items = [f"w{i}" for i in range(6000)] + [f"w{i}s" for i in range(0, 6000, 7)] + ["s", "noisy x"]
+    caption = " ".join(items[:-1])
+    df = spark.createDataFrame([(k, items, c) for k, c in enumerate([caption, caption + " noisy", None])], "k long, x array<string>, c string")
+    got = df.select("k", text.strip_plurals(F.col("x")).alias("p"), text.filter_attributes(F.col("x"), F.col("c"), F.lit("none")).alias("f")).orderBy("k").collect()
+    assert [r["p"] for r in got] == [literal_plurals(items)] * 3
+    assert [r["f"] for r in got] == [items[:-1], items, items[:-1]]
+
+
 def test_text_rules(spark):
     lit = F.lit
     assert one(spark, text.clean_caption(lit("This is a Cat. There is no dog. It sits."))) == "a cat. it sits."
