@@ -26,6 +26,8 @@ from .graph import connected_components
 SIDE, BITS = 8, 64
 #: Decimals that the transform is rounded to, so that equal coefficients compare as equal.
 DECIMALS = 6
+#: Hashes that how many blocks go together is counted on, about; and what a key costs, in comparisons.
+COUNTED, KEY_COST = 50_000, 16
 
 
 def cosines() -> list[list[float]]:
@@ -73,11 +75,24 @@ def _keyed(hashes: DataFrame, masks: list[int]) -> DataFrame:
     return hashes.select("h", F.posexplode(F.array(*map(F.lit, masks))).alias("k", "mask")).select("h", "k", F.col("h").bitwiseAND(F.col("mask")).alias("bits"))
 
 
-def choose_blocks(hashes: DataFrame, radius: int, most: int = 3) -> int:
-    """How many blocks together make the fewest comparisons and keys over these hashes (h)."""
+def choose_blocks(hashes: DataFrame, radius: int, most: int = 5) -> int:
+    """How many blocks together make the fewest comparisons and keys over these hashes (h).
+
+    Of many hashes an even part is counted and carried on, as only the way to the result depends on it.
+    """
     if not radius:
         return 1
-    costs = [_keyed(hashes, _masks(radius, t)).groupBy("k", "bits").agg(F.count("*").cast("double").alias("n")).agg(F.sum(F.col("n") * F.col("n") + F.col("n"))).first()[0] or 0.0 for t in range(1, most + 1)]
+    n = hashes.count()
+    part = max(1, n // COUNTED)
+    some = hashes.where(F.pmod(F.xxhash64("h"), F.lit(part)) == 0)
+    keys = [_keyed(some, _masks(radius, t)).groupBy("k", "bits").agg(F.count("*").cast("double").alias("n")) for t in range(1, most + 1)]
+    found = [k.agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1)), F.lit(0.0)).alias("met"), F.coalesce(F.sum("n"), F.lit(0.0)).alias("made")) for k in keys]
+    costs = []
+    for counts in found:
+        met, made = counts.first()
+        costs.append(met * part * part + KEY_COST * made * part)
+        if KEY_COST * made * part > min(costs):
+            break  # more blocks only make more keys
     return costs.index(min(costs)) + 1
 
 
@@ -89,17 +104,19 @@ def near_hashes(hashes: DataFrame, radius: int, together: int | None = None) ->
     keyed, known = _keyed(hashes, masks), F.array(*map(F.lit, masks))
     a, b = (keyed.select("k", "bits", F.col("h").alias(x)) for x in "ab")
     x = F.col("a").bitwiseXOR(F.col("b"))
-    near = a.join(b, ["k", "bits"]).where((F.col("a") < F.col("b")) & (F.bit_count(x) <= radius))
+    # The planner knows the size of the hashes, not of their many keys, and would broadcast these.
+    near = a.hint("merge").join(b, ["k", "bits"]).where((F.col("a") < F.col("b")) & (F.bit_count(x) <= radius))
     # Blocks that agree are met again under every choice of them; the first counts.
     first = ~F.exists(F.slice(known, F.lit(1), F.col("k")), lambda m: x.bitwiseAND(m) == 0)
     return near.where((F.col("k") == 0) | first).select("a", "b", F.bit_count(x).alias("distance"))
 
 
-def near_classes(pictures: DataFrame, radius: int, key: str, phash: str = "phash") -> DataFrame:
-    """pictures with class_id, the smallest key that steps of at most `radius` bits lead to."""
+def near_classes(pictures: DataFrame, radius: int, key: str, phash: str = "phash", near: DataFrame | None = None) -> DataFrame:
+    """pictures with class_id, the smallest key that steps of at most `radius` bits lead to; near: (a, b, distance) of their hashes for this radius or more, if known."""
     groups = materialise(pictures.where(F.col(phash).isNotNull()).groupBy(F.col(phash).alias("h")).agg(F.min(key).alias("least")), "hashes")
-    roots = connected_components(near_hashes(groups.select("h"), radius).select(F.col("a").alias("u"), F.col("b").alias("v"))) if radius else None
-    if roots is not None:
+    if radius:
+        near = near_hashes(groups.select("h"), radius) if near is None else near.where(F.col("distance") <= radius)
+        roots = connected_components(near.select(F.col("a").alias("u"), F.col("b").alias("v")))
         linked = groups.join(roots.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
         least = linked.groupBy("root").agg(F.min("least").alias("class_id"))
         groups = linked.join(least, "root").select("h", "class_id")
