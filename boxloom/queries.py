@@ -318,7 +318,8 @@ def phash_near_pairs(spark, d):
 def phash_near_dedup(spark, d):
     """Class of every picture by steps of 0, 4 and 8 bits, and whether it stays."""
     rows = materialise(_hashed_pictures(spark, d), "pictures")
-    found = [phash.near_classes(rows, r, "pic_id").select(F.lit(r).alias("radius"), "pic_id", "class_id") for r in (0, 4, 8)]
+    near = materialise(phash.near_hashes(materialise(rows.where("phash is not null").select(F.col("phash").alias("h")).distinct(), "hashes"), 8), "near")
+    found = [phash.near_classes(rows, r, "pic_id", near=near).select(F.lit(r).alias("radius"), "pic_id", "class_id") for r in (0, 4, 8)]
     return plain(found[0].union(found[1]).union(found[2])).withColumn("stays", F.col("pic_id") == F.col("class_id"))
 
 
