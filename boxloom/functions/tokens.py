@@ -14,6 +14,8 @@ from .text import let
 
 #: Tokens that a model takes, and those of them that begin and end every text.
 LIMIT, MARKS = 77, 2
+#: Code points that are tokenized at a time: the library keeps some hundred bytes a token, and an Arrow batch may hold 10,000 long texts.
+SLICE = 1 << 17
 
 
 @cache
@@ -23,16 +25,29 @@ def _tokenizer(path: str):
     return tokenizers.Tokenizer.from_file(path)
 
 
+def _slices(texts: pa.Array, most: int = SLICE) -> Iterator[list[str]]:
+    """The texts in order, lists of at most so many code points, longer texts alone; null as empty."""
+    held, size = [], 0
+    for t in texts:
+        x = t.as_py() or ""
+        if held and size + len(x) > most:
+            yield held
+            held, size = [], 0
+        held.append(x)
+        size += len(x)
+    if held:
+        yield held
+
+
 def token_ends(text: Column | str, path: str) -> Column:
     """Where each token ends, in code points, as array<int>; null for a null text. path: a tokenizer's JSON file, on every machine."""
 
     @F.arrow_udf("array<int>")
     def ends(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            given = texts.to_pylist()
-            found = [np.array([e for _, e in x.offsets], np.int32) for x in _tokenizer(path).encode_batch([t or "" for t in given], add_special_tokens=False)]
+            found = [np.array([e for _, e in x.offsets], np.int32) for given in _slices(texts) for x in _tokenizer(path).encode_batch(given, add_special_tokens=False)]
             offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
-            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *found])), mask=pa.array([t is None for t in given]))
+            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *found])), mask=texts.is_null())
 
     return ends(text)
 

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import public_tokenizers as public
+import pyarrow as pa
 import pyarrow.parquet as pq
 import tokenizers
 from pyspark.sql import functions as F
@@ -83,3 +84,10 @@ def test_kernels_keep_flat_pictures_and_sum_to_one():
         for n, m in ((3, 7), (7, 3), (5, 5), (1, 4)):
             assert np.allclose(images.weights(n, m, kernel).sum(axis=1), 1)
         assert (images.resize(np.full((4, 6, 3), 99, np.uint8), 5, 9, kernel) == 99).all()
+
+
+def test_texts_are_tokenized_in_bounded_slices():
+    texts = [None, "", "a" * 30, "b" * 250, None, "c" * 60, "d" * 50]
+    got = list(tokens._slices(pa.array(texts), 100))
+    assert [x for part in got for x in part] == [t or "" for t in texts]
+    assert all(len(part) == 1 or sum(map(len, part)) <= 100 for part in got) and not list(tokens._slices(pa.array([], pa.string())))
