@@ -19,6 +19,18 @@ def uniform_py(seed: int, *parts) -> float:
     return int(hashlib.md5("|".join(map(str, (seed, *parts))).encode()).hexdigest()[:13], 16) / (1 << 52)
 
 
+def draws_py(seed: int, *parts):
+    """i -> uniform_py(seed, *parts, i), with what stays the same made once."""
+    before = hashlib.md5(("|".join(map(str, (seed, *parts))) + "|").encode())
+
+    def draw(i: int) -> float:
+        h = before.copy()
+        h.update(str(i).encode())
+        return int(h.hexdigest()[:13], 16) / (1 << 52)
+
+    return draw
+
+
 def uniform_int(u: Column, low: Column, high: Column) -> Column:
     """An integer in [low, high] from a draw."""
     return (low + F.floor(u * (high - low + 1))).cast("long")

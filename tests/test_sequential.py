@@ -6,10 +6,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from boxloom.functions import text, tiling, verdict
-from boxloom.functions.rng import uniform_py
+from boxloom.functions.rng import draws_py, uniform_py
 from boxloom.operators import assemble, instances, merging, replicas, similar, suppress
 from pyspark.sql import functions as F
 
+rng_draws = draws_py(1, "x", 2)
 COLS = "image_id long, detector string, pos int, label string, score double, x0 double, y0 double, x1 double, y1 double"
 
 
@@ -178,6 +179,17 @@ def test_replicas_equal_the_literal_version(mode, misaligned):
         assert replicas.sample_image(seed, boxes, labels, dets, c) == literal_image(seed, boxes.tolist(), list(labels), list(dets), c)
 
 
+def test_pairs_of_an_image_are_made_once_for_all_replicas(monkeypatch):
+    rng = np.random.default_rng(4)
+    corner = rng.random((200, 2)) * 0.8
+    boxes, made = np.concatenate([corner, corner + 0.1], axis=1), []
+    shared = replicas.shared_areas
+    monkeypatch.setattr(replicas, "shared_areas", lambda a, b: made.append(len(a)) or shared(a, b))
+    got = replicas.sample_image(3, boxes, rng.choice(list("abcdefgh"), 200), rng.choice(["gd", "yw"], 200), replicas.SampleConfig())
+    assert len(got) == 5 and made == [200]
+    assert [rng_draws(i) for i in (0, 7, 12)] == [uniform_py(1, "x", 2, i) for i in (0, 7, 12)]
+
+
 def hull(a, b):
     return [min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3])]
 
