@@ -444,7 +444,7 @@ def work_maps(spark, d):
     dirs = orders.select("o_orderkey", F.concat(F.lit('/d"}/'), (F.col("o_custkey") % 7).cast("string")).alias("v"))
     maps = [sinks.scratch(spark, "work_map"), sinks.scratch(spark, "dirs_map")]
     for rows, to in zip((todo, dirs), maps, strict=True):
-        sinks.write_map(rows.repartition(3, "o_orderkey"), to, "o_orderkey", "v")
+        sinks.write_map(rows.repartition("o_orderkey"), to, "o_orderkey", "v")
     return readers.work_list(spark, *maps, split=256 << 10)
 
 

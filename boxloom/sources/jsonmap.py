@@ -115,10 +115,12 @@ class _Ranges(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.split = options["path"], int(options.get("split", SPLIT))
         self.begun = json.loads(options.get("begun", "null"))
+        self.first = self.begun is None
 
     def partitions(self) -> list[InputPartition]:
-        if self.begun is not None:
-            return [InputPartition(tuple(x)) for x in self.begun]
+        if not self.first:
+            begun, self.begun = self.begun, None  # every task is sent the reader, which must not hold all ranges
+            return [InputPartition(tuple(x)) for x in begun]
         found = files_below(self.path)
         return [InputPartition((f, size, low, min(low + self.split, size), 0, 0)) for f, size in found for low in range(0, size, self.split)]
 
@@ -129,7 +131,7 @@ class _Ranges(DataSourceReader):
                 f.seek(at)
                 return f.read(n)
 
-            if self.begun is None:
+            if self.first:
                 found = summary(np.frombuffer(read(at, min(BLOCK, high - at)), np.uint8) for at in range(low, high, BLOCK))
                 yield name, size, low, high, json.dumps(found)
             else:

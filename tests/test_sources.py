@@ -139,3 +139,14 @@ def test_arrow_by_record_batch(spark, tmp_path, monkeypatch):
     again = readers.arrow_table(spark, f"{tmp_path}/again", kind)
     assert again.exceptAll(got).isEmpty() and again.count() == 2000
     assert len([f for f in names(tmp_path / "again") if f.startswith("part-")]) == 3
+
+
+def test_a_reader_does_not_take_all_ranges_to_every_task():
+    import json
+    import pickle
+
+    from boxloom.sources import jsonmap
+
+    begun = [["file:/a/part", 1 << 30, i << 18, (i + 1) << 18, 0, 1] for i in range(4000)]
+    reader = jsonmap._Ranges({"path": "/a", "begun": json.dumps(begun)})
+    assert [list(p.value) for p in reader.partitions()] == begun and len(pickle.dumps(reader)) < 1000
