@@ -41,7 +41,8 @@ def alike(df: DataFrame, key: str, items: str) -> DataFrame:
     # An item of one word is only like others of that word, so lists whose single words differ need no rows for them.
     single = F.filter(F.transform(F.filter(items, lambda x: x.isNotNull()), words), lambda w: F.size(w) == 1)
     repeated = let(F.transform(single, lambda w: F.get(w, F.lit(0))), lambda x: F.size(F.array_distinct(x)) < F.size(x))
-    each = df.select(key, repeated.alias("r"), F.posexplode(items).alias("at", "item")).where("item is not null").select(key, "r", "at", words(F.col("item")).alias("w"))
+    marked = df.select(key, items, repeated.alias("r"))  # before the items are laid out, or it is made once an item
+    each = marked.select(key, "r", F.posexplode(items).alias("at", "item")).where("item is not null").select(key, "r", "at", words(F.col("item")).alias("w"))
     # Dealt out by key: counts and gathering stay there, and both sides of the join are one exchange. With a number, as
     # adaptive execution would join partitions by the size of rows that become more.
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
