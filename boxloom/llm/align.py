@@ -9,13 +9,15 @@ distinct end of a document is one link: between the first token of either side
 that ends there or later, which a running last value finds. No pairs within a
 group are formed.
 
-Documents are dealt out once, tokens and all, by a row number; windows and sums
-of a document keep to that. What a document links is written; counts of id pairs
-over all documents go back to it by a join.
+Texts are dealt out once, by a row number, and become tokens only then, as these
+take several times as much; windows and sums of a document keep to that. How many
+parts there are follows the bytes of the texts, so that a part's tokens are sorted
+in memory. Counts of id pairs over all documents go back to them by a join.
 
 Python only makes tokens. Neither tokenizer joins characters across a space that
-follows a character other than white space, so texts are cut there and a task
-segments a distinct piece once (at most `TABLE` of them, then anew).
+follows a character other than white space, so texts are cut there, for both sides
+at once, and a task segments a distinct piece once (at most `TABLE` of them, then
+anew).
 
 Defined cases: a document has no tokens, and zeros, if its text is null or empty
 or if either side's tokens do not spell a space and the text (as with U+2581);
@@ -27,9 +29,8 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Callable, Iterator
-from functools import cache
-from itertools import chain
+from collections.abc import Callable
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,8 @@ from .store import materialise, small_batches
 MAX_BROADCAST_PAIRS = 1_000_000
 #: An id pair as one number.
 PAIR = 1 << 20
+#: Bytes of text in a part, about: some 1.5 million tokens.
+PART_BYTES = 2 << 20
 #: A token as one number: its id below this, and above it its bytes.
 IDS = 1 << 16
 _EDGE = re.compile(r"(?<=\S)(?= )")
@@ -80,37 +83,65 @@ def pieces_of(text: str) -> list[str]:
     return _EDGE.split(text) if _ODD.search(text) else [" " + w for w in text[1:].split(" ")]
 
 
-def tokens(text: str, side: Callable[[], Side]) -> Column:
-    """Ids and byte lengths of a space and the text; null where they do not spell it or the text is empty."""
-    @F.arrow_udf("array<int>")
-    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        segment, spelled = side()
-        sizes, table = np.array([len(s) for s in spelled], np.int32), {}
-        if len(sizes) > IDS or sizes.max() >= IDS // 2:
+class Tokens:
+    """Pieces and their tokens by one side, as packed numbers."""
+
+    def __init__(self, side: Callable[[], Side]):
+        self.segment, self.spelled = side()
+        self.sizes = np.array([len(s) for s in self.spelled], np.int32)
+        if len(self.sizes) > IDS or self.sizes.max() >= IDS // 2:
             raise ValueError("ids or tokens are too large")
-        for texts in batches:
-            flat, ends, missing = [], [0], []
-            for text in texts.to_pylist():
-                pieces = pieces_of(text) if text else []
-                if len(table) > TABLE:
-                    table.clear()
-                new = [p for p in set(pieces) if p not in table]
-                for p, ids in zip(new, segment(new), strict=True):
-                    table[p] = ids, b"".join(map(spelled.__getitem__, ids)) == p.encode()
-                got = [table[p] for p in pieces]
-                missing.append(not got or not all(ok for _, ok in got) and b"".join(spelled[i] for ids, _ in got for i in ids) != f" {text}".encode())
-                flat += chain.from_iterable(ids for ids, _ in got) if not missing[-1] else ()
-                ends.append(len(flat))
-            ids = np.array(flat, np.int32)
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(sizes[ids] * IDS + ids), mask=pa.array(missing))
-
-    return encode.asNondeterministic()(text)  # else filters on the tokens would make them once more
+        self.table: dict[str, bytes] = {}
+        self.wrong: set[str] = set()
+
+    def of(self, pieces: list[str], distinct: set[str]) -> np.ndarray | None:
+        """Tokens of a text cut into pieces; None if there are none or if they do not spell it."""
+        if len(self.table) > TABLE:
+            self.table.clear()
+            self.wrong.clear()
+        new = [p for p in distinct if p not in self.table]
+        for p, ids in zip(new, self.segment(new), strict=True):
+            x = np.array(ids, np.int32)
+            self.table[p] = (self.sizes[x] * IDS + x).tobytes()
+            if b"".join([self.spelled[i] for i in ids]) != p.encode():
+                self.wrong.add(p)
+        flat = np.frombuffer(b"".join([self.table[p] for p in pieces]), np.int32)
+        # Pieces may be wrong and all of them together right.
+        wrong = not self.wrong.isdisjoint(distinct) and b"".join([self.spelled[i] for i in flat % IDS]) != "".join(pieces).encode()
+        return None if wrong or not pieces else flat
+
+
+@lru_cache(maxsize=4)
+def side_tokens(side: Callable[[], Side]) -> Tokens:
+    """Kept by a worker from task to task."""
+    return Tokens(side)
+
+
+def tokens(text: str, row: str, sides: tuple[Callable[[], Side], ...]) -> Column:
+    """struct<a, b>: ids and byte lengths of a space and the text by each side; null where they do not spell it or the text is empty.
+
+    Spark forgets how rows are dealt out where a function of Arrow batches is
+    called, except over a window; a row is one here.
+    """
+    @F.arrow_udf("struct<a array<int>, b array<int>>")
+    def encode(texts: pa.Array) -> pa.Scalar:
+        text = texts[0].as_py()
+        pieces = pieces_of(text) if text else []
+        distinct = set(pieces)
+        lists = []
+        for side in sides:
+            got = side_tokens(side).of(pieces, distinct)
+            flat = np.zeros(0, np.int32) if got is None else got
+            lists.append(pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), pa.array(flat), mask=pa.array([got is None])))
+        return pa.StructArray.from_arrays(lists, ["a", "b"])[0]
+
+    return encode(text).over(Window.partitionBy(row))
 
 
 def laid_out(tokened: DataFrame) -> DataFrame:
     """(rid, side, end, id): every token of both sides (0 and 1) with the byte offset at which it ends."""
     sides = F.array(*[F.struct(F.lit(i).alias("side"), F.col(c).alias("t")) for i, c in enumerate(("a", "b"))])
-    each = tokened.select("rid", F.explode(sides).alias("s")).select("rid", "s.side", F.posexplode("s.t").alias("pos", "t")).select("rid", "side", "pos", (F.col("t") % IDS).alias("id"), F.floor(F.col("t") / IDS).alias("size"))
+    each = tokened.select("rid", F.explode(sides).alias("s")).select("rid", "s.side", F.posexplode("s.t").alias("pos", "t")).select("rid", "side", "pos", F.col("t").bitwiseAND(IDS - 1).alias("id"), F.shiftright("t", 16).alias("size"))
     return each.select("rid", "side", F.sum("size").over(Window.partitionBy("rid", "side").orderBy("pos")).alias("end"), "id")
 
 
@@ -129,18 +160,27 @@ def links(placed: DataFrame) -> DataFrame:
     return met.select("rid", "end", cover("a").alias("a"), cover("b").alias("b"), F.col("a").isNotNull().alias("a_ends"), F.col("b").isNotNull().alias("b_ends"), F.sum(cut).over(back).alias("group"))
 
 
-def aligned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sides=(byte_side, piece_side)) -> DataFrame:
-    """(rid, doc_id, groups array<struct<a, b>>, pairs array<long>), written: ids of each side by group, and a * PAIR + b of each link; null without tokens."""
+def dealt(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(rid, doc_id, text) in parts of about PART_BYTES."""
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    # With a number, as adaptive execution would join partitions by the size of their texts, which then become many times as many rows.
+    return rows.repartition(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES)), "rid")
+
+
+def aligned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sides=(byte_side, piece_side)) -> DataFrame:
+    """(rid, doc_id, groups array<struct<a, b>>, pairs array<long>): ids of each side by group, and a * PAIR + b of each link, sorted; null without tokens.
+
+    Row numbers are made anew with each run: write what is read more than once.
+    """
     small_batches(docs.sparkSession)
-    tokened = rows.select("rid", *[tokens("text", side).alias(c) for c, side in zip("ab", sides, strict=True)]).where("a is not null and b is not null")
-    # With a number, as adaptive execution would join partitions by the size of their arrays, which then become some thirty times as many rows.
-    tokened = tokened.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rid")
+    rows = dealt(docs, id_col, text_col)
+    tokened = rows.select("rid", tokens("text", "rid", sides).alias("t")).where("t.a is not null and t.b is not null").select("rid", "t.a", "t.b")
     ids = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col(f"{c}_ends"), F.struct("end", F.col(c).alias("id"))))), lambda t: t["id"])
     pair = F.col("a").cast("long") * PAIR + F.col("b")
     grouped = links(laid_out(tokened)).groupBy("rid", "group").agg(ids("a").alias("a"), ids("b").alias("b"), F.collect_list(pair).alias("pairs"))
-    whole = grouped.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct((-F.col("group")).alias("nth"), "a", "b"))).alias("groups"), F.flatten(F.collect_list("pairs")).alias("pairs"))
-    return materialise(rows.select("rid", "doc_id").join(whole, "rid", "left").select("rid", "doc_id", F.transform("groups", lambda g: F.struct(g["a"].alias("a"), g["b"].alias("b"))).alias("groups"), "pairs"), "aligned")
+    whole = grouped.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct((-F.col("group")).alias("nth"), "a", "b"))).alias("groups"), F.sort_array(F.flatten(F.collect_list("pairs"))).alias("pairs"))
+    return rows.select("rid", "doc_id").join(whole.hint("merge"), "rid", "left").select("rid", "doc_id", F.transform("groups", lambda g: F.struct(g["a"].alias("a"), g["b"].alias("b"))).alias("groups"), "pairs")
 
 
 def pair_counts(done: DataFrame) -> DataFrame:

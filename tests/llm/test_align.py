@@ -96,3 +96,14 @@ def test_pieces_are_segmented_alike(libraries):
         for x in cases:
             if "▁" not in x:
                 assert [i for ids in side[0](align.pieces_of(x)) for i in ids] == whole(x)
+
+
+def test_texts_are_dealt_out_and_parts_follow_their_bytes(spark, tmp_path, monkeypatch):
+    """Tokens take several times the bytes of their texts and are made behind the exchange, in parts that are sorted in memory."""
+    monkeypatch.setattr(align, "PART_BYTES", 1000)
+    docs = spark.createDataFrame([(i, "ab cd " * 100) for i in range(60)], "doc_id long, text string")
+    assert align.dealt(docs).rdd.getNumPartitions() == 36 and align.dealt(docs.where("false")).rdd.getNumPartitions() == 8
+    plan = align.aligned(docs)._jdf.queryExecution().executedPlan().toString().splitlines()
+    branch = next(i for i, line in enumerate(plan) if "ArrowWindowPython" in line)
+    assert sum("Exchange" in line for line in plan[branch:]) == 1 and not any("Exchange" in line and "rid" not in line for line in plan)
+    assert sum("Exchange" in line for line in plan) <= 3  # also ids and their join
