@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from boxloom.functions.rng import uniform_py
 
@@ -56,40 +58,57 @@ def merge_same_places(boxes: np.ndarray, members: list[list[int]], threshold: fl
     return boxes, members
 
 
-def slice_merge(boxes: DataFrame, threshold: float = 0.3, choose: str = "last") -> DataFrame:
-    """merge_slices in each (image, detector, label); pos numbers the results. An image is one group, not each of its labels."""
+def _by_image(boxes: DataFrame, run: Callable[[tuple, pa.Table], pa.Table]) -> DataFrame:
+    wanted = [F.col(name).cast(kind) for name, kind in map(str.split, FIELDS.split(", "))]
+    return boxes.select(wanted).groupBy("image_id").applyInArrow(run, FIELDS)
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["detector", "label", "pos"], ignore_index=True)
-        corners, scores = pdf[CORNERS].to_numpy(float), pdf["score"].to_numpy(float)
-        names = list(zip(pdf["detector"], pdf["label"], strict=True))
+
+def _corners(rows: pa.Table) -> np.ndarray:
+    return np.column_stack([rows[c].to_numpy() for c in CORNERS])
+
+
+def _placed(rows: pa.Table, corners: np.ndarray, score: Sequence[float] | pa.ChunkedArray, pos: Sequence[int]) -> pa.Table:
+    """Rows with other corners, scores and pos."""
+    own = [rows[c] for c in ("image_id", "detector", "label")]
+    return pa.table([*own, score if isinstance(score, pa.ChunkedArray) else pa.array(score, pa.float64()), *map(pa.array, corners.T), pa.array(pos, pa.int32())], names=[f.split()[0] for f in FIELDS.split(", ")])
+
+
+def slice_merge(boxes: DataFrame, threshold: float = 0.3, choose: str = "last", detectors: tuple[str, ...] | None = None) -> DataFrame:
+    """merge_slices in each (image, detector, label), of all detectors or those named, others' boxes stay; pos numbers the results. An image is one group, not each of its labels."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([(c, "ascending") for c in ("detector", "label", "pos")])
+        corners, scores, pos = _corners(rows), rows["score"].to_pylist(), rows["pos"].to_pylist()
+        names = list(zip(rows["detector"].to_pylist(), rows["label"].to_pylist(), strict=True))
         starts = [i for i, name in enumerate(names) if not i or name != names[i - 1]]
-        parts = []
+        at, parts, best, numbers = [], [], [], []
         for i, k in zip(starts, [*starts[1:], len(names)], strict=True):
-            merged, best = merge_slices(corners[i:k], scores[i:k].tolist(), threshold, choose)
-            parts.append((i, merged, best))
-        at = np.repeat([i for i, _, _ in parts], [len(m) for _, m, _ in parts]).astype(int)
-        out = pd.DataFrame(np.concatenate([m for _, m, _ in parts]), columns=CORNERS)
-        out = out.assign(image_id=key[0], detector=pdf["detector"].to_numpy()[at], label=pdf["label"].to_numpy()[at], score=[s for _, _, b in parts for s in b], pos=[n for _, m, _ in parts for n in range(len(m))])
-        return out[[f.split()[0] for f in FIELDS.split(", ")]]
+            merged, kept, mine = corners[i:k], scores[i:k], pos[i:k]
+            if detectors is None or names[i][0] in detectors:
+                merged, kept = merge_slices(merged, kept, threshold, choose)
+                mine = range(len(merged))
+            parts.append(merged)
+            at += [i] * len(merged)
+            best += kept
+            numbers += mine
+        return _placed(rows.take(at), np.concatenate(parts), best, numbers)
 
-    return boxes.select("image_id", "detector", "label", "score", *CORNERS, "pos").groupBy("image_id").applyInPandas(run, FIELDS)
+    return _by_image(boxes, run)
 
 
 def iou_label_merge(boxes: DataFrame, threshold: float = 0.9, seed: int = 0) -> DataFrame:
     """merge_same_places in each image, in a hashed order; one label and score of each merged box's members is drawn."""
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        order = [uniform_py(seed, "shuffle", key[0], d, p) for d, p in zip(pdf["detector"], pdf["pos"], strict=True)]
-        pdf = pdf.assign(_o=order).sort_values(["_o", "detector", "pos"], ignore_index=True)
-        merged, members = merge_same_places(pdf[CORNERS].to_numpy(float), [[i] for i in range(len(pdf))], threshold)
-        drawn = [m[int(uniform_py(seed, "label", key[0], n) * len(m))] for n, m in enumerate(members)]
-        out = pdf.loc[drawn, ["image_id", "detector", "label", "score"]].reset_index(drop=True)
-        out[CORNERS] = merged
-        out["pos"] = range(len(out))
-        return out[[f.split()[0] for f in FIELDS.split(", ")]]
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        image = key[0].as_py()
+        # Slices are numbered by label, so pos alone does not tell them apart.
+        named = list(zip(*(rows[c].to_pylist() for c in ("detector", "pos", "label")), strict=True))
+        order = sorted(range(len(named)), key=lambda i: (uniform_py(seed, "shuffle", image, *named[i][:2]), *named[i]))
+        merged, members = merge_same_places(_corners(rows)[order], [[i] for i in order], threshold)
+        drawn = rows.take([m[int(uniform_py(seed, "label", image, n) * len(m))] for n, m in enumerate(members)])
+        return _placed(drawn, merged, drawn["score"], range(len(drawn)))
 
-    return boxes.select("image_id", "detector", "label", "score", *CORNERS, "pos").groupBy("image_id").applyInPandas(run, FIELDS)
+    return _by_image(boxes, run)
 
 
 @dataclass(frozen=True)
@@ -107,7 +126,7 @@ class ChainConfig:
 
 
 def merged_detections(boxes: DataFrame, config: ChainConfig = ChainConfig()) -> DataFrame:
-    """Top-k, score, slice merge, containment, NMS, limit and label merge, each if configured."""
+    """Top-k, score, slice merge, containment, NMS, limit and label merge, each if configured; boxes are read once."""
     columns = [f.split()[0] for f in FIELDS.split(", ")]
     out = boxes.select(columns)
     if config.top_k is not None:
@@ -115,12 +134,12 @@ def merged_detections(boxes: DataFrame, config: ChainConfig = ChainConfig()) ->
     if config.score is not None:
         out = detections.strict_score(out, config.score)
     if config.slice_detectors:
-        mine = out["detector"].isin(*config.slice_detectors)
-        out = out.where(~mine).unionByName(slice_merge(out.where(mine), config.slice_threshold))
+        # Dealt out anew by image, as Python's results are no longer known to be, once for all later steps.
+        out = slice_merge(out, config.slice_threshold, detectors=config.slice_detectors).repartition("image_id")
     if config.contain:
         out = suppress.containment_removal(out)
     if config.nms is not None:
         out = suppress.nms(out, config.nms)
     if config.max_dets is not None:
-        out = suppress.top_k(out, config.max_dets)
+        out = suppress.top_k(out, config.max_dets, order=[F.desc("score"), F.col("detector"), F.col("pos"), F.col("label")])
     return out if config.merge_iou is None else iou_label_merge(out, config.merge_iou)

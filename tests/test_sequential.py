@@ -275,6 +275,26 @@ def test_chain_equals_the_literal_versions(spark):
         assert got[image] == {tuple(b) for b in literal_places([m[3] for m in order], 0.9)[0]}
 
 
+def test_chain_reads_its_boxes_once(spark, tiny):
+    from boxloom import queries
+
+    plan = queries.merged_detections(spark, tiny)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lineitem.parquet") == 1 and plan.count("Exchange hashpartitioning") <= 3
+
+
+def test_slices_of_other_detectors_stay(spark):
+    rows = [(1, d, p, "a", 0.1 * (p + 1), 0.0, 0.0, 4.0, 4.0 + p) for d in ("gd", "ow") for p in (3, 7)]
+    got = merging.slice_merge(spark.createDataFrame(rows, COLS), detectors=("ow",)).collect()
+    assert sorted((r["detector"], r["pos"], round(r["score"], 6), r["y1"]) for r in got) == [("gd", 3, 0.4, 7.0), ("gd", 7, 0.8, 11.0), ("ow", 0, 0.8, 11.0)]
+
+
+def test_boxes_that_share_a_pos_are_told_apart_by_label(spark):
+    """Slices are numbered by label, so detector and pos leave the order of different labels open."""
+    rows = [(1, "ow", 0, label, 0.5, 100.0 * p, 0.0, 100.0 * p + 9, 9.0) for p, label in enumerate("abcd")]
+    a, b = (sorted(tuple(r) for r in merging.iou_label_merge(spark.createDataFrame(x, COLS).coalesce(1)).collect()) for x in (rows, rows[::-1]))
+    assert a == b
+
+
 def test_replicas_do_not_depend_on_partitions(spark, tiny):
     from boxloom import queries
 
