@@ -89,12 +89,11 @@ def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups and links of two tokenizers' tokens in every document."""
-    whole = align.aligned(_table(spark, sf_dir, "documents"))
-    size = lambda c: F.coalesce(F.aggregate("groups", F.lit(0).cast("long"), lambda n, g: n + F.size(g[c])), F.lit(0))
-    text = F.when(F.col("groups").isNull(), "").otherwise(F.sha2(align.group_text(F.col("groups")), 256))
-    done = store.materialise(whole.select("rid", "doc_id", size("a").alias("n_a"), size("b").alias("n_b"), F.coalesce(F.size("groups"), F.lit(0)).cast("long").alias("n_groups"), text.alias("groups_sha256"), "pairs"), "aligned")
-    figures = done.drop("pairs")
     count = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    whole = align.aligned(_table(spark, sf_dir, "documents"), lists=False)
+    text = F.coalesce(F.sha2("groups", 256), F.lit("")).alias("groups_sha256")
+    done = store.materialise(whole.select("rid", "doc_id", count("n_a"), count("n_b"), count("n_groups"), text, "pairs"), "aligned")
+    figures = done.drop("pairs")
     return figures.join(align.scored(done), "rid", "left").select("doc_id", "n_a", "n_b", "n_groups", count("n_links"), count("n_best"), count("count_sum"), "groups_sha256")
 
 

@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers as public
 import pyarrow.parquet as pq
 import pytest
@@ -107,3 +108,56 @@ def test_texts_are_dealt_out_and_parts_follow_their_bytes(spark, tmp_path, monke
     branch = next(i for i, line in enumerate(plan) if "ArrowWindowPython" in line)
     assert sum("Exchange" in line for line in plan[branch:]) == 1 and not any("Exchange" in line and "rid" not in line for line in plan)
     assert sum("Exchange" in line for line in plan) <= 3  # also ids and their join
+
+
+def test_tokens_are_not_rows_and_pairs_are_handed_on_once(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*ODD, "ab cd " * 50])], "doc_id long, text string")
+    plan = align.aligned(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan and plan.count("ArrowWindowPython") == 1
+    pairs = align.aligned(docs).where("doc_id = " + str(len(ODD))).first()["pairs"]
+    assert len(pairs) < 10 and sum(p["n"] for p in pairs) >= 100 and [p["pair"] for p in pairs] == sorted({p["pair"] for p in pairs})
+
+
+def test_groups_as_lists_and_as_text(spark, libraries):
+    docs = spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string")
+    lists, text = ({r["doc_id"]: r for r in align.aligned(docs, lists=x).collect()} for x in (True, False))
+    for i, t in enumerate(ODD):
+        got = lists[i]["groups"]
+        a, b = spelled(libraries, t or "")
+        assert text[i]["groups"] == (";".join("|".join(",".join(map(str, g[c])) for c in ("a", "b")) for g in got) if a else None)
+        assert [[j for g in got or () for j in g[c]] for c in ("a", "b")] == [[j for j, _ in side] for side in (a, b)]
+        assert not a or (text[i]["n_a"], text[i]["n_b"], text[i]["n_groups"]) == (len(a), len(b), len(got))
+
+
+def test_a_piece_is_segmented_once_until_the_table_is_full(libraries, monkeypatch):
+    seen = []
+
+    def counted(side):
+        def segment(pieces):
+            seen.extend(pieces)
+            return side()[0](pieces)
+
+        return lambda: (segment, side()[1])
+
+    text = "one two three one two  three\n" * 20
+    links = align.Links((counted(align.byte_side), align.piece_side))
+    first = links.of(text)
+    assert sum(map(len, seen)) == len("".join(set(align.pieces_of(text))))
+    again = links.of(text)
+    assert sum(map(len, seen)) == len("".join(set(align.pieces_of(text)))) and again[1] == first[1] and (again[0] == first[0]).all()
+    monkeypatch.setattr(align, "TABLE", 1)
+    anew = links.of(text)
+    assert anew[1] == first[1] and (anew[0] == first[0]).all() and sum(map(len, seen)) > len("".join(set(align.pieces_of(text))))
+
+
+def test_pieces_that_are_wrong_alone_and_right_together():
+    # The first side's tokens reach across pieces; alone, they do not spell them.
+    own = {" x": [0], " y": [1], " z": [2], " q": [3]}
+    odd = lambda: (lambda pieces: [[i for j in range(0, len(p), 2) for i in own[p[j : j + 2]]] for p in pieces], [b" ", b"x y", b" z", b"?"])
+    plain = lambda: (lambda pieces: [list(p.encode()) for p in pieces], [bytes([i]) for i in range(128)])
+    links = align.Links((odd, plain))
+    packed, text = links.of("x y z")
+    assert text == "0|32;1|120,32,121;2|32,122"
+    assert (packed % align.FLAGS).tolist() == [0 * align.PAIR + 32, *(align.PAIR + c for c in (120, 32, 121)), *(2 * align.PAIR + c for c in (32, 122))]
+    assert np.bincount(packed // align.FLAGS, minlength=4).tolist() == [0, 0, 3, 3]
+    assert links.of("q z") is None and links.of("z")[1] == "2|32,122" and links.of("") is None and links.of(None) is None
