@@ -10,7 +10,7 @@ or later, which a running count finds. No pairs within a group are formed.
 Neither tokenizer joins characters across a space that follows a character other
 than white space, so texts are cut there, for both sides at once, and both sides
 end there: a text's groups and links are those of its pieces, in order. A task
-segments and aligns a distinct piece once (at most `TABLE` of them, then anew), all
+segments and aligns a distinct piece once (at most `TABLE` of them or `TABLE_BYTES`, then anew), all
 new pieces of a text together as arrays. As rows of Spark, token by token, the
 same sums and counts took four times the CPU seconds allowed (see README).
 
@@ -48,6 +48,8 @@ MAX_BROADCAST_PAIRS = 1_000_000
 PAIR = 1 << 20
 #: Bytes of text in a part, about: some 1.5 million tokens, a second or two.
 PART_BYTES = 2 << 20
+#: Bytes of pieces in a task's table, at most, as texts without spaces are one piece.
+TABLE_BYTES = 16 << 20
 #: Ids are below this.
 IDS = 1 << 16
 #: A link as one number: its id pair below this, and above it 1 if its a token ends there, 2 if its b token does, 3 if both do: a cut.
@@ -102,15 +104,17 @@ class Links:
         self.names = np.array([f"{i}{x}" for i in range(most) for x in _AFTER], object)
         self.table: dict[str, tuple[bytes, str]] = {}
         self.wrong: set[str] = set()
+        self.kept = 0
 
     def of(self, text: str) -> tuple[np.ndarray, str] | None:
         """Links of a text and its groups' text; None if it is empty or if either side does not spell it."""
         if not text:
             return None
         pieces = pieces_of(text)
-        if len(self.table) > TABLE:
+        if len(self.table) > TABLE or self.kept > TABLE_BYTES:
             self.table.clear()
             self.wrong.clear()
+            self.kept = 0
         got = list(map(self.table.get, pieces))
         if None in got:
             # In their order, as only a text's last piece may end in white space.
@@ -133,6 +137,7 @@ class Links:
         ends = np.cumsum([*map(len, new)] if whole.isascii() else [len(p.encode()) for p in new])
         if self.spell(ids, whole.encode()) and (got := self.laid_out(ids, ends)):
             self.table.update(zip(new, got, strict=True))
+            self.kept += int(ends[-1])
         elif len(new) == 1:
             self.table[whole] = (b"", "")
             self.wrong.add(whole)

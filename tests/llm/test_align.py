@@ -145,9 +145,12 @@ def test_a_piece_is_segmented_once_until_the_table_is_full(libraries, monkeypatc
     assert sum(map(len, seen)) == len("".join(set(align.pieces_of(text))))
     again = links.of(text)
     assert sum(map(len, seen)) == len("".join(set(align.pieces_of(text)))) and again[1] == first[1] and (again[0] == first[0]).all()
-    monkeypatch.setattr(align, "TABLE", 1)
-    anew = links.of(text)
-    assert anew[1] == first[1] and (anew[0] == first[0]).all() and sum(map(len, seen)) > len("".join(set(align.pieces_of(text))))
+    for limit in ("TABLE", "TABLE_BYTES"):
+        with monkeypatch.context() as m:
+            m.setattr(align, limit, 1)
+            seen.clear()
+            anew = links.of(text)
+            assert seen and anew[1] == first[1] and (anew[0] == first[0]).all()
 
 
 def test_pieces_that_are_wrong_alone_and_right_together():
