@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .packing import byte_bpe
-from .pieces import MARK, TABLE, processor
+from .pieces import MARK, processor
 from .store import materialise, small_batches
 
 #: Counts of id pairs that are broadcast, at most (16 bytes each); beyond it they are joined by a shuffle.
@@ -48,6 +48,8 @@ MAX_BROADCAST_PAIRS = 1_000_000
 PAIR = 1 << 20
 #: Bytes of text in a part, about: some 1.5 million tokens, a second or two.
 PART_BYTES = 2 << 20
+#: Pieces in a task's table, at most (some 400 bytes each); what is beyond it is segmented again, never dropped.
+TABLE = 1_000_000
 #: Bytes of pieces in a task's table, at most, as texts without spaces are one piece.
 TABLE_BYTES = 16 << 20
 #: Ids are below this.
