@@ -49,7 +49,7 @@ PAIR = 1 << 20
 #: Bytes of text in a part, about: some 1.5 million tokens, a second or two.
 PART_BYTES = 2 << 20
 #: Pieces in a task's table, at most (some 400 bytes each); what is beyond it is segmented again, never dropped.
-TABLE = 1_000_000
+TABLE = 400_000
 #: Bytes of pieces in a task's table, at most, as texts without spaces are one piece.
 TABLE_BYTES = 16 << 20
 #: Ids are below this.
