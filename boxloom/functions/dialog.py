@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .text import PHASE1_HEADER, PHASE2_HEADER
 
 DESCRIBE_PROMPT = "Describe everything visible in this picture in one exact paragraph, objects with their colours, materials and places first."
 PHASE1_SYSTEM = f"You list visible things named in captions. Use only given words. Begin with \"{PHASE1_HEADER}\" and number the items."
 PHASE2_SYSTEM = f"You refine lists of things. Give bare nouns only. Begin with \"{PHASE2_HEADER}\" and number the items."
+#: Bytes of one Arrow batch handed to a model, at most (a longer row is a batch of its own); they bound a worker's memory.
+BATCH_BYTES = 4 << 20
 
 
 def phase1_query(web: Column, vlm: Column) -> Column:
@@ -38,23 +43,46 @@ def with_model(df: DataFrame, column: str, out: str, model: Callable[[pd.Series]
 
     Batches are Arrow's, or, with `batch`, the rows of each value of that column
     (see batches.cost_batches), whatever partitions and Arrow batches they come in.
+    Arrow's hold only the column itself, and no more than BATCH_BYTES, for the
+    session; all other columns stay with Spark.
 
     `model` maps a Series to a frame with the columns of `schema`. A failing
     batch keeps its rows with the error's text.
     """
     names = [f.split()[0] for f in schema.split(", ")]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
-    def answered(b: pd.DataFrame) -> pd.DataFrame:
+    def asked(given: pd.Series) -> tuple[pd.DataFrame, str | None]:
         try:
-            got, error = model(b[column]).reset_index(drop=True), None
+            got = model(given).reset_index(drop=True)[names]
+            if len(got) != len(given):
+                raise ValueError(f"{len(got)} answers to {len(given)} rows")
+            return got, None
         except Exception as e:  # noqa: BLE001
-            got, error = pd.DataFrame({n: [None] * len(b) for n in names}), str(e)
-        return pd.concat([b.reset_index(drop=True), got[names], pd.DataFrame({out: [error] * len(b)})], axis=1)
+            return pd.DataFrame({n: [None] * len(given) for n in names}), str(e)
 
     if batch:
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+        def answered(b: pd.DataFrame) -> pd.DataFrame:
+            got, error = asked(b[column])
+            return pd.concat([b.reset_index(drop=True), got, pd.DataFrame({out: [error] * len(b)})], axis=1)
+
         return df.groupBy(batch).applyInPandas(answered, f"{fields}, {schema}, {out} string")
-    return df.mapInPandas(lambda given: map(answered, given), f"{fields}, {schema}, {out} string")
+
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    kind = T.StructType([*T.StructType.fromDDL(schema).fields, T.StructField(out, T.StringType())])
+    parts = list(to_arrow_schema(kind))
+
+    @F.arrow_udf(kind)
+    def answers(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for given in batches:
+            got, error = asked(given.to_pandas())
+            got[out] = pd.Series([error] * len(given), dtype=object)
+            yield pa.StructArray.from_arrays([pa.Array.from_pandas(got[f.name], type=f.type) for f in parts], fields=parts)
+
+    # Said to vary, so that no filter asks the model again.
+    said = df.withColumn("_said", answers.asNondeterministic()(F.col(column)))
+    return said.select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"_said.{f.name}").alias(f.name) for f in kind])
 
 
 def offline_describe(images: pd.Series) -> pd.DataFrame:

@@ -20,8 +20,8 @@ def describe(images: DataFrame, model: Callable = dialog.offline_describe) -> Da
 def phase1(captions: DataFrame, model: Callable = dialog.offline_chat, terms: list[str] = text.SENTENCE_TERMS) -> DataFrame:
     """Stage 2, first phase: captions to attributes."""
     ready = captions.withColumn("processed_vlm_caption", text.clean_caption(F.col("vlm_caption"), terms))
-    ready = ready.withColumn("query", dialog.phase1_query(F.lower("web_caption"), F.col("processed_vlm_caption"))).withColumn("dialog", dialog.dialog(dialog.PHASE1_SYSTEM, F.col("query")))
-    answered = dialog.with_model(ready, "query", "error", model, "answer string")
+    ready = ready.withColumn("query", dialog.phase1_query(F.lower("web_caption"), F.col("processed_vlm_caption")))
+    answered = dialog.with_model(ready, "query", "error", model, "answer string").withColumn("dialog", dialog.dialog(dialog.PHASE1_SYSTEM, F.col("query")))
     parsed = answered.withColumn("original_attributes", text.parse_list(F.col("answer"), text.PHASE1_HEADER))
     return parsed.withColumn("phase1", F.array_distinct(text.filter_attributes(F.col("original_attributes"), F.col("web_caption"), F.col("vlm_caption")))).drop("query")
 

@@ -86,3 +86,32 @@ def test_captions_to_attributes_against_a_literal_version(spark, tiny):
 def test_the_offline_model_keeps_all_words():
     words = [f"word{i}xyz" for i in range(40)]
     assert said(" ".join(words)).split("\n")[1:] == [f"{i}. {w}" for i, w in enumerate(words, 1)]
+
+
+def test_models_get_their_column_alone_in_batches_of_bounded_bytes(spark):
+    """A model's call gets a few MB of long texts; other columns, however wide, are not sent to Python."""
+    def model(x):
+        return pd.DataFrame({"rows": [len(x)] * len(x), "size": [sum(map(len, x))] * len(x)})
+
+    wide = spark.range(0, 60, 1, 1).selectExpr("id", "repeat('word ', 40000) as query", "array(repeat('x', 300000)) as other")
+    got = dialog.with_model(wide, "query", "error", model, "rows long, size long")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "MapInPandas" not in plan
+    rows = got.select("id", "rows", "size", "error", text.F.length(text.F.col("other")[0]).alias("n")).collect()
+    assert sorted(r["id"] for r in rows) == list(range(60)) and {(r["error"], r["n"]) for r in rows} == {(None, 300000)}
+    assert all(r["size"] == 200000 * r["rows"] <= dialog.BATCH_BYTES + 200000 for r in rows)
+
+
+def test_models_that_skip_rows_or_fail_leave_an_error(spark):
+    def skips(x):
+        return pd.DataFrame({"answer": ["yes"] * (len(x) - 1)})
+
+    got = dialog.with_model(spark.createDataFrame([("a", 1), (None, 2)], "q string, n int").coalesce(1), "q", "error", skips, "answer string").orderBy("n").collect()
+    assert [tuple(r) for r in got] == [("a", 1, None, "1 answers to 2 rows"), (None, 2, None, "1 answers to 2 rows")]
+
+
+def test_the_second_phase_is_not_sent_the_captions(spark, tiny):
+    """What caption_stage writes between the phases and the merge holds lists, not the texts that they came from."""
+    reads = queries.caption_stage(spark, tiny)._jdf.queryExecution().analyzed().toString()
+    assert "short_items" in reads or "Relation" in reads
+    assert "web_caption" not in reads and "vlm_caption" not in reads
