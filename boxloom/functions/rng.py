@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 def uniform(seed: int, *parts: Column | str) -> Column:
     """A double in [0, 1): 52 bits of md5 over seed and parts."""
-    text = F.concat_ws("|", F.lit(str(seed)), *[(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+    return F.conv(random_order(seed, *parts), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def uniform_py(seed: int, *parts) -> float:
@@ -37,5 +36,6 @@ def uniform_int(u: Column, low: Column, high: Column) -> Column:
 
 
 def random_order(seed: int, *parts: Column | str) -> Column:
-    """A sort key that shuffles rows the same way every time."""
-    return uniform(seed, *parts)
+    """A sort key that shuffles rows the same way every time: the hex digits of uniform, whose order is that of its numbers."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts])
+    return F.substring(F.md5(text), 1, 13)

@@ -36,6 +36,16 @@ def _prefix(size: Column) -> Column:
     return F.coalesce(few, size - ENOUGH + 1)
 
 
+def crowded(items: Column) -> Column:
+    """Whether two items of a list share a word in a way that can make them alike: both of one word, or both of more. False for a null list."""
+    again = lambda xs: let(xs, lambda x: F.size(F.array_distinct(x)) < F.size(x))
+    has = lambda x: F.contains(x, F.lit(" ")) | F.contains(x, F.lit("-"))
+    plain = F.filter(items, lambda x: ~has(x))  # one word as it stands; null items are in neither
+    sets = lambda w, kind: F.flatten(F.filter(w, kind))
+    told = let(F.transform(F.filter(items, has), words), lambda w: again(F.concat(plain, sets(w, lambda x: F.size(x) == 1))) | again(sets(w, lambda x: F.size(x) > 1)))
+    return F.coalesce(told, F.lit(False))
+
+
 def alike(df: DataFrame, key: str, items: str) -> DataFrame:
     """(key, at): places, from 0, in the lists `items` of items that a later item of the list is like; keys are distinct."""
     # An item of one word is only like others of that word, so lists whose single words differ need no rows for them.
@@ -70,7 +80,10 @@ def merge_attributes(df: DataFrame, key: str, shuffled: Column, phase2: Column,
     """Adds `out`: mixed phase-1 items and phase 2 as one list (see settle_attributes); keys are distinct and not null.
 
     The short items are written first: three sides of the joins read them, and
-    the plan would mix them anew in each filter that it derives.
+    the plan would mix them anew in each filter that it derives. Only lists with
+    items that may be alike are joined; the others are not dealt out again.
     """
-    short = materialise(df.withColumn(out, short_items(shuffled)), "short_items")
-    return drop_alike(short, key, out).withColumn(out, settle_attributes(F.col(out), phase2))
+    short = df.withColumn(out, short_items(shuffled))
+    short = materialise(short.withColumn("_crowded", crowded(F.col(out))), "short_items")
+    apart, near = short.where("not _crowded"), short.where("_crowded")
+    return apart.unionByName(drop_alike(near, key, out)).drop("_crowded").withColumn(out, settle_attributes(F.col(out), phase2))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,13 +26,18 @@ def phase1(captions: DataFrame, model: Callable = dialog.offline_chat, terms: li
     return parsed.withColumn("phase1", F.array_distinct(text.filter_attributes(F.col("original_attributes"), F.col("web_caption"), F.col("vlm_caption")))).drop("query")
 
 
-def phase2(done: DataFrame, model: Callable = dialog.offline_chat, seed: int = 0) -> DataFrame:
-    """Stage 2, second phase: new bare nouns, merged with the first list."""
+def phase2(done: DataFrame, model: Callable = dialog.offline_chat, seed: int = 0, keep: Sequence[str] | None = None) -> DataFrame:
+    """Stage 2, second phase: new bare nouns, merged with the first list.
+
+    The lists are written before they are merged, and with them the columns named
+    in keep (new_key among them), or all.
+    """
     ready = done.drop("answer", "error", "dialog").withColumn("query", dialog.phase2_query(text.join_list(F.col("phase1"))))
     answered = dialog.with_model(ready, "query", "error", model, "answer string").drop("query")
     new = F.array_distinct(text.filter_attributes(text.parse_list(F.replace("answer", F.lit(text.PHASE1_HEADER), F.lit("")), text.PHASE2_HEADER)))
-    mixed = F.transform(F.array_sort(F.transform("phase1", lambda a: F.struct(random_order(seed, "new_key", a).alias("o"), a.alias("a")))), lambda s: s["a"])
-    return similar.merge_attributes(answered.withColumn("phase2", new), "new_key", mixed, F.col("phase2"))
+    listed = answered.withColumn("phase2", new).select(*(answered.columns if keep is None else [*keep, "phase1"]), "phase2")
+    mixed = F.transform(F.sort_array(F.transform("phase1", lambda a: F.struct(random_order(seed, "new_key", a).alias("o"), a.alias("a")))), lambda s: s["a"])
+    return similar.merge_attributes(listed, "new_key", mixed, F.col("phase2"))
 
 
 def filtered(boxes: DataFrame, config: detections.FilterConfig = detections.FilterConfig()) -> DataFrame:

@@ -513,7 +513,7 @@ def replica_boxes(spark, d):
 def caption_stage(spark, d):
     """Phase 1 and 2 with the offline model."""
     rows = fx.captions(spark, d).select(F.col("image_id").cast("string").alias("new_key"), "web_caption", "vlm_caption")
-    return stages.phase2(stages.phase1(rows).select("new_key", "phase1")).select("new_key", text.join_list(F.col("phase1")).alias("phase1"), text.join_list(F.col("merged")).alias("merged"))
+    return stages.phase2(stages.phase1(rows).select("new_key", "phase1"), keep=["new_key"]).select("new_key", text.join_list(F.col("phase1")).alias("phase1"), text.join_list(F.col("merged")).alias("merged"))
 
 
 def curate(spark, d):

@@ -336,6 +336,30 @@ def test_alike_items_against_every_pair(spark):
     assert not similar.drop_alike(df.where("false"), "k", "items").collect()
 
 
+def test_lists_whose_items_may_be_alike_against_every_pair(spark):
+    def literal(items):
+        sets = [set(x.replace("-", " ").split(" ")) for x in items if x is not None]
+        one, more = [w for s in sets if len(s) == 1 for w in s], [w for s in sets if len(s) > 1 for w in s]
+        return len(set(one)) < len(one) or len(set(more)) < len(more)
+
+    rng = np.random.default_rng(5)
+    lists = [[], [None], [None, None], ["a", "a-"], ["a", "a-a"], ["", "-"], ["a b", "a"], ["a b", "b c"], ["a b", "c d", "c"]]
+    lists += [["".join(rng.choice(list("abcdefghij -"), rng.integers(0, 6))) for _ in range(rng.integers(0, 4))] for _ in range(300)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate([*lists, None])], "k long, x array<string>")
+    got = [r["c"] for r in df.select("k", similar.crowded(F.col("x")).alias("c")).orderBy("k").collect()]
+    assert got == [*map(literal, lists), False]
+
+
+def test_only_lists_whose_items_may_be_alike_are_joined(spark, monkeypatch):
+    given, real = [], similar.drop_alike
+    monkeypatch.setattr(similar, "drop_alike", lambda df, *of: given.append(df) or real(df, *of))
+    rows = [(1, ["red car", "tree", "car"], []), (2, ["red old car", "old red car", "tree"], ["sky"]), (3, None, None), (4, [], ["tree"])]
+    df = spark.createDataFrame(rows, "id long, a array<string>, b array<string>")
+    got = similar.merge_attributes(df, "id", F.col("a"), F.col("b"))
+    assert {r["id"]: r["merged"] for r in got.collect()} == {1: ["car", "tree", "red car"], 2: ["sky", "tree", "old red car"], 3: None, 4: ["tree"]}
+    assert [r["id"] for r in given[0].collect()] == [2]
+
+
 def test_small_files_of_lists_are_not_broadcast(spark, tmp_path):
     spark.range(500).select("id", F.array(F.lit("red old car"), F.lit("old red car"), F.lit("tree")).alias("items")).write.parquet(str(tmp_path / "l"))
     got = similar.drop_alike(spark.read.parquet(str(tmp_path / "l")), "id", "items")
@@ -380,6 +404,11 @@ def test_text_rules(spark):
     assert one(spark, text.display_caption(lit("This is a dog"))) == "A dog"
 
 
+def test_strip_ends_at_the_end_of_the_text(spark):
+    """As in SQL: a line separator that ends the text is not white space, nor is what stands before it at the end."""
+    assert one(spark, text.strip(F.lit("\x0b\f a\t b \r\n"))) == "a\t b" and one(spark, text.strip(F.lit("a \u2028"))) == "a \u2028"
+
+
 def test_rules_of_captions_and_attributes(spark):
     lit = F.lit
     assert one(spark, text.clean_caption(lit("There is no dog. There is not much light."))) == ""

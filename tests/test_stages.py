@@ -7,6 +7,7 @@ import pandas as pd
 from boxloom import fixtures, queries
 from boxloom.functions import dialog, text
 from boxloom.functions.rng import uniform_py
+from boxloom.plans import stages
 
 BLANK = " \t\n\x0b\f\r"
 
@@ -111,7 +112,14 @@ def test_models_that_skip_rows_or_fail_leave_an_error(spark):
 
 
 def test_the_second_phase_is_not_sent_the_captions(spark, tiny):
-    """What caption_stage writes between the phases and the merge holds lists, not the texts that they came from."""
+    """What caption_stage writes before the merge holds lists, not the texts and answers that they came from."""
     reads = queries.caption_stage(spark, tiny)._jdf.queryExecution().analyzed().toString()
-    assert "short_items" in reads or "Relation" in reads
-    assert "web_caption" not in reads and "vlm_caption" not in reads
+    assert "Relation [new_key" in reads
+    assert not [c for c in ("web_caption", "vlm_caption", "answer", "original_attributes") if c in reads]
+
+
+def test_phase2_keeps_all_columns_by_default(spark):
+    done = spark.createDataFrame([("k", "a caption", ["red house", "house red"])], "new_key string, web_caption string, phase1 array<string>")
+    got, few = stages.phase2(done), stages.phase2(done, keep=["new_key"])
+    assert got.columns == ["new_key", "web_caption", "phase1", "answer", "error", "phase2", "merged"]
+    assert few.columns == ["new_key", "phase1", "phase2", "merged"] and few.first() == got.select(few.columns).first()
