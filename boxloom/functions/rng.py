@@ -7,6 +7,9 @@ import hashlib
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Hex digits of a draw, 52 bits.
+ORDER_LENGTH = 13
+
 
 def uniform(seed: int, *parts: Column | str) -> Column:
     """A double in [0, 1): 52 bits of md5 over seed and parts."""
@@ -38,4 +41,4 @@ def uniform_int(u: Column, low: Column, high: Column) -> Column:
 def random_order(seed: int, *parts: Column | str) -> Column:
     """A sort key that shuffles rows the same way every time: the hex digits of uniform, whose order is that of its numbers."""
     text = F.concat_ws("|", F.lit(str(seed)), *[(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts])
-    return F.substring(F.md5(text), 1, 13)
+    return F.substring(F.md5(text), 1, ORDER_LENGTH)

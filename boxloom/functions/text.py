@@ -56,7 +56,7 @@ def parse_list(answer: Column, header: str) -> Column:
     body = F.rtrim(strip(F.replace(answer, F.lit(header), F.lit(""))), F.lit(".,\n "))
 
     def item(line: Column) -> Column:
-        return F.when(F.contains(line, F.lit(" ")), F.substring(line, F.instr(line, " ") + 1, F.length(line))).otherwise(line)
+        return F.substring(line, F.instr(line, " ") + 1, F.length(line))  # the whole line, if it has no space
 
     return F.array_distinct(F.filter(F.transform(F.transform(F.split(body, "\n"), strip), item), lambda x: x != ""))
 
@@ -74,17 +74,23 @@ def filter_attributes(attrs: Column, web: Column | None = None, vlm: Column | No
     one = web is not None
     norm = F.transform(attrs, lambda a: normalise_attribute(a, one))
     bad = lambda a: reduce(lambda x, y: x | y, [F.contains(a, F.lit(t)) for t in ATTRIBUTE_TERMS])
-    out = F.filter(norm, lambda a: ~bad(a))
+
+    def held(own: Column, body: Column) -> Column:
+        out = F.when(bad(body), F.filter(own, lambda a: ~bad(a))).otherwise(own)
+        for t in CONDITIONAL_TERMS if one else []:
+            out = _drop_unless_held(out, body, t, web, vlm)
+        return out
+
+    # Terms are looked for in the whole list first: most lists have none, and their items need not be searched.
+    out = let(norm, lambda own: let(F.array_join(own, "\n"), lambda body: held(own, body)))
     if one:
-        for t in CONDITIONAL_TERMS:
-            out = _drop_unless_held(out, t, web, vlm)
         out = F.transform(out, drop_parentheses)
     return F.filter(out, lambda a: a != "")
 
 
-def _drop_unless_held(items: Column, term: str, web: Column, vlm: Column) -> Column:
-    """The captions are searched once a list, not once an item."""
-    absent = F.coalesce(~F.contains(web, F.lit(term)) & ~F.contains(vlm, F.lit(term)), F.lit(True))
+def _drop_unless_held(items: Column, body: Column, term: str, web: Column, vlm: Column) -> Column:
+    """The captions are searched once a list, not once an item, and only if the list's text has the term."""
+    absent = F.contains(body, F.lit(term)) & F.coalesce(~F.contains(web, F.lit(term)) & ~F.contains(vlm, F.lit(term)), F.lit(True))
     return let(items, lambda own: F.when(absent, F.filter(own, lambda a: ~F.contains(a, F.lit(term)))).otherwise(own))
 
 

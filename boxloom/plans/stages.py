@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxloom.functions import dialog, text
-from boxloom.functions.rng import random_order
+from boxloom.functions.rng import ORDER_LENGTH, random_order
 from boxloom.operators import assemble, detections, replicas, sampling, similar, suppress
 
 
@@ -36,7 +36,8 @@ def phase2(done: DataFrame, model: Callable = dialog.offline_chat, seed: int = 0
     answered = dialog.with_model(ready, "query", "error", model, "answer string").drop("query")
     new = F.array_distinct(text.filter_attributes(text.parse_list(F.replace("answer", F.lit(text.PHASE1_HEADER), F.lit("")), text.PHASE2_HEADER)))
     listed = answered.withColumn("phase2", new).select(*(answered.columns if keep is None else [*keep, "phase1"]), "phase2")
-    mixed = F.transform(F.sort_array(F.transform("phase1", lambda a: F.struct(random_order(seed, "new_key", a).alias("o"), a.alias("a")))), lambda s: s["a"])
+    drawn = F.sort_array(F.transform("phase1", lambda a: F.concat(random_order(seed, "new_key", a), a)))  # texts sort faster than structs
+    mixed = F.transform(drawn, lambda s: F.substring(s, F.lit(ORDER_LENGTH + 1), F.length(s)))
     return similar.merge_attributes(listed, "new_key", mixed, F.col("phase2"))
 
 
